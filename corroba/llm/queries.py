@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from corroba.llm.packing import op5_packing
+from corroba.llm.rans import op8_token_ids
 from corroba.llm.token_counts import op7_token_counts
 
 QUERIES = {
+    "op5_packing": op5_packing,
     "op7_token_counts": op7_token_counts,
+    "op8_token_ids": op8_token_ids,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -17,7 +17,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Entries that a worker keeps; beyond it the cache starts again from the given entries.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1_000_000
 #: Longer parts are encoded each time.
 CACHED_CHARS = 48
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
