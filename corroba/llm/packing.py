@@ -50,6 +50,20 @@ def price(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float,
     return float(best[capacity]), pattern
 
 
+def invert(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan elimination, for matrices of a few hundred rows; it starts no threads."""
+    m = len(matrix)
+    both = np.hstack([matrix, np.eye(m)])
+    for i in range(m):
+        pivot = i + int(np.abs(both[i:, i]).argmax())
+        both[[i, pivot]] = both[[pivot, i]]
+        both[i] /= both[i, i]
+        factor = both[:, i].copy()
+        factor[i] = 0
+        both -= factor[:, None] * both[i]
+    return both[:, m:]
+
+
 def column_generation(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, float]]:
     """(pattern, times used) of the linear program: fewest sequences that hold all counts.
 
@@ -74,26 +88,26 @@ def column_generation(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> l
         for j in inside[(left[inside] < 1e-9) & ~done[inside]]:  # used up at the same time
             basis[j, j] = capacity // sizes[j]
             done[j] = True
-    inverse = np.linalg.inv(basis)
-    used = np.maximum(0, inverse @ counts)
+    inverse = invert(basis)
+    used = np.maximum(0, (inverse * counts).sum(1))
     for turn in range(MAX_COLUMNS):
         duals = inverse.sum(0)
         value, pattern = price(np.maximum(duals, 0), sizes, capacity)
         if value <= 1 + 1e-7:
             break
-        step = inverse @ pattern
+        step = (inverse * pattern).sum(1)
         ratio = np.full(m, np.inf)
         up = step > 1e-9
         ratio[up] = used[up] / step[up]
         out = int(ratio.argmin())
         basis[:, out] = pattern
         if turn % 500 == 499:
-            inverse = np.linalg.inv(basis)
+            inverse = invert(basis)
         else:
             row = inverse[out] / step[out]
             inverse = inverse - np.outer(step, row)
             inverse[out] = row
-        used = np.maximum(0, inverse @ counts)
+        used = np.maximum(0, (inverse * counts).sum(1))
     return [(basis[:, j].astype(np.int64), float(used[j])) for j in range(m)]
 
 
