@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from corroba.llm.decontaminate import OP1_SQL, op1_decontamination
 from corroba.llm.packing import op5_packing
 from corroba.llm.rans import op8_token_ids
+from corroba.llm.secrets import op9_secrets
 from corroba.llm.token_counts import op7_token_counts
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op5_packing": op5_packing,
     "op7_token_counts": op7_token_counts,
     "op8_token_ids": op8_token_ids,
+    "op9_secrets": op9_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": OP1_SQL,
+}
