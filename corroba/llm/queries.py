@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from corroba.llm.decontaminate import OP1_SQL, op1_decontamination
+from corroba.llm.minhash import op3_near_duplicates
 from corroba.llm.packing import op5_packing
 from corroba.llm.rans import op8_token_ids
 from corroba.llm.secrets import op9_secrets
@@ -10,6 +11,7 @@ from corroba.llm.token_counts import op7_token_counts
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op3_near_duplicates": op3_near_duplicates,
     "op5_packing": op5_packing,
     "op7_token_counts": op7_token_counts,
     "op8_token_ids": op8_token_ids,
