@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from corroba.llm.ctw import op4_lm_scores
 from corroba.llm.decontaminate import OP1_SQL, op1_decontamination
 from corroba.llm.minhash import op3_near_duplicates
 from corroba.llm.packing import op5_packing
@@ -12,6 +13,7 @@ from corroba.llm.token_counts import op7_token_counts
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_lm_scores": op4_lm_scores,
     "op5_packing": op5_packing,
     "op7_token_counts": op7_token_counts,
     "op8_token_ids": op8_token_ids,
