@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from corroba.llm.ctw import op4_lm_scores
 from corroba.llm.decontaminate import OP1_SQL, op1_decontamination
+from corroba.llm.langid import op2_language_id
 from corroba.llm.minhash import op3_near_duplicates
 from corroba.llm.packing import op5_packing
 from corroba.llm.rans import op8_token_ids
@@ -12,6 +13,7 @@ from corroba.llm.token_counts import op7_token_counts
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_language_id": op2_language_id,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_lm_scores": op4_lm_scores,
     "op5_packing": op5_packing,
