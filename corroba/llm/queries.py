@@ -10,6 +10,7 @@ from corroba.llm.packing import op5_packing
 from corroba.llm.rans import op8_token_ids
 from corroba.llm.secrets import op9_secrets
 from corroba.llm.token_counts import op7_token_counts
+from corroba.llm.wrappers import op6_main_text
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_near_duplicates": op3_near_duplicates,
     "op4_lm_scores": op4_lm_scores,
     "op5_packing": op5_packing,
+    "op6_main_text": op6_main_text,
     "op7_token_counts": op7_token_counts,
     "op8_token_ids": op8_token_ids,
     "op9_secrets": op9_secrets,
