@@ -10,6 +10,7 @@ from corroba.llm.packing import op5_packing
 from corroba.llm.rans import op8_token_ids
 from corroba.llm.secrets import op9_secrets
 from corroba.llm.token_counts import op7_token_counts
+from corroba.llm.vectors import OP10_SQL, op10_vector_duplicates
 from corroba.llm.wrappers import op6_main_text
 
 QUERIES = {
@@ -22,8 +23,10 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op8_token_ids": op8_token_ids,
     "op9_secrets": op9_secrets,
+    "op10_vector_duplicates": op10_vector_duplicates,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": OP1_SQL,
+    "op10_vector_duplicates": OP10_SQL,
 }
