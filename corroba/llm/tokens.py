@@ -3,23 +3,34 @@
 Both public vocabularies split text at white space before they merge, so a part that
 starts after one space and neither starts nor ends with white space has the same ids in
 every text. A text is cut at such spaces; each part is looked up, and only parts that
-the worker has not met go to the tokenizers library, many in one call. Parts beside
-other white space are cut more carefully and are not kept.
+the worker has not met go to the tokenizers library. Parts of ASCII and Latin-1 letters
+are cut into the library's words here, each of which its model encodes once; all others
+go through the whole tokenizer, many in one call. Parts beside other white space are cut
+more carefully and are not kept.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
-
-import numpy as np
+from array import array
+from collections.abc import Iterable
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Entries that a worker keeps; beyond it the cache starts again from the given entries.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 700_000
 #: Longer parts are encoded each time.
 CACHED_CHARS = 48
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Characters that every Unicode version classes alike and that normal forms leave alone.
+_PLAIN = re.compile(f" ?[!-~{_LETTER}](?:[!-~\\n{_LETTER}]*[!-~{_LETTER}])?")
+#: How the two public vocabularies split text, for plain parts. Fixed values.
+_SPLIT = {
+    "byte": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+"),
+    "word": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\s{_LETTER}0-9]+"),
+}
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _loaded: dict[tuple[str, str], "PartCache"] = {}
 
@@ -44,6 +55,9 @@ class PartCache:
             raise ValueError("ids of more than 16 bits")
         self.kind, self.given = kind, given or {}
         self.cache = dict(self.given)
+        self.split, self.words = _SPLIT.get(_style(self.tokenizer)), {}
+        self.lower = _style(self.tokenizer) == "word"
+        self.as_bytes = _byte_letters()
 
     def give(self, entries: dict) -> None:
         """Entries that stay when the cache starts again."""
@@ -53,45 +67,67 @@ class PartCache:
 
     def _encode(self, keys: list[str]) -> list:
         texts = [k[1:] if k[:1] == " " else f" {k}" for k in keys]
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        if self.kind == "lengths":
-            return [len(e.ids) for e in found]
-        return [np.array(e.ids, dtype="<u2").tobytes() for e in found]
+        return [self._value(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _value(self, ids: list[int]):
+        return len(ids) if self.kind == "lengths" else array("H", ids).tobytes()
+
+    def _keep_plain(self, keys: Iterable[str]) -> list[str]:
+        """Encode and keep the plain keys; the others are returned."""
+        if not self.split:
+            return list(keys)
+        if len(self.words) > CACHE_ENTRIES:
+            self.words.clear()
+        cache, words, split, fits = self.cache, self.words, self.split.findall, _PLAIN.fullmatch
+        tokenize, joined = self.tokenizer.model.tokenize, sum if self.kind == "lengths" else b"".join
+        rest = []
+        for key in keys:
+            if len(key) > CACHED_CHARS or not fits(key) or "<|" in key:
+                rest.append(key)
+                continue
+            text = key[1:] if key[0] == " " else f" {key}"
+            values = []
+            for word in split(text.lower() if self.lower else text):
+                value = words.get(word)
+                if value is None:
+                    value = words[word] = self._value([t.id for t in tokenize(word.translate(self.as_bytes))])
+                values.append(value)
+            cache[key] = joined(values)
+        return rest
 
     def values(self, texts: list[str]) -> list[list]:
         """For each text the values of its parts, in order."""
+        if len(self.cache) > CACHE_ENTRIES + len(self.given):
+            self.cache.clear()
+            self.cache.update(self.given)
         get = self.cache.get
-        parts = []
-        for text in texts:
+        parts, out, again, missing = [], [], [], set()
+        for i, text in enumerate(texts):
+            if self.lower:
+                text = _lower(text)
             p = text.split(" ")
             p[0] = f" {p[0]}"
+            v = list(map(get, p))
+            if None in v:
+                again.append(i)
+                missing.update([w for w, x in zip(p, v) if x is None])
             parts.append(p)
-        out = [list(map(get, p)) for p in parts]
-        again, keep, once = [], set(), set()
-        for i, v in enumerate(out):
-            if None not in v:
-                continue
-            p = parts[i]
-            missing = [w for w, x in zip(p, v) if x is None]
-            if len(p) > 1 and any(_uneven(w) for w in missing):
-                p = parts[i] = _SAFE_SPACE.split(texts[i])
-                p[0] = f" {p[0]}"
-                missing = [w for w in p if w not in self.cache]
-            again.append(i)
-            for w in missing:
-                (once if len(w) > CACHED_CHARS or _uneven(w) else keep).add(w)
-        if again:
-            if len(self.cache) + len(keep) > CACHE_ENTRIES + len(self.given):
-                used = {w: self.cache[w] for i in again for w in parts[i] if w in self.cache}
-                self.cache.clear()
-                self.cache.update(self.given)
-                self.cache.update(used)
-            keys = list(keep)
-            self.cache.update(zip(keys, self._encode(keys)))
-            keys = list(once)
-            own = dict(zip(keys, self._encode(keys)))
+            out.append(v)
+        rest = self._keep_plain(missing)
+        if not rest:
             for i in again:
-                out[i] = [own[w] if w in own else self.cache[w] for w in parts[i]]
+                out[i] = list(map(get, parts[i]))
+            return out
+        uneven = {w for w in rest if _uneven(w)}
+        for i in again:
+            if len(parts[i]) > 1 and not uneven.isdisjoint(parts[i]):
+                parts[i] = _SAFE_SPACE.split(texts[i])
+                parts[i][0] = f" {parts[i][0]}"
+        rest = list({w for i in again for w in parts[i] if w not in self.cache})
+        encoded = dict(zip(rest, self._encode(rest)))
+        for i in again:
+            out[i] = [encoded[w] if x is None else x for w, x in zip(parts[i], map(get, parts[i]))]
+        self.cache.update({w: x for w, x in encoded.items() if len(w) <= CACHED_CHARS and not _uneven(w)})
         return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
@@ -101,6 +137,37 @@ class PartCache:
         return [sum(v) for v in self.values(texts)]
 
 
+def _style(tokenizer) -> str:
+    """Which of the two known ways of splitting the tokenizer has, or none."""
+    made = json.loads(tokenizer.to_str())
+    before, split = made["normalizer"], made["pre_tokenizer"]
+    if before is None and split == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
+        return "byte"
+    steps = [n["type"] for n in (before or {}).get("normalizers", [])]
+    patterns = [p.get("pattern", {}).get("Regex") for p in (split or {}).get("pretokenizers", [])]
+    if steps == ["NFC", "Replace", "Lowercase"] and patterns == [r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", None]:
+        return "word"
+    return ""
+
+
+def _byte_letters() -> dict[int, str]:
+    """For each plain character the letters by which byte-level vocabularies write its bytes."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in shown)}
+    return {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
+
+
+def _lower(text: str) -> str:
+    """The text as the tokenizer itself would lower it, where that is plain; more of it is then known."""
+    if "<|" in text:  # special strings are found before lowering
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 def _uneven(key: str) -> bool:
     """Whether what stands beside the key could change its ids."""
     if key[:1] == " ":
