@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corroba.functions import text as T
-from corroba.operators.ignore import IgnoreRules, prune
+from corroba.operators.ignore import IgnoreRules
 
 # Extensions that documents are ingested from, files that a manifest looks for,
 # files that show what a tree is about, and how much of them is shown.
@@ -41,18 +41,37 @@ def described(files: DataFrame) -> DataFrame:
     )
 
 
-def scan(spark: SparkSession, root: str, rules: IgnoreRules | None = None, glob: str | None = None) -> DataFrame:
-    """All files below root, on any file system that Spark reads; ignored ones and what lies in
-    ignored directories are dropped by path, before contents are used."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
+def listed(spark: SparkSession, root: str, rules: IgnoreRules | None = None) -> list[str]:
+    """Paths of the files below root, on any file system that Spark reads, relative to it. Ignored
+    directories are not entered; names that Spark takes for hidden ones (`__init__.py`) are listed."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    top = fs_path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, todo = [], [(top, "")]
+    while todo:
+        folder, prefix = todo.pop()
+        for status in fs.listStatus(folder):
+            name = prefix + status.getPath().getName()
+            if rules and rules.is_ignored(name, status.isDirectory()):
+                continue
+            if status.isDirectory():
+                todo.append((status.getPath(), f"{name}/"))
+            else:
+                found.append(name)
+    return sorted(found)
+
+
+def scan(spark: SparkSession, root: str, rules: IgnoreRules | None = None, names: str | None = None) -> DataFrame:
+    """The files below root whose names match, with their contents; ignored ones are never read."""
     base = root.rstrip("/")
+    paths = [p for p in listed(spark, root, rules) if names is None or re.search(names, p)]
+    if not paths:
+        return described(spark.createDataFrame([], "path string, content binary"))
     # below the root, whatever scheme Spark writes paths with
     above = re.sub("^[a-z]+:/*", "/", base).rstrip("/") + "/"
-    plain = F.regexp_replace("path", "^[a-z]+:/*", "/")
-    files = reader.load(base).select(F.substring_index(F.concat(F.lit("\0"), plain), "\0" + above, -1).alias("path"), "content")
-    return described(prune(files, rules) if rules else files)
+    plain = F.concat(F.lit("\0"), F.regexp_replace("path", "^[a-z]+:/*", "/"))
+    files = spark.read.format("binaryFile").load([f"{base}/{p}" for p in paths])
+    return described(files.select(F.substring_index(plain, "\0" + above, -1).alias("path"), "content"))
 
 
 def manifest(files: DataFrame) -> DataFrame:
