@@ -70,8 +70,27 @@ def scan(spark: SparkSession, root: str, rules: IgnoreRules | None = None, names
     # below the root, whatever scheme Spark writes paths with
     above = re.sub("^[a-z]+:/*", "/", base).rstrip("/") + "/"
     plain = F.concat(F.lit("\0"), F.regexp_replace("path", "^[a-z]+:/*", "/"))
-    files = spark.read.format("binaryFile").load([f"{base}/{p}" for p in paths])
-    return described(files.select(F.substring_index(plain, "\0" + above, -1).alias("path"), "content"))
+    hidden = [p for p in paths if p.rsplit("/", 1)[-1][0] in "_."]
+    shown = [p for p in paths if p not in set(hidden)]
+    parts = []
+    if shown:
+        files = spark.read.format("binaryFile").load([f"{base}/{p}" for p in shown])
+        parts.append(files.select(F.substring_index(plain, "\0" + above, -1).alias("path"), "content"))
+    if hidden:  # which Spark's own reader passes by
+        parts.append(spark.createDataFrame([(p,) for p in hidden], "path string").mapInArrow(lambda b: _read_each(b, base), "path string, content binary"))
+    return described(parts[0] if len(parts) == 1 else parts[0].union(parts[1]))
+
+
+def _read_each(batches: Iterable[pa.RecordBatch], base: str) -> Iterator[pa.RecordBatch]:
+    from pyarrow import fs
+
+    for batch in batches:
+        contents = []
+        for path in batch.column(0).to_pylist():
+            system, place = fs.FileSystem.from_uri(f"{base}/{path}")
+            with system.open_input_stream(place) as stream:
+                contents.append(stream.read())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(contents, pa.binary())], names=["path", "content"])
 
 
 def manifest(files: DataFrame) -> DataFrame:
