@@ -173,7 +173,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
 
     @F.pandas_udf("string")
     def without(texts, spans):
-        return texts.combine(spans, lambda t, s: cut(t, [(x["first"], x["words"]) for x in s]))
+        return texts.combine(spans, lambda t, s: None if t is None else cut(t, [(x["first"], x["words"]) for x in s]))
 
     columns = [F.col(f"doc.{c}") for c in docs.columns if c != "text"]
     text = F.when(F.col("n_hit") > 0, without("doc.text", "spans")).otherwise(F.col("doc.text"))

@@ -6,10 +6,12 @@
 3. First round: each document meets the smallest document of each of its band buckets,
    the best by estimated similarity is confirmed on full sets, and links make components.
 4. Second round: a bucket that still holds several components is compared in blocks, by
-   signatures, across components. Pairs whose estimate is not far below the threshold are
-   candidates; the best of each pair of components are confirmed first, then, across
-   components that are still apart, all the rest. So no link between components is left
-   out, though pairs inside a component need no further look.
+   signatures and set sizes, across components. What this leaves, documents that may be
+   linked across components, meets again in blocks with its texts, and links are confirmed
+   on full sets there; a pair is looked at in the first bucket that it shares. Tasks return
+   documents and joined components, never pairs, so a large group costs its comparisons
+   but no rows of their number. No link between components is left out, though pairs
+   inside a component need no further look.
 
 A pair of similarity 0.75 shares no bucket with probability (1 - 0.75**4)**32, 5 in a
 million; its estimate falls below FLOOR with probability of about 1 in 100,000.
@@ -33,8 +35,8 @@ SHINGLE, PERCENT = 5, 75
 KEYS, BANDS, ROWS, BITS = 256, 32, 4, 4
 #: Estimated similarity from which a pair is confirmed: the threshold less 4.3 standard errors.
 FLOOR = 0.63
-#: Documents of a bucket that are compared at once.
-BLOCK = 256
+#: Documents of a bucket that are compared at once: by signatures, and with their texts.
+BLOCK, TEXT_BLOCK = 256, 128
 _WORDS_KEPT = 400_000
 _RNG = np.random.Generator(np.random.PCG64(7))
 _XOR = _RNG.integers(0, 1 << 32, KEYS, dtype=np.uint32)
@@ -161,47 +163,75 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _across(groups: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of two blocks of a bucket (or of one with itself), across components.
-    Rows come as one (block pair) each: ids, components and signatures of both blocks."""
+def _candidates(left: list[dict], right: list[dict]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of left the places in right, best first, that may be linked with it, are of
+    another component and share no earlier band."""
+    size, comp = (np.array([m[k] for m in right], np.int64) for k in ("n", "component"))
+    sig = np.frombuffer(b"".join(m["signature"] for m in right), np.uint8).reshape(len(right), -1)
+    bands = np.array([m["bands"] for m in right], np.int64)
+    for i, m in enumerate(left):
+        low, high = np.minimum(size, m["n"]), np.maximum(size, m["n"])
+        j = np.flatnonzero((comp != m["component"]) & (100 * low >= PERCENT * high))
+        if len(j):
+            e = estimates(np.frombuffer(m["signature"], np.uint8), sig[j])
+            j, e = j[e >= FLOOR], e[e >= FLOOR]
+        if len(j):
+            first = (bands[j] == np.array(m["bands"], np.int64)).argmax(1) == m["at"]
+            j, e = j[first], e[first]
+            yield i, j[np.argsort(-e, kind="stable")]
+
+
+def _may_link(groups: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of a bucket that may be linked across components."""
+    for batch in slices(groups, 1):
+        row = batch.to_pylist()[0]
+        found = set()
+        for i, j in _candidates(row["left"], row["right"]):
+            if len(j):
+                found.add(row["left"][i]["id"])
+                found.update(row["right"][k]["id"] for k in j)
+        yield pa.RecordBatch.from_arrays([pa.array([row["band"]] * len(found), pa.int64()), pa.array(sorted(found), pa.int64())], names=["band", "id"])
+
+
+def _joined(groups: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of components that a link between documents of two blocks joins, but for what
+    follows from pairs already given."""
     for batch in slices(groups, 1):
         row = batch.to_pylist()[0]
         left, right = row["left"], row["right"]
-        ids = [np.array([m["id"] for m in side], np.int64) for side in (left, right)]
-        comp = [np.array([m["component"] for m in side], np.int64) for side in (left, right)]
-        sig = [np.frombuffer(b"".join(m["signature"] for m in side), np.uint8).reshape(len(side), -1) for side in (left, right)]
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        sets = [shingles(m["text"].encode()) for m in right]
         out = []
-        for i in range(len(left)):
-            e = estimates(sig[0][i], sig[1])
-            j = np.flatnonzero((e >= FLOOR) & (comp[1] != comp[0][i]))
-            if len(j):
-                out.append((np.minimum(ids[1][j], ids[0][i]), np.maximum(ids[1][j], ids[0][i]), e[j]))
-        a, b, e = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(e)], names=["a", "b", "estimate"])
-
-
-def _cross_pairs(bucketed: DataFrame) -> DataFrame:
-    """Candidates across components in each bucket: bucketed has band, id, component, signature."""
-    mixed = materialise(
-        bucketed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low <> high").select("band", "n"),
-        "mixed",
-    )
-    # a bucket's documents are dealt to blocks by hash, about BLOCK to each
-    members = bucketed.join(mixed, "band").select(
-        "band",
-        F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"),
-        F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)).cast("int").alias("block"),
-        F.struct("id", "component", "signature").alias("member"),
-    )
-    blocks = materialise(members.groupBy("band", "blocks", "block").agg(F.collect_list("member").alias("members")), "blocks")
+        for i, places in _candidates(left, right):
+            mine = shingles(left[i]["text"].encode()) if len(places) else None
+            for j in places:
+                a, b = find(left[i]["component"]), find(right[j]["component"])
+                if a == b:
+                    continue
+                common = len(mine) + len(sets[j]) - len(np.union1d(mine, sets[j]))
+                if 100 * common >= PERCENT * (len(mine) + len(sets[j]) - common):
+                    root[max(a, b)] = min(a, b)
+                    out.append((left[i]["component"], right[j]["component"]))
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+
+
+def _met(members: DataFrame, size: int) -> DataFrame:
+    """band, left, right: every two blocks, of about size documents, of each bucket that has
+    several components. members: band and member (with id and component)."""
+    counted = members.groupBy("band").agg(F.min("member.component").alias("low"), F.max("member.component").alias("high"), F.count("*").alias("n"))
+    mixed = materialise(counted.filter("low <> high").select("band", F.ceil(F.col("n") / size).cast("int").alias("blocks")), "mixed")
+    dealt = members.join(mixed, "band").withColumn("block", F.pmod(F.xxhash64("member.id"), F.col("blocks")).cast("int"))
+    blocks = materialise(dealt.groupBy("band", "blocks", "block").agg(F.collect_list("member").alias("members")), "blocks")
     # block i meets the blocks j >= i: each block goes once to every pair that it is in
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    met = (
-        blocks.select("band", "block", "members", F.explode(pairs).alias("p"))
-        .groupBy("band", "p")
-        .agg(F.max_by("members", -F.col("block")).alias("left"), F.max_by("members", F.col("block")).alias("right"))
-    )
-    return met.select("left", "right").mapInArrow(_across, "a long, b long, estimate double").distinct()
+    met = blocks.select("band", "block", "members", F.explode(pairs).alias("p")).groupBy("band", "p")
+    return met.agg(F.max_by("members", -F.col("block")).alias("left"), F.max_by("members", F.col("block")).alias("right")).select("band", "left", "right")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -216,10 +246,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     several = sets.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     several = materialise(several.filter("n > 1").select("set_key", "rep"), "classes")
     classed = sets.join(several, "set_key", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    reps = materialise(classed.filter("set_key IS NOT NULL AND rep = doc_id").select(F.col("rep").alias("id"), "signature", "bands").dropDuplicates(["id"]), "reps")
-    keyed = reps.select("id", F.explode("bands").alias("band"))
+    reps = materialise(classed.filter("set_key IS NOT NULL AND rep = doc_id").select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "signature", "bands").dropDuplicates(["id"]), "reps")
+    keyed = reps.select("id", F.posexplode("bands").alias("at", "band"))
     leaders = materialise(keyed.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("band", "leader"), "leaders")
-    bucketed = materialise(keyed.join(leaders, "band").select("band", "id", "leader"), "bucketed")
+    bucketed = materialise(keyed.join(leaders, "band").select("band", "at", "id", "leader"), "bucketed")
     signatures = reps.select("id", "signature")
 
     stars = materialise(bucketed.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "stars")
@@ -234,28 +264,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
         known = labels.select(F.col("node").alias(column), F.col("component").alias("found"))
         return ids.join(known, column, "left").withColumn("component", F.coalesce("found", column)).drop("found")
 
-    in_buckets = labelled(bucketed.select("band", "id"), "id").join(signatures, "id")
-    cross = materialise(_cross_pairs(in_buckets), "cross")
-    cross = labelled(cross.join(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "a")
-    cross = materialise(labelled(cross.withColumnRenamed("component", "ca"), "b").withColumnRenamed("component", "cb"), "cross")
-    nearest = F.max_by(F.struct("a", "b", "ca", "cb"), F.struct("estimate", -F.col("a"), -F.col("b")))
-    tried = materialise(cross.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(nearest.alias("p")).select("p.*"), "tried")
-
-    def joined(pairs: DataFrame) -> DataFrame:
-        """Pairs of components that a confirmed pair joins."""
-        linked = _confirmed(pairs, texts).join(pairs.select("a", "b", "ca", "cb"), ["a", "b"])
-        return linked.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-
-    first = materialise(joined(tried), "joined")
-    over = materialise(components(first), "over")
-
-    def lifted(pairs: DataFrame, column: str) -> DataFrame:
-        known = over.select(F.col("node").alias(column), F.col("component").alias("found"))
-        return pairs.join(known, column, "left").withColumn(f"{column}2", F.coalesce("found", column)).drop("found")
-
-    rest = lifted(lifted(cross.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "ca"), "cb").filter("ca2 <> cb2")
-    second = joined(materialise(rest.select("a", "b", "ca", "cb"), "rest"))
-    top = materialise(components(first.union(second)), "top").toDF("component", "highest")
+    known_of = F.struct("id", "component", "n", "at", "signature", "bands")
+    in_buckets = labelled(bucketed.select("band", "at", "id"), "id").join(reps, "id")
+    may = materialise(_met(in_buckets.select("band", known_of.alias("member")), BLOCK).mapInArrow(_may_link, "band long, id long").distinct(), "may")
+    chosen = labelled(bucketed.select("band", "at", "id").join(may, ["band", "id"], "left_semi"), "id").join(reps, "id").join(texts.withColumnRenamed("doc_id", "id"), "id")
+    with_text = F.struct("id", "component", "n", "at", "signature", "bands", "text")
+    joined = materialise(_met(chosen.select("band", with_text.alias("member")), TEXT_BLOCK).mapInArrow(_joined, "a long, b long").distinct(), "joined")
+    top = materialise(components(joined), "top").toDF("component", "highest")
 
     final = labels.join(top, "component", "left").select("node", F.coalesce("highest", "component").alias("component"))
     alone = top.join(labels.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("highest").alias("component"))

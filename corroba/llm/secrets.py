@@ -116,6 +116,8 @@ def redact(docs: DataFrame, mark: str = "[{kind}]") -> DataFrame:
     @F.pandas_udf("string")
     def without(texts, secrets):
         def one(text, spans):
+            if text is None:
+                return None
             out, at = [], 0
             for s in spans:
                 if s["start"] >= at:
