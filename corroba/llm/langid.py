@@ -27,6 +27,8 @@ TRAIN_TEXTS = 1000
 CALIBRATE = 5
 #: The limit is this quantile of the cross-entropy of kept texts, times the slack.
 QUANTILE, SLACK = 0.995, 1.3
+#: Bits by which a whole text must exceed its limit: short texts are not rejected for a rare word.
+SURPLUS = 40.0
 #: Characters beyond which more text makes the posterior no sharper.
 SHARPEST = 40
 UNDETERMINED = "und"
@@ -161,7 +163,7 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text: str = "te
         return None
     models = Models(languages, counts)
     sent = docs.sparkSession.sparkContext.broadcast(models)
-    scored = sample.filter("kept").select("lang", "text").mapInArrow(lambda b: _predict(b, sent), "lang string, lang_pred string, score double, cross_entropy double")
+    scored = sample.filter("kept").select("lang", "text").mapInArrow(lambda b: _predict(b, sent), f"lang string, {PREDICTED}")
     limits: dict[str, list[float]] = {k: [] for k in languages}
     for r in scored.filter("lang = lang_pred").select("lang_pred", "cross_entropy").collect():
         limits[r.lang_pred].append(r.cross_entropy)
@@ -196,40 +198,41 @@ def _predict(batches: Iterable[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch
         out = []
         for text, ws, end in zip(texts, words, ends):
             if not has_letter(text, ws):
-                out.append((UNDETERMINED, 0.0, None))
+                out.append((UNDETERMINED, 0.0, None, 0))
                 continue
             mine = flat[end - len(ws) : end]
             n = int(sizes[mine].sum())
             entropy = -rows[mine].sum(0, dtype=np.float64) / n
             best = int(entropy.argmin())
             sharp = np.exp2(-(entropy - entropy[best]) * min(n, SHARPEST))
-            out.append((models.languages[best], float(1 / sharp.sum()), float(entropy[best])))
-        columns = list(zip(*out)) or [(), (), ()]
+            out.append((models.languages[best], float(1 / sharp.sum()), float(entropy[best]), n))
+        columns = list(zip(*out)) or [(), (), (), ()]
+        kinds = (pa.string(), pa.float64(), pa.float64(), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.float64())],
-            names=[batch.schema.names[0], "lang_pred", "score", "cross_entropy"],
+            [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))],
+            names=[batch.schema.names[0], "lang_pred", "score", "cross_entropy", "letters"],
         )
 
 
-PREDICTED = "lang_pred string, score double, cross_entropy double"
+PREDICTED = "lang_pred string, score double, cross_entropy double, letters long"
 
 
 def identify(docs: DataFrame, models: Models | None, text: str = "text") -> DataFrame:
     """All columns of docs (in `doc`) with lang_pred, score (0 to 1), cross_entropy (bits a
-    character) and rejected.
+    character), letters (characters scored) and rejected.
 
     Texts that are null or have no letter are `und`, score 0, and rejected; so is every text
     where nothing could be learned. Languages that tie go by name. Rejected are also texts
-    whose cross-entropy is over the limit of their language.
+    whose code is SURPLUS bits longer than the limit of their language allows.
     """
     given = docs.select(F.struct("*").alias("doc"), text_or_empty(text).alias("text"))
     if models is None:
-        return given.select("doc", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected"))
+        return given.select("doc", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(0).cast("long").alias("letters"), F.lit(True).alias("rejected"))
     sent = docs.sparkSession.sparkContext.broadcast(models)
     schema = given.select("doc", *(F.lit(None).cast(k).alias(n) for n, k in (x.split() for x in PREDICTED.split(", ")))).schema
     found = given.mapInArrow(lambda b: _predict(b, sent), schema)
     limit = F.coalesce(*(F.when(F.col("lang_pred") == k, F.lit(v)) for k, v in models.limits.items()))
-    return found.withColumn("rejected", F.coalesce(F.col("cross_entropy") > limit, F.lit(True)))
+    return found.withColumn("rejected", F.coalesce((F.col("cross_entropy") - limit) * F.col("letters") > SURPLUS, F.lit(True)))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
