@@ -178,7 +178,7 @@ def test_context_tree_weighting_by_hand(spark):
     got = {r.doc_id: r for r in ctw.score(docs, F.lit(True)).collect()}
     assert got[2].score == got[3].score == 0.0 and got[2].code_length is None and got[1].code_length < 4
     unknown = {r.doc_id: r for r in ctw.score(docs, F.lit(False)).collect()}
-    assert math.isclose(unknown[1].score, -64 * math.log10(2), rel_tol=1e-5) and unknown[1].train_tokens == 0 and unknown[1].n_known == 0
+    assert math.isclose(unknown[1].score, -64 * math.log10(2), rel_tol=1e-3) and unknown[1].train_tokens == 0 and unknown[1].n_known == 0
 
 
 def test_lm_of_odd_rows(spark, odd, nothing):
