@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,10 +13,9 @@ def closure(edges: DataFrame, start: DataFrame, max_depth: int = 50) -> DataFram
     the start nodes and the reached ones. A breadth-first walk: each round joins the frontier
     with the edges and leaves out what was met before, so cycles end."""
     spark = edges.sparkSession
-    if not spark.sparkContext.getConf().get("spark.checkpoint.dir") and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corroba-"))  # a single machine, as in tests
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:  # a temporary folder only on a single machine, as in tests
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corroba-"))
     edges = edges.distinct().checkpoint()
     frontier = start.select("node").distinct()
     met = frontier
