@@ -1,12 +1,15 @@
 """Operator 10: embedding near-duplicates by product quantisation.
 
 Coarse centroids (k-means on a bounded sample) split the vectors into inverted lists; what a
-centroid leaves is coded by SUBSPACES codes of 256 codewords. Every vector probes its PROBES
-nearest lists; table lookups give its distance to the coded vectors, and as each code's own
-error is kept, no linked vector of a probed list is passed over: the triangle inequality
-bounds the true distance from below. What remains is ranked again by the exact cosine in
-double precision. Equal vectors are one class with a weight. Lists are cut into blocks and
-compared block by block; a block pair returns counts and a spanning forest, not its pairs.
+centroid leaves is coded by SUBSPACES codes of 256 codewords. A vector is compared with every
+list that can hold a link: list borders are hyperplanes, and a link reaches past one by at most
+its own length; a list further off than its radius and that length is left out as well. Table
+lookups give the distance to the coded vectors, and as each code's own error is kept, no linked
+vector is passed over: the triangle inequality bounds the true distance from below. What remains
+is ranked again by the exact cosine in double precision. Lists that lie wholly within reach of a
+vector are counted by weight, without comparing. Equal vectors are one class with a weight.
+Lists are broadcast in shards of bounded size and every task compares its rows with a shard; it
+returns counts and a spanning forest, not its pairs. So a hot group neither skews nor shuffles.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from corroba.llm._common import materialise, slices, table
 from corroba.llm.graph import components
@@ -24,9 +28,11 @@ from corroba.llm.graph import components
 COSINE = 0.95
 #: Vectors that centroids and codewords are fitted on, at most about.
 SAMPLE = 20_000
-LIST_SIZE, MAX_LISTS, PROBES, SUBSPACES, CODEWORDS = 128, 4096, 16, 8, 256
-#: Vectors of a block.
-BLOCK = 512
+LIST_SIZE, MAX_LISTS, SUBSPACES, CODEWORDS = 128, 4096, 8, 256
+#: Bytes of the vectors of a broadcast shard, about.
+SHARD_BYTES = 16 << 20
+#: Rows, and members of a list, that are compared at a time.
+ROWS, MEMBERS = 1024, 1024
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -59,13 +65,10 @@ class Quantiser:
         self.cuts = np.linspace(0, sample.shape[1], min(SUBSPACES, sample.shape[1]) + 1).astype(int)
         self.words = [k_means(np.ascontiguousarray(rest[:, a:b]), CODEWORDS) for a, b in zip(self.cuts, self.cuts[1:])]
 
-    def probes(self, x: np.ndarray) -> np.ndarray:
-        """The nearest lists of each vector, nearest first."""
-        half = (self.centres**2).sum(1) / 2
-        far = half - np.einsum("ij,kj->ik", x, self.centres, optimize=True)
-        k = min(PROBES, len(self.centres))
-        near = np.argpartition(far, k - 1, 1)[:, :k]
-        return np.take_along_axis(near, np.take_along_axis(far, near, 1).argsort(1, kind="stable"), 1)
+    def squares(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        """Squared distances of vectors from the centres of some lists."""
+        centres = self.centres[lists]
+        return np.maximum(0, (x**2).sum(1)[:, None] + (centres**2).sum(1) - 2 * (x @ centres.T))
 
     def encode(self, x: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the residuals and the distance of each vector from what its code stands for."""
@@ -74,18 +77,18 @@ class Quantiser:
         stands = np.concatenate([w[codes[:, s]] for s, w in enumerate(self.words)], 1)
         return codes, np.sqrt(((rest - stands) ** 2).sum(1))
 
-    def distances(self, x: np.ndarray, one: int, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric distances of vectors from the coded vectors of a list, by table lookup."""
-        rest = x - self.centres[one]
-        total = np.zeros((len(x), len(codes)), np.float32)
-        for s, (a, b) in enumerate(zip(self.cuts, self.cuts[1:])):
-            lookup = ((rest[:, None, a:b] - self.words[s][None]) ** 2).sum(2).astype(np.float32)
-            total += lookup[:, codes[:, s]]
-        return np.sqrt(total)
+    def tables(self, x: np.ndarray) -> list[np.ndarray]:
+        """For each subspace: the product of each codeword with each vector's part."""
+        return [(w @ x[:, a:b].T).astype(np.float32) for w, a, b in zip(self.words, self.cuts, self.cuts[1:])]
+
+    def offsets(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """What a coded vector of a list adds to the squared distance from the list's centre."""
+        stands = np.concatenate([w[codes[:, s]] for s, w in enumerate(self.words)], 1)
+        return (stands**2 + 2 * self.centres[lists] * stands).sum(1)
 
 
-def _unit(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+def _unit(raw: list[bytes], kind: str = "<f8") -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
     return x / np.sqrt((x**2).sum(1, keepdims=True))
 
 
@@ -107,7 +110,110 @@ def _forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return nodes[moved], nodes[label[moved]]
 
 
-MEMBER = "struct<id:long,weight:long,vector:binary,home:int,probes:array<int>,codes:binary,error:double>"
+class Shard:
+    """Members of some lists, sorted by list, and what comparing rows with them found so far.
+
+    Each pair of vectors is compared once: by the row of the lower list, or in one list by the
+    lower id.
+    """
+
+    def __init__(self, quantiser: Quantiser, members: pa.Table, kind: str, cosine: float):
+        self.q, self.cosine, self.reach = quantiser, cosine, float(np.sqrt(2 - 2 * cosine)) + 1e-6
+        home = members["home"].to_numpy()
+        order = np.lexsort((members["id"].to_numpy(), home))
+        home, self.id, self.weight, error = home[order], *(members[c].to_numpy()[order] for c in ("id", "weight", "error"))
+        raw, codes = members["vector"].to_pylist(), members["codes"].to_pylist()
+        self.y = _unit([raw[i] for i in order], kind)
+        self.codes = np.frombuffer(b"".join(codes[i] for i in order), np.uint8).reshape(len(order), -1)
+        self.offset = self.q.offsets(home, self.codes).astype(np.float32)
+        # squares are compared in single precision, hence the margin
+        self.limit = ((self.reach + error) ** 2 + 1e-4).astype(np.float32)
+        self.lists, starts = np.unique(home, return_index=True)
+        self.ends = np.append(starts, len(home))
+        self.radius = np.sqrt(np.maximum.reduceat(((self.y - self.q.centres[home]) ** 2).sum(1), starts)) + 1e-9
+        self.apart = np.sqrt(self.q.squares(self.q.centres, self.lists))
+        self.links, self.label = np.zeros(len(home), np.int64), self.id.copy()
+
+    def compare(self, x: np.ndarray, ids: np.ndarray, weights: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Links of the rows; those of the members are added up here. Also the links' forest."""
+        links, label, edges = np.zeros(len(x), np.int64), ids.copy(), []
+        far, tables = self.q.squares(x, self.lists), self.q.tables(x)
+        own = ((x - self.q.centres[home]) ** 2).sum(1)
+        near = (far - own[:, None] <= 2 * self.reach * self.apart[home] + 1e-9) & (np.sqrt(far) <= self.radius + self.reach) & (home[:, None] <= self.lists)
+        whole = near & (np.sqrt(far) + self.radius + 2e-6 <= self.reach) & (home[:, None] < self.lists)
+        near &= ~whole
+
+        def link(i: np.ndarray, j: np.ndarray) -> None:
+            a, b = label[i], self.label[j]
+            apart = a != b
+            if apart.any():
+                node, root = _forest(a[apart], b[apart])
+                edges.append((node, root))
+                for labels in (label, self.label):
+                    at = np.minimum(np.searchsorted(node, labels), len(node) - 1)
+                    labels[:] = np.where(node[at] == labels, root[at], labels)
+
+        for place, one in enumerate(self.lists):
+            low, high = self.ends[place], self.ends[place + 1]
+            rows = np.flatnonzero(whole[:, place])
+            if len(rows):
+                links[rows] += self.weight[low:high].sum()
+                self.links[low:high] += weights[rows].sum()
+                link(np.concatenate([rows, np.full(high - low, rows[0])]), np.concatenate([np.full(len(rows), low), np.arange(low, high)]))
+            rows = np.flatnonzero(near[:, place])
+            if not len(rows):
+                continue
+            some = 3 * len(rows) < len(x)
+            used = [t[:, rows] for t in tables] if some else tables
+            for at in range(low, high, MEMBERS):
+                held = slice(at, min(at + MEMBERS, high))
+                products = sum(t[self.codes[held, s]] for s, t in enumerate(used))
+                if not some:
+                    products = products[:, rows]
+                may = (far[rows, place].astype(np.float32) + self.offset[held, None] - 2 * products) <= self.limit[held, None]
+                j, i = np.nonzero(may)
+                if not len(i):
+                    continue
+                if 8 * len(i) > may.size:
+                    exact = (self.y[held] @ x[rows].T)[j, i]
+                    edge = np.flatnonzero(np.abs(exact - self.cosine) < 1e-9)
+                    exact[edge] = np.einsum("ij,ij->i", x[rows[i[edge]]], self.y[at + j[edge]])
+                else:
+                    exact = np.einsum("ij,ij->i", x[rows[i]], self.y[at + j])
+                keep = exact >= self.cosine
+                i, j = rows[i[keep]], at + j[keep]
+                same = (home[i] != one) | (ids[i] < self.id[j])
+                i, j = i[same], j[same]
+                links += np.bincount(i, self.weight[j], len(x)).astype(np.int64)
+                self.links += np.bincount(j, weights[i], len(self.id)).astype(np.int64)
+                link(i, j)
+        return links, edges
+
+
+def _told(ids: np.ndarray, links: np.ndarray, edges: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Rows of id, links, root: the links counted, then the edges of the forest."""
+    some = np.flatnonzero(links)
+    node, root = (np.concatenate([ids[:0], *(e[k] for e in edges)]) for k in (0, 1))
+    columns = np.concatenate([ids[some], node]), np.concatenate([links[some], np.zeros(len(node), np.int64)]), np.concatenate([ids[some], root])
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "links", "root"])
+
+
+def _shards(sizes: pa.Table, most: int) -> Iterator[tuple[int, int, int, int]]:
+    """(first list, last list, piece, pieces) of shards of about `most` members; a longer list is cut by id."""
+    held: list[int] = []
+    n = 0
+    for one, size in zip(sizes["home"].to_pylist(), sizes["count"].to_pylist()):
+        if held and n + size > most:
+            yield held[0], held[-1], 0, 1
+            held, n = [], 0
+        if size > most:
+            pieces = -(-size // most)
+            yield from ((one, one, piece, pieces) for piece in range(pieces))
+            continue
+        held.append(one)
+        n += size
+    if held:
+        yield held[0], held[-1], 0, 1
 
 
 def link_vectors(vectors: DataFrame, id_col: str = "vec_id", column: str = "embedding", cosine: float = COSINE) -> DataFrame:
@@ -119,6 +225,8 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", column: str = "embe
     ignored; an empty table gives no rows.
     """
     spark = vectors.sparkSession
+    # vectors given in single precision are kept so: nothing is lost
+    kind = "<f4" if vectors.schema[column].dataType.elementType == FloatType() else "<f8"
     number = F.transform(column, lambda x: x.cast("double"))
     sound = F.coalesce(F.exists(number, lambda x: x != 0) & F.forall(number, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
     given = materialise(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(sound, number).alias("v")), "vectors")
@@ -147,71 +255,41 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", column: str = "embe
                 continue
             raw = [np.asarray(v, np.float64) for v in batch.column(2).to_pylist()]
             x = _unit([v.tobytes() for v in raw])
-            probes = q.probes(x)
-            codes, error = q.encode(x, probes[:, 0])
+            home = _nearest(x, q.centres)
+            codes, error = q.encode(x, home)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), batch.column(1), pa.array([v.tobytes() for v in raw], pa.binary()), pa.array(probes[:, 0], pa.int32()),
-                    pa.array(probes.tolist(), pa.list_(pa.int32())), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error),
+                    batch.column(0), batch.column(1), pa.array([v.astype(kind).tobytes() for v in raw], pa.binary()), pa.array(home, pa.int32()),
+                    pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error),
                 ],
-                names=["id", "weight", "vector", "home", "probes", "codes", "error"],
+                names=["id", "weight", "vector", "home", "codes", "error"],
             )
 
-    indexed = materialise(single.mapInArrow(index, MEMBER[7:-1].replace(":long", " long").replace(":binary", " binary").replace(":int", " int").replace(":array", " array").replace(":double", " double")), "indexed")
-    member = F.struct("id", "weight", "vector", "home", "probes", "codes", "error").alias("member")
-    sizes = materialise(indexed.groupBy(F.col("home").alias("list")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
-    asked = indexed.select(F.explode("probes").alias("list"), member)
-    asks = materialise(asked.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ask_blocks")), "asks")
-    both = materialise(sizes.join(asks, "list"), "blocks")
-
-    def in_blocks(rows: DataFrame, own: str, other: str, names: tuple[str, str]) -> DataFrame:
-        """Blocks of a list's members, once for each block of the other side."""
-        dealt = rows.join(F.broadcast(both) if MAX_LISTS * 64 < 10 << 20 else both, "list").withColumn(names[0], F.pmod(F.xxhash64("member.id"), F.col(own)).cast("int"))
-        packed = dealt.groupBy("list", names[0], other).agg(F.collect_list("member").alias(f"{names[0]}s"))
-        return materialise(packed, names[0]).select("list", names[0], F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(names[1]), f"{names[0]}s")
-
-    index_side = in_blocks(indexed.select(F.col("home").alias("list"), member), "blocks", "ask_blocks", ("held", "ask"))
-    query_side = in_blocks(asked, "ask_blocks", "blocks", ("ask", "held"))
-    pairs = index_side.join(query_side, ["list", "held", "ask"]).select("list", "helds", "asks")
-
-    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = quantiser.value
-        reach = np.sqrt(2 - 2 * cosine) + 1e-6
-        for batch in slices(batches, 1):
-            row = batch.to_pylist()[0]
-            held, ask = row["helds"], row["asks"]
-            y, x = _unit([m["vector"] for m in held]), _unit([m["vector"] for m in ask])
-            id_y, id_x = (np.array([m["id"] for m in s], np.int64) for s in (held, ask))
-            weight_y, weight_x = (np.array([m["weight"] for m in s], np.int64) for s in (held, ask))
-            codes = np.frombuffer(b"".join(m["codes"] for m in held), np.uint8).reshape(len(held), -1)
-            error = np.array([m["error"] for m in held], np.float32)
-            found: list[tuple] = []
-            for at in range(0, len(ask), 64):
-                far = q.distances(x[at : at + 64], row["list"], codes)
-                i, j = np.nonzero(far <= reach + error + 1e-4)
-                i += at
-                exact = np.einsum("ij,ij->i", x[i], y[j])
-                keep = (exact >= cosine) & (id_x[i] != id_y[j])
-                found.append((i[keep], j[keep]))
-            i, j = (np.concatenate(c) for c in zip(*found))
-            if not len(i):
-                continue
-            # a link that the other side finds too is counted there; otherwise both ends count here
-            home = np.array([m["home"] for m in ask], np.int64)
-            width = len(held[0]["probes"])
-            probes = np.array([m["probes"] for m in held], np.int64).reshape(-1, width)
-            alone = (probes[j] != home[i][:, None]).all(1)
-            ids = np.concatenate([id_x[i], id_y[j][alone]])
-            gains = np.concatenate([weight_y[j], weight_x[i][alone]])
-            counted, place = np.unique(ids, return_inverse=True)
-            links = np.bincount(place, gains, len(counted)).astype(np.int64)
-            node, root = _forest(id_x[i], id_y[j])
-            nothing = np.zeros(len(node), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([counted, node])), pa.array(np.concatenate([links, nothing])), pa.array(np.concatenate([counted, root]))], names=["id", "links", "root"]
-            )
-
-    found = materialise(pairs.mapInArrow(compare, "id long, links long, root long"), "found")
+    indexed = single.mapInArrow(index, "id long, weight long, vector binary, home int, codes binary, error double")
+    # rows of every list in every part, so that tasks have the same to compare
+    parts = max(2 * spark.sparkContext.defaultParallelism, n // 20_000)
+    indexed = materialise(indexed.repartition(parts, "id").sortWithinPartitions("home", "id"), "indexed")
+    most = max(1, SHARD_BYTES // (lengths.d * np.dtype(kind).itemsize))
+    found = None
+    for first, last, piece, pieces in _shards(indexed.groupBy("home").count().orderBy("home").toArrow(), most):
+        members = indexed.filter(F.col("home").between(first, last) & (F.pmod(F.xxhash64("id"), F.lit(pieces)) == piece)).toArrow()
+        if not members.num_rows:
+            continue
+        sent = spark.sparkContext.broadcast(members)
+
+        def compare(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            shard = Shard(quantiser.value, sent.value, kind, cosine)
+            for batch in slices(batches, ROWS):
+                if not batch.num_rows:
+                    continue
+                ids, weights, home = (batch.column(c).to_numpy() for c in (0, 1, 3))
+                links, edges = shard.compare(_unit(batch.column(2).to_pylist(), kind), ids, weights, home)
+                yield _told(ids, links, edges)
+            yield _told(shard.id, shard.links, [])
+
+        part = materialise(indexed.filter(F.col("home") <= last).select("id", "weight", "vector", "home").mapInArrow(compare, "id long, links long, root long"), "found")
+        found = part if found is None else found.union(part)
+        sent.destroy()
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).toDF("id", "component")
     known = classes.join(counts, "id", "left").join(labels, "id", "left")

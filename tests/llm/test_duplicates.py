@@ -115,6 +115,29 @@ def test_vectors_against_brute_force(spark):
         assert [got[i].component_id for i in range(len(u))] == label.tolist()
 
 
+@pytest.mark.parametrize("shard_bytes", [16 << 20, 90_000])
+def test_vectors_of_a_hot_group_in_many_lists(spark, monkeypatch, shard_bytes):
+    monkeypatch.setattr(vectors, "LIST_SIZE", 16)
+    monkeypatch.setattr(vectors, "SHARD_BYTES", shard_bytes, raising=False)
+    rng = np.random.default_rng(5)
+    hot = rng.normal(size=64) + rng.normal(size=(1000, 64)) * 0.17
+    tight = rng.normal(size=64) + rng.normal(size=(200, 64)) * 0.001
+    x = np.concatenate([hot, tight, rng.normal(size=(1800, 64)), hot[:20]])[rng.permutation(3020)]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    close = (u @ u.T >= vectors.COSINE) & ~np.eye(len(u), dtype=bool)
+    assert close.sum() > 500_000
+    rows = [(i, r.tolist()) for i, r in enumerate(x)]
+    got = {r.vec_id: r for r in vectors.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert [got[i].n_links for i in range(len(u))] == close.sum(1).tolist()
+    low = np.arange(len(u))
+    while True:
+        new = np.array([min(low[i], low[c].min(initial=len(u))) for i, c in enumerate(close)])
+        if (new == low).all():
+            break
+        low = new
+    assert [got[i].component_id for i in range(len(u))] == low.tolist()
+
+
 def test_vectors_of_nothing(spark):
     assert vectors.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert vectors.link_vectors(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).first().n_links == 0
