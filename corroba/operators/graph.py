@@ -8,14 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def set_checkpoints(rows: DataFrame) -> None:
+    """Gives the session of rows a checkpoint folder, if it has none."""
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:  # a temporary folder only on a single machine, as in tests
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corroba-"))
+
+
 def closure(edges: DataFrame, start: DataFrame, max_depth: int = 50) -> DataFrame:
     """Nodes reached from the start nodes over edges (parent, child), with all parents among
     the start nodes and the reached ones. A breadth-first walk: each round joins the frontier
     with the edges and leaves out what was met before, so cycles end."""
-    spark = edges.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:  # a temporary folder only on a single machine, as in tests
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corroba-"))
+    set_checkpoints(edges)
     edges = edges.distinct().checkpoint()
     frontier = start.select("node").distinct()
     met = frontier

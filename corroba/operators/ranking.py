@@ -5,19 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corroba.operators.graph import set_checkpoints
+
 
 def greedy_budget(rows: DataFrame, key: str, order: list[str], value: str, length: str, most: int, each: int, total: int) -> DataFrame:
     """key, value, place, total: in order, rows are picked while the sum of their lengths (each
-    counted up to `each`) stays within `total`; one too long is passed by; at most `most`."""
-    items = F.array_sort(F.collect_list(F.struct(*order, F.least(F.col(length), F.lit(each)).cast("long").alias("n"), F.col(value).alias("pick"))))
-    kind = dict(rows.dtypes)[value]
-    start = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast(f"array<struct<pick:{kind},total:bigint>>").alias("picked"))
-
-    def step(state, item):
-        fits = (F.size(state.picked) < most) & (state.total + item.n <= total)
-        more = F.concat(state.picked, F.array(F.struct(item.pick.alias("pick"), (state.total + item.n).alias("total"))))
-        return F.struct(F.when(fits, state.total + item.n).otherwise(state.total).alias("total"), F.when(fits, more).otherwise(state.picked).alias("picked"))
+    counted up to `each`) stays within `total`; one too long is passed by; at most `most`.
 
-    picked = rows.groupBy(key).agg(items.alias("items")).select(key, F.aggregate("items", start, step, lambda s: s.picked).alias("picked"))
-    found = picked.select(key, F.posexplode("picked").alias("at", "p"))
-    return found.select(key, F.col("p.pick").alias(value), (F.col("at") + 1).cast("long").alias("place"), F.col("p.total").alias("total"))
+    Each of at most `most` rounds takes the first row after the last picked one that still fits,
+    as a minimum that partial aggregation makes cheap: no key's rows are gathered."""
+    set_checkpoints(rows)
+    n = F.least(F.col(length), F.lit(each)).cast("long")
+    item = F.struct(*order, n.alias("n"), F.col(value).alias("pick"))
+    # equal rows are one item with a count; what never fits goes
+    items = rows.filter(n <= total).groupBy(F.col(key).alias("key"), item.alias("item")).agg(F.count("*").alias("copies")).checkpoint()
+    found = None
+    state = None
+    for _ in range(most):
+        left = items
+        if state is not None:
+            known = state.select(F.col("key").alias("of"), "last", "place", "total")
+            left = items.join(known, F.col("key").eqNullSafe(F.col("of")) & (F.col("item") > F.col("last")) & (F.col("item.n") + F.col("total") <= total) & (F.col("place") < most))
+        else:
+            left = items.select("*", F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("total"))
+        first = F.min(F.struct("item", "copies"))
+        state = left.groupBy("key").agg(first.alias("f"), F.first("place").alias("before"), F.first("total").alias("spent"))
+        fits = F.when(F.col("f.item.n") > 0, F.floor((total - F.col("spent")) / F.col("f.item.n"))).otherwise(most)
+        state = state.withColumn("taken", F.least("f.copies", most - F.col("before"), fits.cast("long")))
+        state = state.select(
+            "key", F.col("f.item").alias("last"), "before", "spent", (F.col("before") + F.col("taken")).alias("place"), (F.col("spent") + F.col("taken") * F.col("f.item.n")).alias("total")
+        ).checkpoint()
+        if state.isEmpty():
+            break
+        found = state if found is None else found.union(state)
+    picked = (state if found is None else found).select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("place") - F.col("before"))).alias("at"))
+    return picked.select(F.col("key").alias(key), F.col("last.pick").alias(value), (F.col("before") + F.col("at")).alias("place"), (F.col("spent") + F.col("at") * F.col("last.n")).alias("total"))

@@ -123,6 +123,21 @@ def test_budget_passes_by_what_does_not_fit(spark):
     assert [(r.v, r.total) for r in got] == [(10, 900), (12, 1000)]
 
 
+def test_budget_gathers_no_group(spark, monkeypatch):
+    monkeypatch.setattr(F, "collect_list", None)
+    rng = random.Random(8)
+    rows = [(rng.choice(["s", "t", None]), rng.choice([None, 1, 2, 3]), rng.randrange(4), rng.choice([None, 0, 100, 300, 450, 2000])) for _ in range(80)]
+    want = []
+    for k in ("s", "t", None):
+        spent = place = 0
+        for o, n, v in sorted((-1 if o is None else o, 1000 if n is None else min(n, 1000), v) for key, o, v, n in rows if key == k):
+            if place < 6 and spent + n <= 1050:
+                spent, place = spent + n, place + 1
+                want.append((k, v, place, spent))
+    found = greedy_budget(spark.createDataFrame(rows, "k string, o int, v int, n int"), "k", ["o"], "v", "n", most=6, each=1000, total=1050)
+    assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(map(str, want))
+
+
 def test_closure_of_a_cycle(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "parent string, child string")
     got = {r.node: r.parents for r in closure(edges, spark.createDataFrame([("a",)], "node string")).collect()}
