@@ -186,3 +186,24 @@ def test_lm_of_odd_rows(spark, odd, nothing):
 
     assert ctw.score(odd, F.lit(True)).count() == 10
     assert ctw.score(nothing, F.lit(True)).count() == 0
+
+
+SECRETS = {
+    "assign": ["Password: abcdef1", "passwd=abc123", 'SECRET" = "abcdef', "token:abcdef.", "API_KEY='abcdefg", "apikey = abcdef"],
+    "access": ["AKIA" + "Z9" * 8],
+    "hex": ["0a" * 12],
+    "private_key": ["-----BEGIN PRIVATE KEY-----", "-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN A B PRIVATE KEY-----"],
+    "code_host": [f"gh{c}_" + "a1" * 18 for c in "pousr"],
+    "chat": [f"xox{c}-" + "a1-" * 4 for c in "abprs"],
+    "web_token": ["eyJ" + "a" * 8 + ".eyJ" + "b" * 8 + "." + "c" * 8],
+    "payment": [f"{a}k_{b}_" + "a1" * 8 for a in "sr" for b in ("live", "test")],
+}
+
+
+@pytest.mark.parametrize("rule", secrets.RULES, ids=lambda r: r.kind)
+def test_literals_of_a_rule_fit_its_pattern(rule, texts):
+    held = [f"x {s} y" for some in SECRETS.values() for s in some] + [t or "" for t in texts.values()]
+    query, compiled = secrets.trigram_query(rule.literals), re.compile(rule.pattern)
+    segment = secrets.Segment(held, {g for clause in query for literal in clause for g in literal})
+    full = {i for i, t in enumerate(held) if secrets.matches(rule, compiled, t)}
+    assert {held.index(f"x {s} y") for s in SECRETS[rule.kind]} <= full <= segment.candidates(query)
