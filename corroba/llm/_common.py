@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import re
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -16,7 +18,31 @@ from pyspark.sql import functions as F
 _own_dir: dict[str, str] = {}
 
 
+#: Bytes of rows that go to a Python worker at a time.
+BATCH_BYTES = 8 << 20
+_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session sends workers no larger batches of rows, so that texts lie in
+    memory a few at a time on both sides."""
+    if int(spark.conf.get(_KEY).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_KEY, str(BATCH_BYTES))
+
+
+def tidy(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; at the end the worker, which lives on, gives memory back to the system."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     # workers import this package from where the driver has it, unless --py-files brings it
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,12 +51,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A folder of this application in the cluster's shared folder (spark.checkpoint.dir).
 
-    Only where that setting is absent, as in tests on one machine, is a temporary
-    folder made. The folder goes when the driver's Python ends.
+    Only where that setting is absent and the master is local, as in tests, is a temporary
+    folder made; on a cluster executors would not see it. The folder goes when the driver's
+    Python ends.
     """
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         _own_dir[app] = f"{base or tempfile.mkdtemp(prefix='corroba-')}/corroba-{app}-{uuid.uuid4().hex[:8]}"
         atexit.register(_remove, spark, _own_dir[app])
     return _own_dir[app]
@@ -51,6 +80,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: later steps neither
     recompute it nor depend on the executors that made it."""
+    small_batches(df.sparkSession)
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

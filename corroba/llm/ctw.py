@@ -1,16 +1,27 @@
 """Operator 4: language-model scores by context-tree weighting over bytes.
 
 Every byte is eight binary decisions, and every decision (node of the byte's tree) has a
-context tree over the preceding bytes. At each context Krichevsky-Trofimov estimates are
-weighted against the product of the deeper contexts, so all depths mix by how well they
-coded the training texts. The weights depend on counts alone: Spark counts the
-bytes after each context over all training documents, one pass a depth. The tree is bounded
-(the MAX_CONTEXTS most frequent contexts of a depth; rarer ones end one level higher) and
-small enough to broadcast as a table of log-probabilities, one row a context.
+context tree over the DEPTH bytes before. At each context the Krichevsky-Trofimov estimate is
+weighted against the product of the deeper contexts, so all depths mix by how well they coded
+the training texts. The tree has every context that the training texts have: it grows with
+them, and no context is left out. A context that they don't have ends one level higher.
+
+A gram is a context and the byte after it, in one number: the byte just before comes first,
+so sorted grams have the contexts of each depth side by side. The steps, all distributed:
+
+1. Texts are dealt to blocks; a block's distinct grams are sorted and counted, and go as
+   compressed arrays to slots, by a hash of their TOP nearest bytes.
+2. A slot adds up the counts of all blocks. All contexts below TOP bytes lie in it whole, so it
+   computes their weights, and for each gram and decision the mixture of the depths from TOP on.
+3. What the contexts of TOP bytes are worth is summed for the shorter ones, of which there are
+   256**(TOP-1) at most; their weights are broadcast.
+4. Each block gets the log-probabilities of its own grams back and adds them up by document.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -19,213 +30,216 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corroba.llm._common import as_bytes, crc_mod, materialise, slices, table, text_or_empty
+from corroba.llm._common import as_bytes, crc_mod, materialise, slices, table, text_or_empty, tidy
 
-DEPTH = 6
-#: Contexts kept of each depth from 2 on: the table has at most 5 * MAX_CONTEXTS + 257 rows of 512 bytes.
-MAX_CONTEXTS = 12_288
+#: Bytes of a context; of the contexts from TOP bytes on each slot has all that share TOP bytes.
+DEPTH, TOP = 6, 3
+#: Bytes of text of a block, of the text behind a slot, and of the texts that a task reads at a time.
+BLOCK_BYTES, SLOT_BYTES, PORTION = 32 << 20, 2 << 20, 4 << 20
 #: Most frequent tokens whose counts are broadcast; the others are joined.
 FREQUENT = 50_000
-#: Parts of a decimal digit that the table's numbers count; they are rounded against the text.
-PARTS = 5000
-_PAD = b"\n" * DEPTH
+#: Longer tokens are known by a digest.
+TOKEN_BYTES = 64
+#: Log-odds are kept in this part of a unit; UNSEEN stands where no context of TOP bytes is known.
+ODDS, UNSEEN = 1000.0, -32768
+_LN2 = math.log(2)
+_ALL = 8 * (DEPTH + 1)
+_CODEC = pa.Codec("zstd", compression_level=1)
+_SMALL = 1 << 16
+_HALF = np.concatenate([[0.0], np.cumsum(np.log(np.arange(_SMALL - 1) + 0.5))])
+_WHOLE = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1.0, _SMALL)))])
+
+
+def _log_product(n: np.ndarray, known: np.ndarray, first: float) -> np.ndarray:
+    """ln of first * (first + 1) * ... of n factors; by Stirling's series beyond the table."""
+    out = known[np.minimum(n, _SMALL - 1)]
+    big = np.flatnonzero(n >= _SMALL)
+    if len(big):
+        x = n[big] + first
+        out[big] = (x - 0.5) * np.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x**3) - math.lgamma(first)
+    return out
+
+
+def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Natural logarithm of the Krichevsky-Trofimov probability of so many zeros and ones."""
+    return _log_product(zeros, _HALF, 0.5) + _log_product(ones, _HALF, 0.5) - _log_product(zeros + ones, _WHOLE, 1.0)
+
+
+def press(x: np.ndarray) -> bytes:
+    """The numbers' bytes, place by place, compressed: high bytes of sorted numbers are alike."""
+    return _CODEC.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T), asbytes=True)
 
 
-def _padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' bytes, DEPTH line feeds before each, and where the texts' own bytes lie."""
-    raw = np.frombuffer(b"".join(x for t in texts for x in (_PAD, t)), np.uint8)
-    own = np.ones(len(raw), bool)
+def expand(raw: bytes, n: int, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(_CODEC.decompress(raw, n * size, asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def grams_of(texts: list[bytes]) -> np.ndarray:
+    """The gram at each byte of the texts; line feeds stand before a text."""
+    pad = b"\n" * DEPTH
+    raw = np.frombuffer(b"".join(x for t in texts for x in (pad, t)), np.uint8)
+    if len(raw) <= DEPTH:
+        return np.zeros(0, np.uint64)
+    grams = np.zeros(len(raw) - DEPTH, np.uint64)
+    for back in range(1, DEPTH + 1):
+        grams |= raw[DEPTH - back : len(raw) - back]
+        grams <<= np.uint64(8)
+    grams |= raw[DEPTH:]
+    own = np.ones(len(grams) + DEPTH, bool)
     starts = np.cumsum([0, *(len(t) + DEPTH for t in texts[:-1])])
     for k in range(DEPTH):
         own[starts + k] = False
-    return raw, np.flatnonzero(own)
+    return grams[own[DEPTH:]]
 
 
-def _log_kt(rows: np.ndarray) -> np.ndarray:
-    """Natural logarithm of the Krichevsky-Trofimov probability of each node's zeros and ones,
-    for rows of 256 byte counts; some rows at a time, as the series needs room."""
-    out = np.zeros((len(rows), 255))
-    for at in range(0, len(rows), 512):
-        a, b = _node_counts(rows[at : at + 512].astype(np.float64))
-        out[at : at + 512] = _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1.0) - np.log(np.pi)
-    return out
+def counted(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams in order, and how often each occurs."""
+    grams = np.sort(grams)
+    first = _first(grams)
+    return grams[first], np.diff(np.append(first, len(grams)))
 
 
-def _log_gamma(x: np.ndarray) -> np.ndarray:
-    """Stirling's series after shifting the argument above 8."""
-    shift, y = np.zeros_like(x), x.copy()
-    for _ in range(8):
-        low = y < 8
-        shift += np.where(low, np.log(y), 0.0)
-        y = np.where(low, y + 1, y)
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
+def _first(x: np.ndarray) -> np.ndarray:
+    """Where another number begins in a sorted array."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
 
 
-def _node_counts(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones at the 255 nodes of the byte tree, for rows of 256 byte counts."""
-    zeros, ones = np.zeros((len(rows), 255), rows.dtype), np.zeros((len(rows), 255), rows.dtype)
-    level = rows
-    for bits in range(7, -1, -1):  # nodes of 2**bits prefixes, kept at 2**bits - 1 and on
-        zeros[:, (1 << bits) - 1 : (2 << bits) - 1], ones[:, (1 << bits) - 1 : (2 << bits) - 1] = level[:, ::2], level[:, 1::2]
-        level = level[:, ::2] + level[:, 1::2]
-    return zeros, ones
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    grams, n = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    order = np.argsort(grams)
+    grams, n = grams[order], n[order]
+    first = _first(grams)
+    return grams[first], np.add.reduceat(n, first) if len(first) else n
 
 
-class ContextTree:
-    """Rows of -log10 P(byte | context) in PARTS, for the contexts that the bounded tree has.
+class Subtrees:
+    """The context trees of grams that share their TOP nearest bytes or more.
 
-    levels: for each depth from 2 on, the sorted contexts (the depth's bytes as a number).
+    grams: sorted, distinct; n: how often the training texts have each, 0 for those that are
+    only asked for. odds: for each decision and gram, the log-odds of a one by the depths from
+    TOP on; top: what the trees give the contexts of TOP - 1 bytes.
     """
 
-    def __init__(self, levels: list[np.ndarray], rows: np.ndarray | None = None):
-        self.levels, self.rows = levels, rows
-        #: the rows of depth 0 and 1, of depth 2, and so on end here
-        self.ends = np.cumsum([257, *(len(x) for x in levels)])
-
-    def children(self) -> list[np.ndarray]:
-        """For each depth from 2 on: by the parent's place in its level and the byte before it,
-        the context's place in its own level, counted from 1; 0 where the tree has none."""
-        out, above = [], np.arange(256, dtype=np.uint64)
-        for d, known in enumerate(self.levels):
-            table = np.zeros(len(above) * 256, np.uint16)
-            parent = np.searchsorted(above, known & np.uint64((1 << 8 * (d + 1)) - 1))
-            table[(parent << 8) | (known >> np.uint64(8 * (d + 1))).astype(np.int64)] = np.arange(1, len(known) + 1)
-            out.append(table)
-            above = known
+    def __init__(self, grams: np.ndarray, n: np.ndarray):
+        keys, count, at = grams, n, np.arange(len(grams))
+        one_by = np.zeros((8, len(grams)))
+        below: list[tuple] = []
+        self.top: list[tuple[np.ndarray, ...]] = []
+        for depth in range(DEPTH, TOP - 1, -1):
+            level = []
+            for k in range(8):
+                prefix = keys >> np.uint64(8 - k)  # the context and the decisions before
+                first = _first(prefix)
+                group = np.zeros(len(keys), np.int64)
+                group[first[1:]] = 1
+                own = np.cumsum(group)[at]
+                prefix = prefix[first]
+                total = np.add.reduceat(count, first)
+                ones = np.add.reduceat(np.where(keys >> np.uint64(7 - k) & np.uint64(1) == 1, count, 0), first)
+                weight = log_kt(total - ones, ones)
+                estimate = ((ones + 0.5) / (total + 1.0))[own]
+                if depth == DEPTH:
+                    one_by[k] = estimate
+                else:
+                    deep_prefix, deep_weight, deep_seen = below[k]
+                    parent = deep_prefix >> np.uint64(8 + k) << np.uint64(k) | deep_prefix & np.uint64((1 << k) - 1)
+                    deeper = np.bincount(np.searchsorted(prefix, parent), deep_weight, len(prefix))
+                    stops = weight - _LN2
+                    weight = np.logaddexp(stops, deeper - _LN2)
+                    share = np.exp(stops - weight)[own]
+                    one_by[k] = np.where(deep_seen, share * estimate + (1 - share) * one_by[k], estimate)
+                level.append((prefix, weight, (total > 0)[own]))
+                if depth == TOP:
+                    self.top.append((prefix, weight, total - ones, ones, k))
+            below = level
+            if depth > TOP:
+                keys, inverse = np.unique(keys >> np.uint64(16) << np.uint64(8) | keys & np.uint64(255), return_inverse=True)
+                count = np.bincount(inverse, count, len(keys)).astype(np.int64)
+                at = inverse[at]
+        odds = np.log(one_by) - np.log1p(-one_by)
+        seen = np.stack([x[2] for x in below])
+        self.odds = np.where(seen, np.clip(np.rint(odds * ODDS), -32767, 32767), UNSEEN).astype(np.int16)
+
+    def upward(self) -> tuple[np.ndarray, ...]:
+        """By context of TOP - 1 bytes and node: the sum of the weights, of zeros and of ones."""
+        parts = []
+        for prefix, weight, zeros, ones, k in self.top:
+            key = prefix >> np.uint64(8 + k) << np.uint64(8) | np.uint64(1 << k) | prefix & np.uint64((1 << k) - 1)
+            parts.append((key, weight, zeros, ones))
+        key, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return key.astype(np.int64), *(np.bincount(inverse, np.concatenate([p[i] for p in parts]), len(key)) for i in (1, 2, 3))
+
+
+class Top:
+    """The depths below TOP mixed: with p the mixture of the deeper ones, a one's probability at
+    a context of TOP - 1 bytes and node is given + left * p, or `alone` where no deeper is known."""
+
+    def __init__(self, key: np.ndarray, weight: np.ndarray, zeros: np.ndarray, ones: np.ndarray):
+        order = np.argsort(key)
+        key, deeper, zeros, ones = key[order], weight[order], zeros[order].astype(np.int64), ones[order].astype(np.int64)
+        self.key = key
+        levels = []
+        at = np.arange(len(key))  # of each key at its level
+        for depth in range(TOP - 1, -1, -1):
+            stops = log_kt(zeros, ones) - _LN2
+            weight = np.logaddexp(stops, deeper - _LN2)
+            levels.append((np.exp(stops - weight)[at], ((ones + 0.5) / (zeros + ones + 1.0))[at], (zeros + ones > 0)[at]))
+            if depth:
+                short, inverse = np.unique(key >> 16 << 8 | key & 255, return_inverse=True)
+                deeper, zeros, ones = (np.bincount(inverse, x, len(short)) for x in (weight, zeros, ones))
+                zeros, ones = zeros.astype(np.int64), ones.astype(np.int64)
+                key, at = short, inverse[at]
+        self.given, self.left = np.zeros(len(self.key)), np.ones(len(self.key))
+        self.alone = np.full(len(self.key), 0.5)
+        for share, estimate, seen in reversed(levels):  # from the root on
+            self.alone = np.where(seen, self.given + self.left * estimate, self.alone)
+            self.given = self.given + np.where(seen, self.left * share * estimate, 0)
+            self.left = np.where(seen, self.left * (1 - share), self.left)
+
+    def log10(self, grams: np.ndarray, odds: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(grams))
+        context = (grams >> np.uint64(_ALL - 8 * (TOP - 1)) << np.uint64(8)).astype(np.int64)
+        byte = (grams & np.uint64(255)).astype(np.int64)
+        for k in range(8):
+            at = np.searchsorted(self.key, context | 1 << k | byte >> (8 - k))
+            given, left, alone = self.given[at], self.left[at], self.alone[at]
+            p = 1 / (1 + np.exp(odds[k] / -ODDS))
+            one = np.where(odds[k] == UNSEEN, alone, given + left * p)
+            zero = np.where(odds[k] == UNSEEN, 1 - alone, np.maximum(0, 1 - given - left) + left * (1 - p))
+            out += np.log10(np.where(byte >> (7 - k) & 1 == 1, one, zero))
         return out
 
-    def rows_of(self, raw: np.ndarray, at: np.ndarray, children: list[np.ndarray]) -> np.ndarray:
-        """The row of the deepest context of the bytes at the places."""
-        place = raw[at - 1].astype(np.int32)
-        row = place + 1
-        live = None
-        for d, table in enumerate(children):
-            before = raw[(at if live is None else at[live]) - (d + 2)]
-            place = table[(place << 8) | before].astype(np.int32)
-            hit = np.flatnonzero(place)
-            live, place = hit if live is None else live[hit], place[hit] - 1
-            if not len(live):
-                break
-            row[live] = place + np.int32(self.ends[d])
-        return row
-
-    def log10(self, texts: list[bytes], children: list[np.ndarray]) -> list[float]:
-        raw, at = _padded(texts)
-        p = self.rows.ravel()[(self.rows_of(raw, at, children).astype(np.int64) << 8) | raw[at]].astype(np.float64) / -PARTS
-        ends = np.cumsum([len(t) for t in texts])
-        return [float(p[e - len(t) : e].sum()) for e, t in zip(ends, texts)]
-
-
-def fit(texts: DataFrame, max_contexts: int = MAX_CONTEXTS, depth: int = DEPTH) -> ContextTree:
-    """texts: a column text. A pass over all texts for each depth counts the bytes after the
-    contexts of that depth; the most frequent grams so found are the contexts of the next.
-    The driver gets max_contexts rows of at most 256 counts a pass."""
-    levels: list[np.ndarray] = []
-    counts = [_counted(texts, ContextTree(levels))[1:]]
-    for d in range(2, depth + 1):
-        last = np.arange(256, dtype=np.uint64) if d == 2 else levels[-1]
-        seen = counts[-1].ravel()
-        at = np.argsort(-seen, kind="stable")[:max_contexts]
-        at = at[seen[at] > 1]
-        grams = (last[at // 256] << np.uint64(8)) | (at % 256).astype(np.uint64)
-        if d > 2:  # only below a parent that the tree has
-            grams = grams[np.isin(grams & np.uint64((1 << 8 * (d - 1)) - 1), levels[-1])]
-        if not len(grams):
-            break
-        levels.append(np.sort(grams))
-        counts.append(_counted(texts, ContextTree(levels)))
-    return ContextTree(levels, weighted(counts[0], list(zip(levels, counts[1:]))))
-
-
-def _portions(batches: Iterable[pa.RecordBatch], size: int = 4 << 20) -> Iterator[list[bytes]]:
-    """The texts of the first column, about size bytes at a time, but for longer single texts."""
-    held, n = [], 0
-    for batch in slices(batches):
-        for text in as_bytes(batch.column(0)):
-            if held and n + len(text) > size:
-                yield held
-                held, n = [], 0
-            held.append(text)
-            n += len(text)
-    if held:
-        yield held
 
+class Table:
+    """Log-probabilities by gram: sorted by a hash, with an index of its first bits."""
 
-def _counted(texts: DataFrame, tree: ContextTree) -> np.ndarray:
-    """How often each byte follows each context of the tree's deepest level."""
-    sent = texts.sparkSession.sparkContext.broadcast(tree)
-    low = int(tree.ends[-2]) if tree.levels else 0
-    n = int(tree.ends[-1]) - low
+    _MIX = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, grams: np.ndarray, logs: np.ndarray):
+        self.shift = np.uint64(64 - max(1, int(len(grams)).bit_length()))
+        hashes = grams * self._MIX  # odd, so no two grams share a hash
+        order = np.argsort(hashes)
+        self.hashes, self.logs = hashes[order], logs[order]
+        slots = np.arange((1 << (64 - int(self.shift))), dtype=np.uint64) << self.shift
+        self.first = np.searchsorted(self.hashes, slots).astype(np.int32)
+
+    def find(self, grams: np.ndarray) -> np.ndarray:
+        hashes = grams * self._MIX
+        at = self.first[(hashes >> self.shift).astype(np.int64)]
+        rest = np.flatnonzero(self.hashes.take(at, mode="clip") != hashes)
+        while len(rest):
+            at[rest] += 1
+            if at[rest].max() >= len(self.hashes):
+                raise ValueError("a text that its block did not have when grams were counted: the input changes from read to read")
+            rest = rest[self.hashes[at[rest]] != hashes[rest]]
+        return self.logs[at]
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, seen = sent.value, np.zeros(n * 256, np.int64)
-        children = tree.children()
-        for texts in _portions(batches):
-            raw, at = _padded(texts)
-            row = tree.rows_of(raw, at, children) - low
-            cells = (row << 8) | raw[at]
-            seen += np.bincount(cells[row >= 0] if low else cells, minlength=n * 256)
-        cells = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(seen[cells])], names=["cell", "n"])
-
-    found = texts.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(n * 256, np.float32)
-    out[found["cell"].to_numpy()] = found["n"].to_numpy()
-    return out.reshape(n, 256)
-
-
-def weighted(one: np.ndarray, deeper: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The table from the byte counts of each context: row 0 is the root, then the 256 last
-    bytes, then the contexts of depth 2, 3 and so on."""
-    levels = [(one.sum(0, keepdims=True), None), (one, np.zeros(256, np.int64))]
-    for d, (contexts, rows) in enumerate(deeper):
-        parents = contexts & np.uint64((1 << 8 * (d + 1)) - 1)
-        levels.append((rows, parents.astype(np.int64) if d == 0 else np.searchsorted(deeper[d - 1][0], parents)))
-    total = sum(len(rows) for rows, _ in levels)
-    stop, children = [], None
-    for d in range(len(levels) - 1, -1, -1):  # from the deepest: how likely a context codes better than its children
-        rows, parent = levels[d]
-        w = _log_kt(rows)
-        if children is None:
-            stop.append(np.ones(w.shape, np.float16))
-        else:
-            # what the tree has of the children, and what is left of the context's own counts
-            deeper = children[0]
-            deeper += _log_kt(np.maximum(0, rows - children[1]))
-            kt = w - np.log(2)
-            w = np.logaddexp(kt, deeper - np.log(2))
-            stop.append(np.exp(kt - w).astype(np.float16))
-            del kt, deeper
-        children = None
-        if parent is not None:
-            n = len(levels[d - 1][0])
-            children = np.zeros((n, 255)), np.zeros((n, 256), np.float32)
-            np.add.at(children[0], parent, w)
-            np.add.at(children[1], parent, rows)
-        del w
-    stop.reverse()
-    table_rows = np.zeros((total, 256), np.uint16)
-    at = 0
-    carried = None
-    for d, (rows, parent) in enumerate(levels):
-        zeros, ones = _node_counts(rows)
-        p_one = (ones + np.float32(0.5)) / (zeros + ones + np.float32(1))
-        del zeros, ones
-        mixed, open_ = (np.zeros_like(p_one), np.ones_like(p_one)) if carried is None else (carried[0][parent], carried[1][parent])
-        leaf = mixed + open_ * p_one
-        ends = stop[d].astype(np.float32)
-        carried = mixed + open_ * ends * p_one, open_ * (1 - ends)
-        # a byte's probability is the product over its eight nodes
-        log_one, log_zero = np.log10(leaf), np.log10(np.maximum(1 - leaf, 1e-12))
-        level = np.zeros((len(rows), 1), np.float32)
-        for bits in range(8):
-            nodes = slice((1 << bits) - 1, (2 << bits) - 1)
-            level = np.stack([level + log_zero[:, nodes], level + log_one[:, nodes]], -1).reshape(len(rows), -1)
-        table_rows[at : at + len(rows)] = np.ceil(np.minimum(level * -PARTS, 65535))
-        del level, leaf, log_one, log_zero
-        at += len(rows)
-        stop[d] = None
-    return table_rows
+
+def token_key(token: bytes) -> bytes:
+    """Short tokens as they are; a space, which no token holds, and a digest of longer ones."""
+    return token if len(token) <= TOKEN_BYTES else b" " + hashlib.blake2b(token, digest_size=16).digest()
 
 
 def _tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +247,7 @@ def _tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter = Counter()
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["token", "c"])
+        return pa.RecordBatch.from_arrays([pa.array(map(token_key, seen), pa.binary()), pa.array(seen.values(), pa.int64())], names=["token", "c"])
 
     for batch in slices(batches):
         for text in as_bytes(batch.column(0)):
@@ -244,63 +258,194 @@ def _tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def score(docs: DataFrame, training: F.Column, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of docs, with the model of the rows where `training` holds: doc_id, n_tokens,
-    n_known, train_tokens, base_score, score (log10) and code_length (bits a byte; null
-    for empty texts).
+def _gather(batches: Iterable[pa.RecordBatch], slots: int) -> Iterator[pa.RecordBatch]:
+    """slot, block, n, grams, counts: the distinct grams of the one block that a task has."""
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    texts: dict[bool, list[bytes]] = {True: [], False: []}
+    waiting, block = 0, None
+
+    def take() -> None:
+        for training, some in texts.items():
+            if any(some):
+                grams, n = counted(grams_of(some))
+                parts.append((grams, n if training else np.zeros(len(n), np.int64)))
+            some.clear()
+        if len(parts) > 2 and sum(len(p[0]) for p in parts[1:]) > len(parts[0][0]):
+            parts[:] = [merged(parts)]
+
+    for batch in slices(batches):
+        for one, training, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))):
+            block = one
+            texts[training].append(text)
+            waiting += len(text)
+            if waiting >= PORTION:
+                take()
+                waiting = 0
+    take()
+    if not parts:
+        return
+    grams, n = merged(parts)
+    slot = ((grams >> np.uint64(_ALL - 8 * TOP)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) & (slots - 1)
+    order = np.argsort(slot, kind="stable")
+    grams, n, slot = grams[order], n[order], slot[order]
+    first = _first(slot)
+    rows = []
+    for a, b in zip(first, [*first[1:], len(slot)]):
+        rows.append({"slot": int(slot[a]), "block": block, "n": int(b - a), "grams": press(grams[a:b]), "counts": press(n[a:b].astype(np.uint32 if n[a:b].max() < 1 << 32 else np.int64)), "wide": bool(n[a:b].max() >= 1 << 32)})
+        if len(rows) == 64:
+            yield pa.RecordBatch.from_pylist(rows, schema=_GATHERED)
+            rows = []
+    yield pa.RecordBatch.from_pylist(rows, schema=_GATHERED)
+
+
+_GATHERED = pa.schema([("slot", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary()), ("wide", pa.bool_())])
+GATHERED = "slot int, block int, n int, grams binary, counts binary, wide boolean"
+_TREES = pa.schema(
+    [
+        ("n", pa.int32()), ("grams", pa.binary()), ("odds", pa.binary()), ("blocks", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("places", pa.list_(pa.binary())),
+        ("keys", pa.list_(pa.int64())), ("weights", pa.list_(pa.float64())), ("zeros", pa.list_(pa.float64())), ("ones", pa.list_(pa.float64())),
+    ]
+)
+TREES = "n int, grams binary, odds binary, blocks array<int>, sizes array<int>, places array<binary>, keys array<long>, weights array<double>, zeros array<double>, ones array<double>"
+
+
+def _grow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each slot; its rows come one after another."""
+
+    def grown(rows: list[tuple]) -> pa.RecordBatch:
+        parts = [(expand(grams, n, "<u8"), expand(counts, n, "<i8" if wide else "<u4").astype(np.int64)) for _, _, n, grams, counts, wide in rows]
+        grams, n = merged(parts)
+        trees = Subtrees(grams, n)
+        places = [np.searchsorted(grams, p[0]) for p in parts]
+        row = [len(grams), press(grams), press(np.ascontiguousarray(trees.odds.T).view("<u8").ravel()) if len(grams) else b"", [r[1] for r in rows], [r[2] for r in rows]]
+        row += [[press(np.diff(x, prepend=0).astype("<u4")) for x in places], *(x.tolist() for x in trees.upward())]
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _TREES)], schema=_TREES)
+
+    held: list[tuple] = []
+    for batch in slices(batches, 64):
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and held[0][0] != row[0]:
+                yield grown(held)
+                held = []
+            held.append(row)
+    if held:
+        yield grown(held)
+
+
+def _tell(batches: Iterable[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+    """block, n, grams, logs: for each slot and block the log-probabilities of its grams."""
+    for batch in slices(batches, 1):
+        for n, raw, odds, blocks, sizes, places in zip(*(c.to_pylist() for c in batch.columns)):
+            grams = expand(raw, n, "<u8")
+            logs = sent.value.log10(grams, expand(odds, 2 * n, "<u8").view("<i2").reshape(n, 8).T).astype("<f4")
+            rows = []
+            for block, size, place in zip(blocks, sizes, places):
+                at = np.cumsum(expand(place, size, "<u4").astype(np.int64))
+                rows.append((block, size, press(grams[at]), press(logs[at])))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["block", "n", "grams", "logs"])
+
+
+def fit(texts: DataFrame, blocks: int, slots: int) -> DataFrame:
+    """texts: block, training, text. A row for each slot with its grams, their log-odds and
+    who asks for them; as a written table."""
+    parts = min(slots, max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), slots // 32))
+    gathered = texts.select("block", "training", "text").repartitionById(blocks, "block").mapInArrow(lambda b: tidy(_gather(b, slots)), GATHERED)
+    grown = gathered.repartitionById(parts, F.pmod("slot", F.lit(parts))).sortWithinPartitions("slot").mapInArrow(lambda b: tidy(_grow(b)), TREES)
+    return materialise(grown, "trees")
+
+
+def top_of(trees: DataFrame) -> Top:
+    """Sums over slots: a row for each context of TOP - 1 bytes and node, 255 * 256**2 at most."""
+    rows = trees.select(F.explode(F.arrays_zip("keys", "weights", "zeros", "ones")).alias("r")).groupBy(F.col("r.keys").alias("key"))
+    found = rows.agg(*(F.sum(f"r.{c}").alias(c) for c in ("weights", "zeros", "ones"))).toArrow()
+    return Top(*(found[c].to_numpy() for c in ("key", "weights", "zeros", "ones")))
 
-    Null texts are empty: one token, the end. Rows are scored each, repeated or not; rows of
-    one id and text agree. An empty table gives no rows; without training rows every token
-    is unknown and every bit has probability one half.
+
+SCORED = "row long, doc_id long, training boolean, n_tokens long, n_known long, base double, score double, code_length double, rest map<binary,long>"
+
+
+def score(docs: DataFrame, training: F.Column, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row of docs, with the model of the rows where `training` holds: doc_id, held_out,
+    n_tokens, n_known, train_tokens, base_score, score (log10) and code_length (bits a byte;
+    null for empty texts).
+
+    Null texts are empty: one token, the end. Every row is scored by itself, repeated or not,
+    also rows without an id and rows of one id with different texts. Rows of equal text have equal scores but
+    for rounding. An empty table gives no rows; without training rows every token is unknown
+    and every decision has probability one half. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
-    train = given.filter("training").select("text")
-    tree = spark.sparkContext.broadcast(fit(train))
-
-    counts = materialise(train.mapInArrow(_tally, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")), "tokens")
+    size = given.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n"), F.count_if("training").alias("train")).first()
+    blocks = max(1, math.ceil(size.n / BLOCK_BYTES), min(spark.sparkContext.defaultParallelism, size.n // (8 << 20)))
+    slots = 1 << max(0, math.ceil(size.n / SLOT_BYTES) - 1).bit_length()
+    placed = given.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    trees = fit(placed, blocks, slots)
+    top = spark.sparkContext.broadcast(top_of(trees))
+
+    tokens = given.filter("training").select("text").mapInArrow(lambda b: tidy(_tally(b)), "token binary, c long")
+    counts = materialise(tokens.groupBy("token").agg(F.sum("c").alias("c")), "tokens")
     known = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
-    n_train = train.count()
+    n_train = size.train
     total, distinct = known.n + n_train, known.v + (n_train > 0)  # with the end token
-    # long tokens stay out, so the broadcast has a bound
-    frequent = counts.filter(F.length("token") <= 64).orderBy(F.desc("c"), "token").limit(FREQUENT).toArrow()
-    sent = spark.sparkContext.broadcast(dict(zip(frequent["token"].to_pylist(), frequent["c"].to_pylist())))
+    frequent = counts.orderBy(F.desc("c"), "token").limit(FREQUENT).toArrow()  # of TOKEN_BYTES at most
+    sent = spark.sparkContext.broadcast(dict(zip(frequent["token"].to_pylist(), np.log10(frequent["c"].to_numpy() + 1.0).tolist())))
     whole = float(np.log10(float(total + distinct + 1)))
     end = float(np.log10(n_train + 1.0))
 
+    def scored(texts: list[bytes], model: Table | None) -> Iterator[tuple]:
+        logs, get = sent.value, sent.value.get
+        grams = grams_of(texts)
+        ends = np.cumsum([len(t) for t in texts])
+        sums = np.concatenate([[0.0], np.cumsum(model.find(grams), dtype=np.float64)]) if len(grams) else np.zeros(1)
+        for text, stop in zip(texts, ends):
+            words = text.lower().split()
+            found = list(map(get, words))
+            rest: dict[bytes, int] = {}
+            if None in found:
+                for w in [w for w, x in zip(words, found) if x is None]:
+                    w = token_key(w)
+                    rest[w] = rest.get(w, 0) + 1
+                found = [x for x in found if x is not None]
+                for w in [w for w in rest if len(w) == 17 and w in logs]:  # long and frequent
+                    found += [logs[w]] * rest.pop(w)
+            p = float(sums[stop] - sums[stop - len(text)])
+            base = math.fsum(found) + end - (len(words) + 1) * whole
+            yield len(words) + 1, len(found) + (n_train > 0), base, p, -p / math.log10(2) / len(text) if text else None, list(rest.items())
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, logs = tree.value, sent.value
-        children = model.children()
-        for batch in slices(batches):
-            texts = as_bytes(batch.column(1))
-            scores = model.log10(texts, children)
-            rows = []
+        parts, model, n = [], None, 0
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.map_(pa.binary(), pa.int64()))
+        names = ["row", "doc_id", "training", "n_tokens", "n_known", "base", "score", "code_length", "rest"]
+        for batch in slices(batches, 256):
+            texts, known = batch.column("text"), batch.column("n").to_pylist()
+            split = sum(x is not None for x in known)  # the log-probabilities come first
+            for x, grams, logs in zip(known[:split], batch.column("grams")[:split].to_pylist(), batch.column("logs")[:split].to_pylist()):
+                parts.append((expand(grams, x, "<u8"), expand(logs, x, "<f4")))
+            if split == batch.num_rows:
+                continue
+            if parts:
+                model, parts = Table(*(np.concatenate([p[k] for p in parts]) for k in (0, 1))), []
+            texts, held = as_bytes(texts[split:]), []
+            at = split
             for i, text in enumerate(texts):
-                words = text.lower().split()
-                c = list(map(logs.get, words))
-                rest: dict[bytes, int] = {}
-                if None in c:
-                    for w, x in zip(words, c):
-                        if x is None:
-                            rest[w] = rest.get(w, 0) + 1
-                    c = [x for x in c if x is not None]
-                base = float(np.log10(np.array(c, np.float64) + 1).sum()) + end - (len(words) + 1) * whole
-                rows.append((len(words) + 1, len(c) + (n_train > 0), base, scores[i], -scores[i] / np.log10(2) / len(text) if text else None, list(rest.items())))
-            columns = zip(*rows) if rows else [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.map_(pa.binary(), pa.int64()))
-            ids = [batch.column(0), batch.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [*ids, *(pa.array(list(c), k) for c, k in zip(columns, kinds))], names=["doc_id", "training", "n_tokens", "n_known", "base", "score", "code_length", "rest"]
-            )
-
-    scored = materialise(
-        given.mapInArrow(run, "doc_id long, training boolean, n_tokens long, n_known long, base double, score double, code_length double, rest map<binary,long>"), "scored"
-    )
-    # rarer tokens: a row for each token and task that has it, joined with the counts and summed back
-    rest = scored.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).select("doc_id", F.explode("rest").alias("token", "k"))
-    found = rest.join(counts, "token").groupBy("doc_id").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("c") + 1.0)).alias("gain"))
-    out = scored.drop("rest").join(found, "doc_id", "left")
-    return out.select(
+                held.append(text)
+                if i + 1 == len(texts) or sum(map(len, held)) + len(texts[i + 1]) > PORTION:
+                    columns = [pa.array(list(c), k) for c, k in zip(zip(*scored(held, model)), kinds)]
+                    block = batch.column("block")[at].as_py()
+                    ids = pa.array([block << 40 | n + j for j in range(len(held))], pa.int64())
+                    yield pa.RecordBatch.from_arrays([ids, batch.column("doc_id").slice(at, len(held)), batch.column("training").slice(at, len(held)), *columns], names=names)
+                    at, n, held = at + len(held), n + len(held), []
+
+    told = trees.select("n", "grams", "odds", "blocks", "sizes", "places").mapInArrow(lambda b: tidy(_tell(b, top)), "block int, n int, grams binary, logs binary")
+    both = placed.select("block", F.lit(None).cast("int").alias("n"), F.lit(None).cast("binary").alias("grams"), F.lit(None).cast("binary").alias("logs"), "doc_id", "training", "text")
+    both = told.select("block", "n", "grams", "logs", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("training"), F.lit(None).cast("string").alias("text")).union(both)
+    both = both.repartitionById(blocks, "block").sortWithinPartitions(F.col("n").isNull())
+    rows = materialise(both.mapInArrow(lambda b: tidy(run(b)), SCORED), "scored")
+    # rarer tokens: a row for each token and text that has it, joined with the counts and summed back
+    rest = rows.select("row", F.explode("rest").alias("token", "k"))
+    found = rest.join(counts, "token").groupBy("row").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("c") + 1.0)).alias("gain"))
+    return rows.drop("rest").join(found, "row", "left").select(
         "doc_id",
         (~F.col("training")).alias("held_out"),
         "n_tokens",
