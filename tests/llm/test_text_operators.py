@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -100,12 +101,55 @@ def test_secret_spans(spark, text, spans):
     assert [f"{s.kind}:{s.start}:{s.stop}" for s in got] == spans
 
 
-def test_trigram_queries_pass_no_match_by():
-    for rule in secrets.RULES:
-        query = secrets.trigram_query(rule.literals)
-        assert query or not rule.literals
-    segment = secrets.Segment(["API_KEY = x", "keyword", "apikey"], {"api", "key"})
-    assert segment.candidates(((frozenset({"api"}),), (frozenset({"key"}),))) == {0, 2}
+def test_trigram_queries_follow_from_the_expressions():
+    def query(pattern):
+        return [sorted(b" ".join(sorted(a)).decode() for a in clause) for clause in secrets.trigram_query(pattern)]
+
+    assert query("AKIA[0-9]+x") == [["aki kia"]]
+    assert query("ab[cd]e") == [["abc bce", "abd bde"]]
+    assert query("(?:foo|bar)?baz") == [["baz"]] and query("foo(?:bar|ba[0-9]+)") == [["foo oba oob"]]
+    assert query("(?:foo.|.barx)+q{3}") == [["arx bar", "foo"], ["qqq"]]
+    assert query("(?a:(?i:Token))") == [["ken oke tok"]] and query("(?i:token)") == [] and query("(?=abc)x") == []
+    assert len(secrets.trigram_query("é[0-9]é")[0]) == 10
+    assert [r.kind for r in secrets.RULES if not secrets.trigram_query(r.pattern)] == ["hex"]
+
+
+def random_pattern(rng, depth=0):
+    kind = rng.randrange(9 if depth < 3 else 4)
+    if kind < 4:
+        return rng.choice(["abc", "Key", "x", "é", "[a-c]", "[^z]", ".", r"\d", "Q_", "[A-Z0-9]", r"\b", "(?i:sk)", "(?ai:Is)", ""])
+    if kind < 6:
+        return random_pattern(rng, depth + 1) + random_pattern(rng, depth + 1)
+    if kind == 6:
+        return f"(?:{random_pattern(rng, depth + 1)}|{random_pattern(rng, depth + 1)})"
+    return f"(?:{random_pattern(rng, depth + 1)}){rng.choice(['?', '*', '+', '{2}', '{1,3}', '{3,}', '+?'])}"
+
+
+def test_no_match_is_passed_by():
+    """Random expressions against random texts: whatever the expression finds is a candidate."""
+    rng = random.Random(8)
+    pieces = ["abc", "key", "KEY", "Key", "x", "é", "a", "b", "c", "z", "1", "q_", "Q_", "ſk", "sK", "iS", "İs", " ", "\n", "A7", "漢"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(12))) for _ in range(400)]
+    told = 0
+    for _ in range(800):
+        pattern = random_pattern(rng)
+        query, compiled = secrets.trigram_query(pattern), re.compile(pattern)
+        segment = secrets.Segment([t.encode() for t in texts], *secrets.index_of([query]))
+        candidates = set(segment.candidates(query).tolist())
+        assert {i for i, t in enumerate(texts) if compiled.search(t)} <= candidates, pattern
+        told += len(candidates) < len(texts)
+    assert told > 100
+
+
+def test_secrets_of_odd_rows(spark, odd, nothing):
+    found = secrets.find_secrets(odd)
+    assert found.count() == 10 and found.filter("size(secrets) > 0").count() == 0
+    assert secrets.find_secrets(nothing).count() == 0 and secrets.redact(nothing).count() == 0
+    rows = [("paſſword: abcdef1",), ("to\u212aen = abcdef1 password: abcdef1",), ("password: abcdef1",), ("password: abcdef1",), ("x" * 3_000_000 + " token=abcdef1",)]
+    got = [[(s.kind, s.start) for s in r.secrets] for r in secrets.find_secrets(spark.createDataFrame(rows, "text string")).collect()]
+    assert got == [[], [("assign", 16)], [("assign", 0)], [("assign", 0)], [("assign", 3_000_001)]]
+    none = secrets.find_secrets(spark.createDataFrame(rows, "text string"), rules=())
+    assert none.filter("size(secrets) > 0").count() == 0
 
 
 def test_redaction(spark, odd):
@@ -170,8 +214,79 @@ def test_rare_tokens_are_joined(spark, sf_dir, monkeypatch):
     assert all(got[i][0] == n and math.isclose(got[i][1], b, rel_tol=1e-9) for i, (n, b) in want.items())
 
 
-def test_context_tree_weighting_by_hand(spark):
-    """One text of one letter: every node of the byte tree is a chain of contexts with equal counts."""
+def weighted_by_hand(training, text):
+    """log10 probability of a text: every context of every depth in a dictionary, in plain Python."""
+    seen = Counter()
+    for t in training:
+        raw = b"\n" * ctw.DEPTH + t
+        for i in range(ctw.DEPTH, len(raw)):
+            for k in range(8):
+                for d in range(ctw.DEPTH + 1):
+                    seen[raw[i - d : i], 1 << k | raw[i] >> (8 - k), raw[i] >> (7 - k) & 1] += 1
+
+    def kt(zeros, ones):
+        return math.lgamma(zeros + 0.5) + math.lgamma(ones + 0.5) - math.log(math.pi) - math.lgamma(zeros + ones + 1)
+
+    estimate, weight, deeper = {}, {}, Counter()
+    for context, node in sorted({x[:2] for x in seen}, key=lambda x: -len(x[0])):
+        zeros, ones = seen[context, node, 0], seen[context, node, 1]
+        own = kt(zeros, ones)
+        if len(context) == ctw.DEPTH:
+            share, total = 1.0, own
+        else:
+            total = math.log((math.exp(own - deeper[context, node]) + 1) / 2) + deeper[context, node]
+            share = math.exp(own - math.log(2) - total)
+        weight[context, node], estimate[context, node] = share, (ones + 0.5) / (zeros + ones + 1)
+        if context:
+            deeper[context[1:], node] += total
+    p, raw = 0.0, b"\n" * ctw.DEPTH + text
+    for i in range(ctw.DEPTH, len(raw)):
+        for k in range(8):
+            node, mixed = 1 << k | raw[i] >> (8 - k), None
+            for d in range(ctw.DEPTH, -1, -1):
+                key = raw[i - d : i], node
+                if key in weight:
+                    mixed = estimate[key] if mixed is None else weight[key] * estimate[key] + (1 - weight[key]) * mixed
+            mixed = 0.5 if mixed is None else mixed
+            p += math.log10(mixed if raw[i] >> (7 - k) & 1 else 1 - mixed)
+    return p
+
+
+@pytest.mark.parametrize("cut", [{}, {"BLOCK_BYTES": 300, "SLOT_BYTES": 64, "PORTION": 100}])
+def test_scores_against_context_trees_by_hand(spark, monkeypatch, cut):
+    from pyspark.sql import functions as F
+
+    for name, value in cut.items():
+        monkeypatch.setattr(ctw, name, value)
+    rng = random.Random(6)
+    words = ["ab", "abc", "ba", "Straße", "a", "漢", "x" * 80]
+    texts = {i: " ".join(rng.choice(words) for _ in range(rng.randrange(1, 25))) for i in range(40)} | {50: "", 51: None, 52: "zebra quiz", 53: "\n\n\n"}
+    texts[60] = texts[3]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    training = [(t or "").encode() for i, t in texts.items() if i % 3]
+    tokens = Counter(w for t in training for w in [*t.lower().split(), None])
+    n, v = sum(tokens.values()), len(tokens)
+    got = {r.doc_id: r for r in ctw.score(docs, F.col("doc_id") % 3 != 0).collect()}
+    assert set(got) == set(texts)
+    for i, t in texts.items():
+        t = (t or "").encode()
+        assert math.isclose(got[i].score, weighted_by_hand(training, t), rel_tol=2e-4, abs_tol=1e-3)
+        ws = [*t.lower().split(), None]
+        assert got[i].held_out == (i % 3 == 0) and (got[i].n_tokens, got[i].n_known) == (len(ws), sum(w in tokens for w in ws))
+        assert math.isclose(got[i].base_score, sum(math.log10((tokens[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9)
+
+
+def test_lm_rows_of_one_id_are_scored_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(ctw, "FREQUENT", 1)
+    rows = [(1, "one two two"), (1, "three"), (1, "three"), (None, "two four"), (None, None)]
+    got = sorted((r.n_tokens, r.n_known, round(r.base_score, 6)) for r in ctw.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("text") != "three").collect())
+    alone = [next(iter(ctw.score(spark.createDataFrame([*rows, (2, t)], "doc_id long, text string"), (F.col("text") != "three") & F.coalesce(F.col("doc_id") != 2, F.lit(True))).filter("doc_id = 2").collect())) for _, t in rows]
+    assert got == sorted((r.n_tokens, r.n_known, round(r.base_score, 6)) for r in alone)
+
+
+def test_an_empty_model(spark):
     from pyspark.sql import functions as F
 
     docs = spark.createDataFrame([(1, "a" * 8), (2, ""), (3, None)], "doc_id long, text string")
@@ -201,9 +316,9 @@ SECRETS = {
 
 
 @pytest.mark.parametrize("rule", secrets.RULES, ids=lambda r: r.kind)
-def test_literals_of_a_rule_fit_its_pattern(rule, texts):
+def test_index_finds_what_a_full_scan_finds(rule, texts):
     held = [f"x {s} y" for some in SECRETS.values() for s in some] + [t or "" for t in texts.values()]
-    query, compiled = secrets.trigram_query(rule.literals), re.compile(rule.pattern)
-    segment = secrets.Segment(held, {g for clause in query for literal in clause for g in literal})
+    query, compiled = secrets.trigram_query(rule.pattern), re.compile(rule.pattern)
+    segment = secrets.Segment([t.encode() for t in held], *secrets.index_of([query]))
     full = {i for i, t in enumerate(held) if secrets.matches(rule, compiled, t)}
-    assert {held.index(f"x {s} y") for s in SECRETS[rule.kind]} <= full <= segment.candidates(query)
+    assert {held.index(f"x {s} y") for s in SECRETS[rule.kind]} <= full <= set(segment.candidates(query).tolist())
