@@ -1,30 +1,47 @@
 """Operator 6: main text of web pages by inferred wrappers (union-free regular expressions).
 
-Pages of a host follow a template. A bounded sample of each host's pages is read as token
-streams and aligned page by page: siblings of one kind fold into repeated groups, parts that
-some pages lack become optional groups, texts that differ become slots. The wrapper so formed
-tells which container holds the host's text: an article if the template has one, else the
-smallest part that holds most of the slot text. Every page is then read through its host's
-container; a page without it is judged by its own markup.
+Pages of a host follow templates. Every page of a host is read as a token stream and aligned
+with the wrapper so far: neighbours of one kind fold into repeated groups, parts that some
+pages lack become optional groups, texts that differ become slots. Tasks fold the pages they
+have, and the wrappers of a host are folded again in two steps, so a host of any size never
+meets in one place; a wrapper keeps numbers and digests, no texts.
+
+A page is then read by matching it against its host's wrapper. From the root on, the part that
+holds most of the slot text that is no link is entered, until its text is spread over several
+parts: this is the article. Inside it, parts whose text is the same on all pages are template
+and go. An article or main element tells the same and comes first. What a page alone can't
+tell, as on a host with one page, is judged by element names and, for small parts that are
+marked as such, by words of class, id or role.
 """
 
 from __future__ import annotations
 
 import html
-import json
 import re
+import struct
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corroba.llm._common import materialise, slices, table, text_or_empty
-
-#: Pages of a host that its wrapper is inferred from, and bytes of wrappers that are broadcast at most.
-SAMPLE, BROADCAST_BYTES = 6, 32 << 20
-#: A sampled page is aligned up to this many elements and levels; extraction has no such limit.
-ALIGNED, LEVELS = 1000, 60
+from corroba.llm._common import materialise, slices, table, text_or_empty, tidy
+
+#: Bytes of wrappers that are broadcast at most; more are joined by host.
+BROADCAST_BYTES = 32 << 20
+#: Wrappers of a host are first folded in so many groups of tasks.
+SALTS = 64
+#: A part of equal text on all pages that have it is template from so many pages on.
+TEMPLATE_PAGES = 3
+#: A part is entered if it has this share of the text, and a marked part is left out below this share.
+MOST, SMALL = 0.6, 0.5
+#: A part is not entered if running text beside it has more than this share.
+BESIDE_IT = 0.1
+#: Elements nested deeper stand beside each other, as browsers have it; no text is lost.
+LEVELS = 256
+#: Products of lengths up to which two lists of parts are aligned by their longest common sequence; beyond it greedily.
+ALIGNED = 250_000
 
 # HTML's own element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -34,13 +51,18 @@ BLOCK = frozenset(
 )
 RAW = "script|style|textarea|title|noscript|template|iframe|xmp"
 NOT_TEXT = frozenset("head nav footer aside form script style noscript template iframe svg math button select option textarea dialog menu object canvas audio video".split())
-#: Words of class, id or role that mark what is not the article.
+#: Blocks of running text, and those never entered as containers.
+RUNNING = frozenset("p pre blockquote h3 h4 h5 h6".split())
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote li tr td figure".split())
+#: Elements that a word of class, id or role can mark as no part of the article, and such words.
+MARKED = frozenset("div section ul ol dl table header details figure span center".split())
 NOT_ARTICLE = frozenset(
     "ad ads adbox advert adverts advertisement advertisements banner banners breadcrumb breadcrumbs comment comments consent cookie cookies disqus "
     "footer masthead menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related "
     "replies reply respond share sharing sidebar sidebars skip social sponsor sponsored subscribe toolbar widget widgets topbar alert disclaimer".split()
 )
-CONTENT = frozenset("article articlebody content entry main post story body text".split())
+#: Words that may stand beside these in a mark; any other word makes it mean something else.
+BESIDE = frozenset("area bar block bottom box container content inner item items left link links list main outer page post posts right row section site slot top unit wrapper".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 KEEPS_OPEN = frozenset("table ul ol dl body html article section div td th blockquote main".split())
 
@@ -52,23 +74,25 @@ _MARK = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 
 
 class Node:
-    __slots__ = ("tag", "marks", "children", "parent")
+    __slots__ = ("tag", "marks", "children", "parent", "block", "level", "home")
 
     def __init__(self, tag: str, marks: str, parent: Node | None):
         self.tag, self.marks, self.parent, self.children = tag, marks, parent, []
-
-    def key(self) -> tuple[str, str]:
-        return self.tag, self.marks
+        self.block = tag in BLOCK
+        self.level = parent.level + 1 if parent else 0
+        #: where its children go
+        self.home = self if self.level < LEVELS else parent.home
 
 
 def parse(page: str) -> Node:
     """A tree of elements and texts; tags that HTML lets out are closed as they must be."""
     root = at = Node("#root", "", None)
+    root.block = True
     for m in _TOKEN.finditer(page):
         if m["text"] is not None:
-            at.children.append(m["text"])
+            at.home.children.append(m["text"])
         elif m["raw"]:
-            at.children.append(Node(m["raw"].lower(), "", at))
+            at.home.children.append(Node(m["raw"].lower(), "", at))
         elif m["tag"]:
             tag = m["tag"].lower()
             if m["end"]:
@@ -84,170 +108,275 @@ def parse(page: str) -> Node:
                 found = None if found.tag in KEEPS_OPEN else found.parent
             if closing and found is not None:
                 at = found.parent
-            marks = " ".join(sorted({w for x in _MARK.finditer(m["attrs"]) for w in re.split(r"[^a-z]+", (x[2] or x[3] or x[4] or "").lower()) if w})) if "=" in m["attrs"] else ""
+            marks = ""
+            if "=" in m["attrs"]:  # whole words, without the numbers that tell pages apart
+                marks = " ".join(sorted({w for x in _MARK.finditer(m["attrs"]) for w in re.sub(r"[0-9]+", "", (x[2] or x[3] or x[4] or "").lower()).split() if w.strip("-_")}))
             node = Node(tag, marks, at)
-            at.children.append(node)
+            at.home.children.append(node)
+            if node.block:  # what holds a block is one
+                up = at
+                while not up.block:
+                    up.block = True
+                    up = up.parent
             if tag not in VOID and not m["attrs"].endswith("/"):
                 at = node
     return root
 
 
-def is_article(node: Node) -> bool:
-    return node.tag in ("article", "main") or "main" in node.marks.split() and node.tag == "div"
+def is_marked(tag: str, marks: str) -> bool:
+    """Whether a mark is made of words for what is no article, and of words that go beside them."""
+    if not marks or tag not in MARKED:
+        return False
+    for mark in marks.split():
+        words = {w for w in re.split(r"[^a-z]+", mark) if w}
+        if words & NOT_ARTICLE and words <= NOT_ARTICLE | BESIDE:
+            return True
+    return False
 
 
-def left_out(node: Node, inside: bool) -> bool:
-    """Whether an element is no part of the article. inside: of the container."""
-    if node.tag in NOT_TEXT or node.tag == "header" and not inside:
-        return True
-    if node.tag in ("html", "body"):
-        return False
-    return bool(node.marks) and not NOT_ARTICLE.isdisjoint(node.marks.split())
+class Part:
+    """An element of a wrapper: on how many pages it is; over all pages the length of its text
+    that is no link (mass), of that right in it (own) and of that in slots; and the digests of
+    its whole and its own text, None where pages differ."""
+
+    __slots__ = ("tag", "marks", "many", "pages", "mass", "digest", "own", "own_digest", "slots", "children", "article")
+
+    def __init__(self, tag: str, marks: str, many: bool, pages: int, mass: int, digest: int | None, own: int, own_digest: int | None, children: list[Part]):
+        self.tag, self.marks, self.many, self.pages, self.children = tag, marks, many, pages, children
+        self.mass, self.digest, self.own, self.own_digest = mass, digest, own, own_digest
+        # on a single page all text may be slots
+        self.slots = (own if own_digest is None or pages == 1 else 0) + sum(c.slots for c in children) if mass else 0
+        self.article = tag in ("article", "main") or any(c.article for c in children)
+
+    def key(self) -> tuple[str, str]:
+        return self.tag, self.marks
 
+    @property
+    def template(self) -> bool:
+        return self.digest is not None and self.pages >= TEMPLATE_PAGES
 
-# The wrapper: (kind, key, children, texts) with kind "one", "optional" or "repeated"; a text
-# child is ("text", constant or None for a slot, length).
 
+def skipped(tag: str) -> bool:
+    return tag in NOT_TEXT
 
-def as_wrapper(node: Node, room: list[int], level: int = 0) -> list:
-    children: list = []
-    for child in node.children:
-        if isinstance(child, str):
-            text = " ".join(html.unescape(child).split())
+
+def part_of(node: Node) -> Part:
+    """The wrapper of one page, or of a part of it."""
+    children: list[Part] = []
+    digest, own_digest, mass, own = xxhash.xxh3_64(), xxhash.xxh3_64(), 0, 0
+    todo = list(reversed(node.children))
+    linked = 0  # depth of links around what comes next, by their ends on the stack
+    while todo:
+        child = todo.pop()
+        if child is None:
+            linked -= 1
+        elif isinstance(child, str):
+            text = " ".join(html.unescape(child).split()) if "&" in child else " ".join(child.split())
             if text:
-                children.append(["text", text, len(text)])
-        elif level < LEVELS and room[0] > 0 and not left_out(child, False):
-            room[0] -= 1
-            children.append(as_wrapper(child, room, level + 1))
-    return ["one", list(node.key()), fold(children)]
+                digest.update(text)
+                if not linked:
+                    own_digest.update(text)
+                    own += len(text)
+        elif skipped(child.tag):
+            continue
+        elif child.block:
+            part = part_of(child)
+            if linked or child.tag == "a":
+                part.mass = part.slots = 0
+            children.append(part)
+            mass += part.mass
+            digest.update(struct.pack("<Q", part.digest))
+        else:
+            if child.tag == "a":
+                linked += 1
+                todo.append(None)
+            todo += reversed(child.children)
+    return Part(node.tag, node.marks, False, 1, mass + own, digest.intdigest(), own, own_digest.intdigest(), fold(children))
 
 
-def fold(children: list) -> list:
-    """Neighbouring elements of one key become a repeated group; neighbouring texts one slot."""
-    out: list = []
+def fold(children: list[Part]) -> list[Part]:
+    """Neighbours of one key on a page become a repeated group."""
+    out: list[Part] = []
     for child in children:
-        last = out[-1] if out else None
-        if last and last[0] == "text" and child[0] == "text":
-            out[-1] = ["text", None, last[2] + child[2]]
-        elif last and last[0] != "text" and child[0] != "text" and last[1] == child[1]:
-            out[-1] = ["repeated", last[1], align(last[2], child[2])]
+        if out and out[-1].key() == child.key():
+            out[-1] = merge(out[-1], child, True)
         else:
             out.append(child)
     return out
 
 
-def align(a: list, b: list) -> list:
-    """Children that match every sequence that a or b match: by the longest common sequence
-    of keys; what only one side has becomes optional, texts that differ become slots."""
-    keys_a, keys_b = ([c[1] if c[0] != "text" else "#text" for c in x] for x in (a, b))
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if keys_a[i] == keys_b[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and keys_a[i] == keys_b[j]:
-            x, y = a[i], b[j]
-            if x[0] == "text":
-                out.append(["text", x[1] if x[1] == y[1] else None, x[2] + y[2]])
+def merge(a: Part, b: Part, page: bool = False) -> Part:
+    """What matches all that a or b match. page: both are of one page and follow each other."""
+    if page:
+        digest, own_digest = (xxhash.xxh3_64_intdigest(struct.pack("<2Q", x, y)) for x, y in ((a.digest, b.digest), (a.own_digest, b.own_digest)))
+    else:
+        digest, own_digest = (x if x == y else None for x, y in ((a.digest, b.digest), (a.own_digest, b.own_digest)))
+    pages = 1 if page else a.pages + b.pages
+    return Part(a.tag, a.marks, a.many or b.many or page, pages, a.mass + b.mass, digest, a.own + b.own, own_digest, align(a.children, b.children, page))
+
+
+def align(a: list[Part], b: list[Part], page: bool = False) -> list[Part]:
+    """Parts of one key in both are merged along a longest common sequence of keys; what only
+    one side has stays, and is optional as it is on fewer pages than what holds it."""
+    keys_a, keys_b = [x.key() for x in a], [x.key() for x in b]
+    out: list[Part] = []
+    i, j, n, m = 0, 0, len(a), len(b)
+    tail: list[Part] = []
+    while i < n and j < m and keys_a[i] == keys_b[j]:
+        out.append(merge(a[i], b[j], page))
+        i, j = i + 1, j + 1
+    while n > i and m > j and keys_a[n - 1] == keys_b[m - 1]:
+        n, m = n - 1, m - 1
+        tail.append(merge(a[n], b[m], page))
+    if (n - i) * (m - j) <= ALIGNED:
+        best = [[0] * (m - j + 1) for _ in range(n - i + 1)]
+        for x in range(n - i - 1, -1, -1):
+            for y in range(m - j - 1, -1, -1):
+                best[x][y] = best[x + 1][y + 1] + 1 if keys_a[i + x] == keys_b[j + y] else max(best[x + 1][y], best[x][y + 1])
+        x = y = 0
+        while x < n - i and y < m - j:
+            if keys_a[i + x] == keys_b[j + y]:
+                out.append(merge(a[i + x], b[j + y], page))
+                x, y = x + 1, y + 1
+            elif best[x + 1][y] >= best[x][y + 1]:
+                out.append(a[i + x])
+                x += 1
             else:
-                kind = "repeated" if "repeated" in (x[0], y[0]) else "optional" if "optional" in (x[0], y[0]) else "one"
-                out.append([kind, x[1], align(x[2], y[2])])
-            i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append(optional(a[i]))
-            i += 1
-        else:
-            out.append(optional(b[j]))
-            j += 1
-    return out
-
-
-def optional(part: list) -> list:
-    return ["text", None, part[2]] if part[0] == "text" else ["optional" if part[0] == "one" else part[0], part[1], part[2]]
+                out.append(b[j + y])
+                y += 1
+        out += [*a[i + x : n], *b[j + y : m]]
+    else:
+        where: dict[tuple, list[int]] = {}
+        for y in range(m - 1, j - 1, -1):
+            where.setdefault(keys_b[y], []).append(y)
+        for x in range(i, n):
+            places = where.get(keys_a[x], [])
+            while places and places[-1] < j:
+                places.pop()
+            if places:
+                out += b[j : places[-1]]
+                out.append(merge(a[x], b[places[-1]], page))
+                j = places.pop() + 1
+            else:
+                out.append(a[x])
+        out += b[j:m]
+    return out + tail[::-1]
 
 
-def infer(pages: list[str]) -> list:
+def infer(pages: Iterable[str]) -> Part | None:
     wrapper = None
     for page in pages:
-        other = as_wrapper(parse(page), [ALIGNED])
-        wrapper = other if wrapper is None else ["one", wrapper[1], align(wrapper[2], other[2])]
+        one = part_of(parse(page))
+        wrapper = one if wrapper is None else merge(wrapper, one)
     return wrapper
 
 
-def as_expression(part: list) -> str:
+def dump(wrapper: Part) -> bytes:
+    """The parts from the root on, with their levels."""
+    out, todo = [], [(0, wrapper)]
+    while todo:
+        level, p = todo.pop()
+        out.append(f"{level}\t{p.tag}\t{p.marks}\t{int(p.many)}\t{p.pages}\t{p.mass}\t{'' if p.digest is None else p.digest}\t{p.own}\t{'' if p.own_digest is None else p.own_digest}")
+        todo += [(level + 1, c) for c in reversed(p.children)]
+    return "\n".join(out).encode(errors="surrogatepass")
+
+
+def load(raw: bytes) -> Part:
+    rows = [x.split("\t") for x in raw.decode(errors="surrogatepass").split("\n")]
+    open_: list[list[Part]] = [[]]
+    for level, tag, marks, many, pages, mass, digest, own, own_digest in reversed(rows):  # children before their parents
+        level = int(level)
+        while len(open_) < level + 2:
+            open_.append([])
+        children, open_[level + 1] = open_[level + 1][::-1], []
+        open_[level].append(Part(tag, marks, many == "1", int(pages), int(mass), int(digest) if digest else None, int(own), int(own_digest) if own_digest else None, children))
+    return open_[0][0]
+
+
+def as_expression(part: Part, pages: int | None = None) -> str:
     """The wrapper as a union-free regular expression over tags, for people to read."""
-    if part[0] == "text":
-        return "#text" if part[1] is None else re.escape(part[1])
-    body = f"<{part[1][0]}>{''.join(map(as_expression, part[2]))}</{part[1][0]}>"
-    return {"one": body, "optional": f"({body})?", "repeated": f"({body})+"}[part[0]]
-
-
-def container(wrapper: list) -> list[list[str]]:
-    """Keys from the root to the container of the host's text."""
-
-    def slot_text(part: list) -> int:
-        return (0 if part[1] is not None else part[2]) if part[0] == "text" else sum(map(slot_text, part[2]))
-
-    def all_text(part: list) -> int:
-        return part[2] if part[0] == "text" else sum(map(all_text, part[2]))
-
-    def articles(part: list, path: list) -> Iterator[tuple[int, list]]:
-        for c in part[2] if part[0] != "text" else ():
-            if c[0] != "text":
-                if c[1][0] in ("article", "main"):
-                    yield all_text(c), [*path, c[1]]
-                yield from articles(c, [*path, c[1]])
-
-    found = max(articles(wrapper, []), key=lambda x: x[0], default=None)
-    if found and found[0]:
-        return found[1]
-    measure = slot_text if slot_text(wrapper) else all_text
-    path, at = [], wrapper
-    while True:
-        parts = [c for c in at[2] if c[0] != "text"]
-        named = [c for c in parts if not CONTENT.isdisjoint(c[1][1].split())]
-        top = max(named or parts, key=measure, default=None)
-        # deeper as long as one part, not a repeated group, holds most of the text
-        if top is None or top[0] == "repeated" or top[1][0] in ("p", "h1", "h2", "h3", "ul", "ol", "table", "pre", "blockquote") or measure(top) < 0.6 * max(1, measure(at)):
-            return path
-        path.append(top[1])
-        at = top
-
-
-def inside(root: Node, path: list[list[str]]) -> list[Node]:
-    """The elements at the path."""
-    level = [root]
-    for tag, marks in path:
-        level = [c for n in level for c in n.children if not isinstance(c, str) and c.tag == tag and c.marks == marks]
-    return level
-
-
-def articles_of(root: Node) -> list[Node]:
-    """The outermost articles or, where there is none, the outermost main parts."""
-    for wanted in (lambda n: n.tag == "article", is_article):
-        out, todo = [], [root]
-        while todo:
-            node = todo.pop()
-            if node is not root and left_out(node, False):
-                continue
-            if node is not root and wanted(node):
-                out.append(node)
+    inner = "".join(as_expression(c, part.pages) for c in part.children)
+    text = "" if not part.own else "#text" if part.own_digest is None or part.pages == 1 else "#same"
+    body = f"<{part.tag}>{text}{inner}</{part.tag}>"
+    group = f"({body})+" if part.many else body
+    return f"({group})?" if pages is not None and part.pages < pages else group
+
+
+def matched(node: Node, part: Part | None) -> list[tuple[Node, Part | None]]:
+    """The blocks right below a node, each with the part of the wrapper that it matches: the
+    next of its key, as the expression goes, or the first."""
+    blocks, todo = [], list(reversed(node.children))
+    while todo:
+        child = todo.pop()
+        if not isinstance(child, str) and not skipped(child.tag):
+            if child.block:
+                blocks.append(child)
             else:
-                todo += [c for c in reversed(node.children) if not isinstance(c, str)]
-        if out:
-            return out
-    return []
+                todo += reversed(child.children)
+    if part is None:
+        return [(b, None) for b in blocks]
+    places: dict[tuple[str, str], list[int]] = {}
+    for i, c in enumerate(part.children):
+        places.setdefault(c.key(), []).append(i)
+    out, at, last = [], 0, None
+    for b in blocks:
+        key = b.tag, b.marks
+        if key not in places:
+            out.append((b, None))
+            continue
+        if key != last:  # neighbours of one key share their group
+            at = next((i for i in places[key] if i >= at), places[key][0])
+            here, at, last = at, at + 1, key
+        out.append((b, part.children[here]))
+    return out
+
+
+def article(root: Node, wrapper: Part) -> tuple[list[Node], Part, list[tuple[Node, Part]]]:
+    """The nodes that hold the page's article, their part of the wrapper, and headings that
+    stand beside them or what holds them."""
+    nodes, part, headings = [root], wrapper, []
+    while not (part.tag == "article" or part.tag == "main" and not any(c.article for c in part.children)):
+        groups: dict[int, tuple[Part, list[Node]]] = {}
+        for node in nodes:
+            for child, own in matched(node, part):
+                if own is not None and (own.mass > 0 or own.article) and own.tag != "header":
+                    groups.setdefault(id(own), (own, []))[1].append(child)
+        found = list(groups.values())
+        if wrapper.pages == 1:
+            found = [g for g in found if not is_marked(*g[0].key())] or found
+        told = [g for g in found if g[0].article]
+        found = told or found
+        slots = any(g[0].slots for g in found)
+        measure = (lambda g: (g[0].slots if slots else g[0].mass) / g[0].pages)
+        top = max(found, key=lambda g: (not is_marked(*g[0].key()), measure(g)) if told else (True, measure(g)), default=None)
+        if top is None:
+            break
+        if not told:
+            total = sum(map(measure, found)) + part.own / part.pages
+            running = sum(measure(g) for g in found if g is not top and g[0].tag in RUNNING)
+            if measure(top) < MOST * total or running + part.own / part.pages > BESIDE_IT * total or top[0].many or top[0].tag in TEXT:
+                break
+            headings += [(n, g[0]) for g in found if g[0].tag in ("h1", "h2") and measure(g) for n in g[1]]
+        part, nodes = top
+    return nodes, part, headings
+
+
+def left_out(part: Part, inside: Part) -> bool:
+    """Whether a part inside the article is none of it."""
+    if part.tag == "header" and inside.tag in ("#root", "html", "body"):
+        return True
+    marked = is_marked(*part.key()) or part.tag == "p" and is_marked("div", part.marks)
+    if part.template and inside.digest is None and (marked or part.tag in MARKED and not part.article):
+        return True
+    return is_marked(*part.key()) and part.mass / part.pages < SMALL * inside.mass / inside.pages
 
 
-def main_text(page: str, path: list[list[str]] | None) -> str:
-    """The article's blocks, one a line."""
+def main_text(page: str, wrapper: Part | None) -> str:
+    """The article's blocks, one a line. Without a wrapper the page is its own."""
     if not page:
         return ""
     root = parse(page)
-    starts = inside(root, path) if path else []
-    starts = starts or articles_of(root) or [root]
+    starts, inside, headings = article(root, wrapper or part_of(root))
     blocks: list[str] = []
     held: list[str] = []
 
@@ -257,21 +386,24 @@ def main_text(page: str, path: list[list[str]] | None) -> str:
         if text:
             blocks.append(text)
 
-    in_article = starts != [root]
-    todo: list = [x for s in reversed(starts) for x in (None, s)]
+    todo: list = [x for s in reversed(starts) for x in (None, (s, inside))]
+    todo += [x for h, own in reversed(headings) for x in (None, (h, own))]
     while todo:
-        part = todo.pop()
-        if part is None:
+        item = todo.pop()
+        if item is None:
             close()
-        elif isinstance(part, str):
-            held.append(part)
-        elif part.tag == "br":
-            held.append(" ")
-        elif part in starts or part is root or not left_out(part, in_article):
-            if part.tag in BLOCK or part.tag == "#root":
-                close()
-                todo.append(None)
-            todo += reversed(part.children)
+        elif isinstance(item, str):
+            held.append(item)
+        else:
+            node, part = item
+            if node.tag == "br":
+                held.append(" ")
+            elif not skipped(node.tag) and (part is inside or not (is_marked(node.tag, node.marks) if part is None else left_out(part, inside))):
+                if node.block:
+                    close()
+                    todo.append(None)
+                parts = {id(b): own for b, own in matched(node, part)} if part is not None else {}
+                todo += [c if isinstance(c, str) else (c, parts.get(id(c))) for c in reversed(node.children)]
     close()
     return "\n".join(blocks)
 
@@ -280,56 +412,81 @@ def host_of(url: str):
     return F.lower(F.coalesce(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """host, path: the container of each host as JSON. pages: page_id, url, html.
+def _inferred(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, wrapper: a task's pages folded by host."""
+    held: dict[str, Part] = {}
+    for batch in slices(batches, 64):
+        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if page:
+                one = part_of(parse(page))
+                held[host] = merge(held[host], one) if host in held else one
+        if len(held) > 2000:
+            yield _wrappers(held)
+            held = {}
+    yield _wrappers(held)
 
-    For each host and remainder of a hash of the url, one page is taken: at most SAMPLE a host.
-    """
-    hashed = pages.withColumn("host", host_of("url")).withColumn("h", F.xxhash64("url", "page_id"))
-    chosen = hashed.groupBy("host", F.pmod("h", F.lit(SAMPLE)).alias("turn")).agg(F.min("h").alias("h"))
-    chosen = materialise(chosen.select("host", "h").distinct(), "sampled")
-    sampled = F.broadcast(chosen) if chosen.count() * 64 <= BROADCAST_BYTES else chosen
-    found = hashed.join(sampled, ["host", "h"], "left_semi").groupBy("host").agg(F.collect_list(F.struct("h", "html")).alias("pages"))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 16):
-            paths = []
-            for own in batch.column(1).to_pylist():
-                texts = [x["html"] for x in sorted(own, key=lambda x: (x["h"], x["html"]))[:SAMPLE]]
-                paths.append(json.dumps(container(infer(texts))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string())], names=["host", "path"])
+def _wrappers(held: dict[str, Part]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(map(dump, held.values()), pa.binary())], names=["host", "wrapper"])
 
-    return found.mapInArrow(run, "host string, path string")
+
+def _folded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Wrappers folded by host; those of a host come one after another."""
+    last, held = None, None
+    for batch in slices(batches, 256):
+        for host, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if host != last and held is not None:
+                yield _wrappers({last: held})
+                held = None
+            held = load(raw) if held is None else merge(held, load(raw))
+            last = host
+    if held is not None:
+        yield _wrappers({last: held})
+
+
+def infer_wrappers(pages: DataFrame) -> DataFrame:
+    """host, wrapper. pages: host, html. Every page counts; wrappers are folded within tasks,
+    then by host and salt, then by host."""
+    kind = "host string, wrapper binary"
+    first = pages.select("host", "html").mapInArrow(lambda b: tidy(_inferred(b)), kind).withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
+    some = first.repartition("host", "salt").sortWithinPartitions("host", "salt", F.xxhash64("wrapper")).select("host", "wrapper").mapInArrow(_folded, kind)
+    return some.repartition("host").sortWithinPartitions("host", F.xxhash64("wrapper")).mapInArrow(_folded, kind)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
-    """Per row: page_id, url, text, n_chars (code points). Null and empty pages and pages
-    without text give the empty text; pages with a null or odd url form one host; repeated
-    rows are each extracted. Other columns are ignored."""
-    given = pages.select(F.col(id_col).alias("page_id"), F.col(url).cast("string").alias("url"), text_or_empty(page).alias("html"))
+    """Per row: page_id, url, text, n_chars (code points).
+
+    Null and empty pages and pages without text give the empty text; pages with a null or odd
+    url form one host; repeated rows are each extracted. Of two parts with equally much text
+    the first on the page is entered. An empty table gives no rows. Other columns are ignored,
+    whatever their names.
+    """
+    given = pages.select(F.col(id_col).alias("page_id"), F.col(url).cast("string").alias("url"), text_or_empty(page).alias("html")).withColumn("host", host_of("url"))
     wrappers = materialise(infer_wrappers(given), "wrappers")
-    size = wrappers.agg(F.coalesce(F.sum(F.length("host") + F.length("path") + 64), F.lit(0)).alias("n")).first().n
-    hosted = given.withColumn("host", host_of("url"))
+    size = wrappers.agg(F.coalesce(F.sum(F.length("host") + F.length("wrapper") + 64), F.lit(0)).alias("n")).first().n
     if size <= BROADCAST_BYTES:
-        known = {r.host: r.path for r in wrappers.collect()}
-        sent = given.sparkSession.sparkContext.broadcast(known)
-        hosted = hosted.withColumn("path", F.lit(None).cast("string"))
+        sent = given.sparkSession.sparkContext.broadcast({r.host: bytes(r.wrapper) for r in wrappers.collect()})
+        hosted = given.withColumn("wrapper", F.lit(None).cast("binary"))
     else:
         sent = given.sparkSession.sparkContext.broadcast({})
-        hosted = hosted.join(wrappers, "host", "left")
+        hosted = given.join(wrappers, "host", "left")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, Part] = {}
         for batch in slices(batches, 128):
             texts = []
-            for host, path, one in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
-                path = path or sent.value.get(host)
-                texts.append(main_text(one, json.loads(path) if path else None))
+            for host, raw, one in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+                if one and host not in known:
+                    if len(known) > 500:
+                        known.clear()
+                    known[host] = load(raw or sent.value[host])
+                texts.append(main_text(one, known[host]) if one else "")
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]
             )
 
     kind = given.schema["page_id"].dataType.simpleString()
-    return hosted.select("page_id", "url", "host", "path", "html").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return hosted.select("page_id", "url", "host", "wrapper", "html").mapInArrow(lambda b: tidy(run(b)), f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -162,12 +162,64 @@ def test_main_text(body, text):
     assert wrappers.main_text(PAGE % body, None) == text
 
 
-def test_wrappers_find_the_part_that_differs():
-    pages = [f"<html><body><div class='top'><p>Same on all pages</p></div><div class='x'><h2>{t}</h2><p>{t} words of this page only</p><p>more {t}</p></div></body></html>" for t in ("one", "two", "three")]
-    wrapper = wrappers.infer(pages)
-    assert wrappers.container(wrapper) == [["html", ""], ["body", ""], ["div", "x"]]
-    assert "(<p>#text</p>)+" in wrappers.as_expression(wrapper)
-    assert wrappers.main_text(pages[0], wrappers.container(wrapper)) == "one\none words of this page only\nmore one"
+def test_a_mark_is_judged_as_a_whole():
+    page = "<article><h1>T</h1><div class='related-work'><p>Body text</p></div><p class='notice'>kept</p><section id='alert-systems'><p>too</p></section><div class='share-bar'>no</div></article>"
+    assert wrappers.main_text(page, None) == "T\nBody text\nkept\ntoo"
+
+
+def misleading(n):
+    """Pages of one template without article or main: the text is in a part marked as comments,
+    the menu and a long notice in one marked as the post."""
+    out = []
+    for i in range(n):
+        words = " ".join(f"w{i}x{k}" for k in range(30 + 7 * i))
+        page = (
+            f"<html><body><div class='post content'><ul><li><a href='/'>menu of links</a><li><a href='/{i}'>other page {i}</a></ul><p>{'The same notice on all pages of the host. ' * 20}</p></div>"
+            f"<div class='sidebar comments' id='n{i}'><h2>Title {i}</h2><p>{words}</p>{'<p>one more %d</p>' % i * (i % 3)}<div class='x'><p>Read the rules before you write to us.</p></div>"
+            f"<ul><li>item {i}</li></ul></div><div class='end'><p>{'House, street and town. ' * 9}</p></div></body></html>"
+        )
+        out.append((page, "\n".join([f"Title {i}", words, *[f"one more {i}"] * (i % 3), f"item {i}"])))
+    return out
+
+
+def test_wrappers_tell_template_from_text(spark, monkeypatch):
+    pages = misleading(9)
+    wrapper = wrappers.infer([p for p, _ in pages])
+    assert "(<p>#text</p>)+" in wrappers.as_expression(wrapper) and wrappers.as_expression(wrappers.load(wrappers.dump(wrapper))) == wrappers.as_expression(wrapper)
+    for page, text in pages:
+        assert wrappers.main_text(page, wrapper) == text
+        assert wrappers.main_text(page, None) != text  # a page alone can't tell
+    rows = [(i, f"http://one.example/{i}", p) for i, (p, _) in enumerate(pages)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for salts in (1, 64):
+        monkeypatch.setattr(wrappers, "SALTS", salts)
+        assert {r.page_id: r.text for r in wrappers.extract(frame).collect()} == {i: t for i, (_, t) in enumerate(pages)}
+
+
+def test_layouts_of_a_host_share_a_wrapper():
+    other = [f"<html><body><table class='t'><tr><td>The paper's name and its motto</td></tr></table><section class='story'><h1>Story {i}</h1><p>{'s%d ' % i * 40}</p></section></body></html>" for i in range(4)]
+    pages = misleading(5)
+    wrapper = wrappers.infer([p for p, _ in pages] + other)
+    assert [wrappers.main_text(p, wrapper) for p, _ in pages] == [t for _, t in pages]
+    assert [wrappers.main_text(p, wrapper) for p in other] == [f"Story {i}\n{' '.join(['s%d' % i] * 40)}" for i in range(4)]
+
+
+def test_copies_of_a_page_keep_their_text():
+    page = "<html><body><div class='a'><p>one text</p><div><p>in a part of its own</p></div></div></body></html>"
+    assert wrappers.main_text(page, wrappers.infer([page] * 5)) == "one text\nin a part of its own"
+
+
+@pytest.mark.parametrize("limit", [0, 10**9])
+def test_aligned_parts_keep_every_part(monkeypatch, limit):
+    monkeypatch.setattr(wrappers, "ALIGNED", limit)
+    rng = random.Random(3)
+    for _ in range(50):
+        a, b = ([wrappers.Part(rng.choice("abcd"), "", False, 1, 1, 1, 1, 1, []) for _ in range(rng.randrange(9))] for _ in range(2))
+        both = wrappers.align(a, b)
+        assert sum(p.pages for p in both) == len(a) + len(b)
+        for side in (a, b):  # the wrapper's parts have each side as a subsequence
+            rest = iter(p.tag for p in both)
+            assert all(p.tag in rest for p in side)
 
 
 def test_page_query(spark, sf_dir):
