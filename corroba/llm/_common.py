@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,6 +96,11 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def field_or_empty(rows: pa.StructArray, place: int) -> pa.Array:
+    """A string field of rows, empty where it is null: texts go to a worker once, inside their rows."""
+    return pc.fill_null(rows.field(place), "")
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column without nulls."""
     return column.cast(pa.large_string()).cast(pa.large_binary()).to_pylist()

@@ -2,7 +2,7 @@
 
 For each learned language an interpolated Kneser-Ney model of order ORDER over the letters
 of a word (contexts begin at the word's start). Grams and contexts of all languages lie in
-sorted hash arrays, with a column a language, and are broadcast. A text goes to the language
+sorted hash arrays, each with the languages that have it and their values, and are broadcast. A text goes to the language
 of lowest cross-entropy a character; a limit calibrated on labelled texts that no count
 saw rejects texts that no model explains.
 """
@@ -13,12 +13,14 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corroba.llm._common import crc_mod, slices, table, text_or_empty
+from corroba.llm._common import crc_mod, field_or_empty, slices, small_batches, table, text_or_empty, tidy
 
 ORDER = 4
 #: Labelled texts that are learned from, about so many a language: the model's size depends on it alone.
@@ -75,7 +77,6 @@ class Models:
 
     def __init__(self, languages: list[str], counts: dict[str, Counter]):
         self.languages = languages
-        n_lang = len(languages)
         self.grams, self.contexts, self.limits = [], [], {}
         per_order: list[list[dict]] = []
         for lang in languages:
@@ -95,11 +96,11 @@ class Models:
         self.floor = 1.0 / (len(letters) + 1000)  # a uniform share for letters that no text had
         for k in range(ORDER):
             for store, part, empty in ((self.grams, 0, 0.0), (self.contexts, 1, 1.0)):
-                keys = sorted({g for orders in per_order for g in orders[k][part]})
-                values = np.array([[orders[k][part].get(g, empty) for orders in per_order] for g in keys], np.float32).reshape(-1, n_lang)
-                hashes = np.array([_hash(g) for g in keys], np.uint64)
-                order = np.argsort(hashes)
-                store.append((hashes[order], values[order]))
+                entries = [(_hash(g), lang, v) for lang, orders in enumerate(per_order) for g, v in orders[k][part].items()]
+                hashes, langs, values = (np.array([e[i] for e in entries], t) for i, t in enumerate((np.uint64, np.int32, np.float32)))
+                order = np.argsort(hashes, kind="stable")
+                hashes, first = np.unique(hashes[order], return_index=True)
+                store.append((hashes, np.append(first, len(entries)), langs[order], values[order], empty))
 
     def score(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """log2-probabilities of the words by each language, and their numbers of characters."""
@@ -108,18 +109,22 @@ class Models:
         before = [np.zeros(len(at), np.uint64), *_back(codes, at, 1, ORDER - 1)]
         p = np.full((len(at), len(self.languages)), self.floor, np.float32)
         for k in range(ORDER):
-            weight, known = self._found(self.contexts[k], before[k])
-            p = np.where(known[:, None], weight, np.float32(1)) * p
-            a, known = self._found(self.grams[k], hashes[k])
-            p += np.where(known[:, None], a, np.float32(0))
+            p *= self._spread(self.contexts[k], before[k])
+            p += self._spread(self.grams[k], hashes[k])
         starts = np.cumsum(sizes) - sizes
         return np.add.reduceat(np.log2(np.maximum(p, 1e-12)), starts, 0), sizes
 
-    @staticmethod
-    def _found(store: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        hashes, values = store
+    def _spread(self, store: tuple, keys: np.ndarray) -> np.ndarray:
+        """A row of each key with a value a language, `empty` where a language doesn't have it."""
+        hashes, first, langs, values, empty = store
         at = np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)
-        return values[at], hashes[at] == keys
+        rows = np.flatnonzero(hashes[at] == keys)
+        at = at[rows]
+        n = first[at + 1] - first[at]
+        entries = np.arange(int(n.sum())) + np.repeat(first[at] - np.cumsum(n) + n, n)
+        out = np.full((len(keys), len(self.languages)), empty, np.float32)
+        out[np.repeat(rows, n), langs[entries]] = values[entries]
+        return out
 
 
 def _hash(gram: str) -> int:
@@ -132,7 +137,9 @@ def _hash(gram: str) -> int:
 
 def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text: str = "text", lang: str = "lang", train_texts: int = TRAIN_TEXTS) -> Models | None:
     """Models of the languages of the usable rows with a language: about train_texts whole
-    texts of each, by a hash of the id, are learned from. None if no row is usable."""
+    texts of each, by a hash of the id, are learned from. None if no row is usable. A language
+    of which no kept text was told right takes the limit of all; without any, no text is rejected."""
+    small_batches(docs.sparkSession)
     labelled = docs.filter(usable & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), text_or_empty(text).alias("text"), F.xxhash64(F.col(id_col), F.lit(20)).alias("h"))
     sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
@@ -155,7 +162,7 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text: str = "te
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], names=["lang", "gram", "n"])
 
     counts: dict[str, Counter] = {k: Counter() for k in sizes}
-    grams = sample.filter("NOT kept").select("lang", "text").mapInArrow(count, "lang string, gram string, n long")
+    grams = sample.filter("NOT kept").select("lang", "text").mapInArrow(lambda b: tidy(count(b)), "lang string, gram string, n long")
     for r in grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect():  # as the sample is bounded
         counts[r.lang][r.gram] = r.n
     languages = sorted(k for k, c in counts.items() if c)
@@ -168,18 +175,19 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text: str = "te
     for r in scored.filter("lang = lang_pred").select("lang_pred", "cross_entropy").collect():
         limits[r.lang_pred].append(r.cross_entropy)
     everything = [x for v in limits.values() for x in v]
-    models.limits = {k: float(np.quantile(v or everything or [np.inf], QUANTILE)) * SLACK for k, v in limits.items()}
+    models.limits = {k: float(np.quantile(v or everything, QUANTILE)) * SLACK if everything else math.inf for k, v in limits.items()}
     return models
 
 
-def _predict(batches: Iterable[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
-    """First column as it is, then lang_pred, score and cross_entropy of the texts in the second."""
+def _predict(batches: Iterable[pa.RecordBatch], sent, field: int | None = None) -> Iterator[pa.RecordBatch]:
+    """First column as it is, then lang_pred, score and cross_entropy of the texts, which are in
+    the second column or in a field of the first."""
     models: Models = sent.value
     known: dict[bytes, int] = {}
     n_lang = len(models.languages)
     rows, sizes, filled = np.zeros((_WORDS_KEPT, n_lang), np.float32), np.zeros(_WORDS_KEPT, np.int64), 0
     for batch in slices(batches, 256):
-        texts = batch.column(1).to_pylist()
+        texts = (batch.column(1) if field is None else field_or_empty(batch.column(0), field)).to_pylist()
         words = [words_of(t) for t in texts]
         missing = list({w for ws in words for w in ws if w not in known})
         if filled + len(missing) > len(rows):
@@ -188,8 +196,9 @@ def _predict(batches: Iterable[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch
             missing = list({w for ws in words for w in ws})
             if len(missing) > len(rows):  # one batch of very long texts
                 rows, sizes = np.zeros((len(missing), n_lang), np.float32), np.zeros(len(missing), np.int64)
-        for at in range(0, len(missing), 20_000):
-            some = missing[at : at + 20_000]
+        step = max(200, 80_000 // n_lang)
+        for at in range(0, len(missing), step):
+            some = missing[at : at + step]
             rows[filled : filled + len(some)], sizes[filled : filled + len(some)] = models.score(some)
             known.update(zip(some, range(filled, filled + len(some))))
             filled += len(some)
@@ -221,16 +230,19 @@ def identify(docs: DataFrame, models: Models | None, text: str = "text") -> Data
     """All columns of docs (in `doc`) with lang_pred, score (0 to 1), cross_entropy (bits a
     character), letters (characters scored) and rejected.
 
-    Texts that are null or have no letter are `und`, score 0, and rejected; so is every text
-    where nothing could be learned. Languages that tie go by name. Rejected are also texts
-    whose code is SURPLUS bits longer than the limit of their language allows.
+    Texts that are null or have no letter are `und`, score 0, and rejected. Languages that tie
+    go by name. Rejected are also texts whose code is SURPLUS bits longer than the limit of
+    their language allows. Where nothing could be learned (models is None) every text is `und`,
+    score 0, and none is rejected: there is nothing to judge by. Repeated rows are told each;
+    an empty table gives no rows; columns named like those added stay inside `doc`.
     """
-    given = docs.select(F.struct("*").alias("doc"), text_or_empty(text).alias("text"))
+    given = docs.select(F.struct("*").alias("doc"))
     if models is None:
-        return given.select("doc", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(0).cast("long").alias("letters"), F.lit(True).alias("rejected"))
+        return given.select("doc", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(0).cast("long").alias("letters"), F.lit(False).alias("rejected"))
     sent = docs.sparkSession.sparkContext.broadcast(models)
     schema = given.select("doc", *(F.lit(None).cast(k).alias(n) for n, k in (x.split() for x in PREDICTED.split(", ")))).schema
-    found = given.mapInArrow(lambda b: _predict(b, sent), schema)
+    place = docs.columns.index(text)
+    found = given.mapInArrow(lambda b: tidy(_predict(b, sent, place)), schema)
     limit = F.coalesce(*(F.when(F.col("lang_pred") == k, F.lit(v)) for k, v in models.limits.items()))
     return found.withColumn("rejected", F.coalesce((F.col("cross_entropy") - limit) * F.col("letters") > SURPLUS, F.lit(True)))
 

@@ -21,11 +21,10 @@ from re import _parser
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corroba.llm._common import as_bytes, slices, table
+from corroba.llm._common import as_bytes, field_or_empty, slices, small_batches, table, tidy
 
 
 @dataclass(frozen=True)
@@ -196,6 +195,7 @@ def find_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
     Null and empty texts have none; repeated rows are searched each; an empty table gives no
     rows; columns named like those added stay inside `doc`. A text is searched whole.
     """
+    small_batches(docs.sparkSession)
     queries = [trigram_query(r.pattern) for r in rules]
     place = docs.columns.index(text)
 
@@ -204,8 +204,7 @@ def find_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
         asked, wanted = index_of(queries)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
         for batch in slices(batches, 256):
-            column = pc.fill_null(batch.column(0).field(place), "")
-            raw = as_bytes(column)
+            raw = as_bytes(field_or_empty(batch.column(0), place))
             segment = Segment(raw, asked, wanted)
             texts: dict[int, str] = {}
             found: list[list[tuple]] = [[] for _ in raw]
@@ -218,7 +217,7 @@ def find_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=["doc", "secrets"])
 
     given = docs.select(F.struct("*").alias("doc"))
-    return given.mapInArrow(run, given.withColumn("secrets", F.lit(None).cast(SPANS)).schema)
+    return given.mapInArrow(lambda b: tidy(run(b)), given.withColumn("secrets", F.lit(None).cast(SPANS)).schema)
 
 
 def redact(docs: DataFrame, mark: str = "[{kind}]") -> DataFrame:

@@ -15,12 +15,11 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Iterable
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Entries that a worker keeps; beyond it the cache starts again from the given entries.
-CACHE_ENTRIES = 700_000
+#: Parts that a worker keeps of the latest texts; as many older ones are kept beside them.
+CACHE_ENTRIES = 350_000
 #: Longer parts are encoded each time.
 CACHED_CHARS = 48
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -41,6 +40,17 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Parts(dict):
+    """Values of parts; a part that is not there is looked for or encoded by the owner."""
+
+    def __init__(self, owner: PartCache, given: dict):
+        super().__init__(given)
+        self.owner = owner
+
+    def __missing__(self, key: str):
+        return self.owner.meet(key)
+
+
 class PartCache:
     """Part -> number of ids ("lengths") or ids as little-endian 16-bit bytes ("ids").
 
@@ -54,17 +64,23 @@ class PartCache:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of more than 16 bits")
         self.kind, self.given = kind, given or {}
-        self.cache = dict(self.given)
-        self.split, self.words = _SPLIT.get(_style(self.tokenizer)), {}
-        self.lower = _style(self.tokenizer) == "word"
-        self.as_bytes = _byte_letters()
+        self.cache, self.older, self.odd = _Parts(self, self.given), {}, False
+        style = _style(self.tokenizer)
+        self.split, self.words, self.lower = _SPLIT.get(style), {}, style == "word"
+        self.as_bytes, self.joined = _byte_letters(), sum if kind == "lengths" else b"".join
 
     def give(self, entries: dict) -> None:
-        """Entries that stay when the cache starts again."""
+        """Entries that stay, whatever else is kept."""
         if entries is not self.given:
             self.given = entries
             self.cache.update(entries)
 
+    def _turn(self) -> None:
+        if len(self.cache) > CACHE_ENTRIES + len(self.given):
+            self.older, self.cache = self.cache, _Parts(self, self.given)
+        if len(self.words) > CACHE_ENTRIES // 4:
+            self.words.clear()
+
     def _encode(self, keys: list[str]) -> list:
         texts = [k[1:] if k[:1] == " " else f" {k}" for k in keys]
         return [self._value(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -72,61 +88,56 @@ class PartCache:
     def _value(self, ids: list[int]):
         return len(ids) if self.kind == "lengths" else array("H", ids).tobytes()
 
-    def _keep_plain(self, keys: Iterable[str]) -> list[str]:
-        """Encode and keep the plain keys; the others are returned."""
-        if not self.split:
-            return list(keys)
-        if len(self.words) > CACHE_ENTRIES:
-            self.words.clear()
-        cache, words, split, fits = self.cache, self.words, self.split.findall, _PLAIN.fullmatch
-        tokenize, joined = self.tokenizer.model.tokenize, sum if self.kind == "lengths" else b"".join
-        rest = []
-        for key in keys:
-            if len(key) > CACHED_CHARS or not fits(key) or "<|" in key:
-                rest.append(key)
-                continue
+    def meet(self, key: str):
+        """The value of a part that is not among the latest; None, and a note of it, if it is not plain."""
+        value = dict.get(self.older, key)
+        if value is None:
+            if not self.split or len(key) > CACHED_CHARS or not _PLAIN.fullmatch(key) or "<|" in key:
+                self.odd = True
+                return None
             text = key[1:] if key[0] == " " else f" {key}"
-            values = []
-            for word in split(text.lower() if self.lower else text):
-                value = words.get(word)
-                if value is None:
-                    value = words[word] = self._value([t.id for t in tokenize(word.translate(self.as_bytes))])
-                values.append(value)
-            cache[key] = joined(values)
-        return rest
+            found = self.split.findall(text.lower() if self.lower else text)
+            value = self._word(found[0]) if len(found) == 1 else self.joined(map(self._met_word, found))
+        self.cache[key] = value
+        return value
+
+    def _word(self, word: str):
+        return self._value([t.id for t in self.tokenizer.model.tokenize(word.translate(self.as_bytes))])
+
+    def _met_word(self, word: str):
+        """The value of a word beside others; it may be known as a part."""
+        value = self.words.get(word)
+        if value is None:
+            if self.lower or word[0] == " ":
+                value = dict.get(self.cache, word.lstrip(" ")) or dict.get(self.older, word.lstrip(" "))
+            if value is None:
+                value = self.words[word] = self._word(word)
+        return value
 
     def values(self, texts: list[str]) -> list[list]:
         """For each text the values of its parts, in order."""
-        if len(self.cache) > CACHE_ENTRIES + len(self.given):
-            self.cache.clear()
-            self.cache.update(self.given)
-        get = self.cache.get
-        parts, out, again, missing = [], [], [], set()
+        out, again = [], []
         for i, text in enumerate(texts):
-            if self.lower:
-                text = _lower(text)
-            p = text.split(" ")
-            p[0] = f" {p[0]}"
-            v = list(map(get, p))
-            if None in v:
-                again.append(i)
-                missing.update([w for w, x in zip(p, v) if x is None])
-            parts.append(p)
-            out.append(v)
-        rest = self._keep_plain(missing)
-        if not rest:
-            for i in again:
-                out[i] = list(map(get, parts[i]))
+            self._turn()
+            self.odd = False
+            parts = (_lower(text) if self.lower else text).split(" ")
+            parts[0] = f" {parts[0]}"
+            out.append(list(map(self.cache.__getitem__, parts)))
+            if self.odd:
+                again.append((i, parts))
+        if not again:
             return out
-        uneven = {w for w in rest if _uneven(w)}
-        for i in again:
-            if len(parts[i]) > 1 and not uneven.isdisjoint(parts[i]):
-                parts[i] = _SAFE_SPACE.split(texts[i])
-                parts[i][0] = f" {parts[i][0]}"
-        rest = list({w for i in again for w in parts[i] if w not in self.cache})
+        # parts that are not plain: the whole tokenizer, many at once
+        get = self.cache.get
+        for k, (i, parts) in enumerate(again):
+            if len(parts) > 1 and any(x is None and _uneven(w) for w, x in zip(parts, out[i])):
+                parts = _SAFE_SPACE.split(texts[i])
+                parts[0] = f" {parts[0]}"
+                again[k] = i, parts
+        rest = list({w for _, parts in again for w in parts if w not in self.cache})
         encoded = dict(zip(rest, self._encode(rest)))
-        for i in again:
-            out[i] = [encoded[w] if x is None else x for w, x in zip(parts[i], map(get, parts[i]))]
+        for i, parts in again:
+            out[i] = [encoded[w] if x is None else x for w, x in zip(parts, map(get, parts))]
         self.cache.update({w: x for w, x in encoded.items() if len(w) <= CACHED_CHARS and not _uneven(w)})
         return out
 
