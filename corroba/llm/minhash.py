@@ -6,7 +6,7 @@
 3. First round: each document meets the smallest document of each of its band buckets,
    the best by estimated similarity is confirmed on full sets, and links make components.
 4. Second round: a bucket that still holds several components is compared in blocks, by
-   signatures and set sizes, across components. What this leaves, documents that may be
+   signatures and set sizes, across components; its largest one is not compared with itself. What this leaves, documents that may be
    linked across components, meets again in blocks with its texts, and links are confirmed
    on full sets there; a pair is looked at in the first bucket that it shares. Tasks return
    documents and joined components, never pairs, so a large group costs its comparisons
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corroba.llm._common import as_bytes, materialise, slices, table, text_or_empty
+from corroba.llm._common import as_bytes, materialise, slices, table, text_or_empty, tidy
 from corroba.llm.graph import components
 
 SHINGLE, PERCENT = 5, 75
@@ -37,7 +37,7 @@ KEYS, BANDS, ROWS, BITS = 256, 32, 4, 4
 FLOOR = 0.63
 #: Documents of a bucket that are compared at once: by signatures, and with their texts.
 BLOCK, TEXT_BLOCK = 256, 128
-_WORDS_KEPT = 400_000
+_WORDS_KEPT = 150_000
 _RNG = np.random.Generator(np.random.PCG64(7))
 _XOR = _RNG.integers(0, 1 << 32, KEYS, dtype=np.uint32)
 _MUL = _RNG.integers(0, 1 << 31, KEYS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -222,15 +222,24 @@ def _joined(groups: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _met(members: DataFrame, size: int) -> DataFrame:
-    """band, left, right: every two blocks, of about size documents, of each bucket that has
-    several components. members: band and member (with id and component)."""
-    counted = members.groupBy("band").agg(F.min("member.component").alias("low"), F.max("member.component").alias("high"), F.count("*").alias("n"))
-    mixed = materialise(counted.filter("low <> high").select("band", F.ceil(F.col("n") / size).cast("int").alias("blocks")), "mixed")
-    dealt = members.join(mixed, "band").withColumn("block", F.pmod(F.xxhash64("member.id"), F.col("blocks")).cast("int"))
-    blocks = materialise(dealt.groupBy("band", "blocks", "block").agg(F.collect_list("member").alias("members")), "blocks")
-    # block i meets the blocks j >= i: each block goes once to every pair that it is in
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    met = blocks.select("band", "block", "members", F.explode(pairs).alias("p")).groupBy("band", "p")
+    """band, left, right: blocks, of about size documents, of each bucket that has several
+    components. members: band and member (with id and component).
+
+    The blocks of a bucket's largest component meet those of its other documents, and these
+    meet each other; the largest component never meets itself, so a bucket of copies and a few
+    others costs as many pairs as it has blocks.
+    """
+    sizes = members.groupBy("band", F.col("member.component").alias("component")).agg(F.count("*").alias("n"))
+    counted = sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("inside"), F.sum("n").alias("n"), F.count("*").alias("components"))
+    blocks = (F.ceil(F.col("inside") / size).cast("int").alias("inside"), F.ceil((F.col("n") - F.col("inside")) / size).cast("int").alias("outside"))
+    mixed = materialise(counted.filter("components > 1").select("band", "main", *blocks), "mixed")
+    is_main, code = F.col("member.component") == F.col("main"), F.xxhash64("member.id")
+    block = F.when(is_main, F.pmod(code, F.col("inside"))).otherwise(F.col("inside") + F.pmod(code, F.col("outside"))).cast("int")
+    dealt = members.join(mixed, "band").withColumn("block", block)
+    gathered = materialise(dealt.groupBy("band", "inside", "outside", "block").agg(F.collect_list("member").alias("members")), "blocks")
+    others = F.sequence(F.when(F.col("block") < F.col("inside"), F.col("inside")).otherwise(0), F.col("inside") + F.col("outside") - 1)
+    pairs = F.transform(others, lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+    met = gathered.select("band", "block", "members", F.explode(pairs).alias("p")).groupBy("band", "p")
     return met.agg(F.max_by("members", -F.col("block")).alias("left"), F.max_by("members", F.col("block")).alias("right")).select("band", "left", "right")
 
 
@@ -242,7 +251,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     are ignored, whatever their names. An empty table gives no rows.
     """
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    sets = materialise(given.mapInArrow(_sets, SETS), "sets")
+    sets = materialise(given.mapInArrow(lambda b: tidy(_sets(b)), SETS), "sets")
     several = sets.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     several = materialise(several.filter("n > 1").select("set_key", "rep"), "classes")
     classed = sets.join(several, "set_key", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
@@ -266,10 +275,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
     known_of = F.struct("id", "component", "n", "at", "signature", "bands")
     in_buckets = labelled(bucketed.select("band", "at", "id"), "id").join(reps, "id")
-    may = materialise(_met(in_buckets.select("band", known_of.alias("member")), BLOCK).mapInArrow(_may_link, "band long, id long").distinct(), "may")
+    may = materialise(_met(in_buckets.select("band", known_of.alias("member")), BLOCK).mapInArrow(lambda b: tidy(_may_link(b)), "band long, id long").distinct(), "may")
     chosen = labelled(bucketed.select("band", "at", "id").join(may, ["band", "id"], "left_semi"), "id").join(reps, "id").join(texts.withColumnRenamed("doc_id", "id"), "id")
     with_text = F.struct("id", "component", "n", "at", "signature", "bands", "text")
-    joined = materialise(_met(chosen.select("band", with_text.alias("member")), TEXT_BLOCK).mapInArrow(_joined, "a long, b long").distinct(), "joined")
+    joined = materialise(_met(chosen.select("band", with_text.alias("member")), TEXT_BLOCK).mapInArrow(lambda b: tidy(_joined(b)), "a long, b long").distinct(), "joined")
     top = materialise(components(joined), "top").toDF("component", "highest")
 
     final = labels.join(top, "component", "left").select("node", F.coalesce("highest", "component").alias("component"))

@@ -58,6 +58,33 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == linked(texts)
 
 
+def test_a_component_does_not_meet_itself(spark, monkeypatch):
+    """20,000 near copies that are one component already, and three others in their bucket."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(minhash, "materialise", lambda df, name: df)
+    members = spark.range(20_003).select(F.lit(1).alias("band"), F.struct("id", F.when(F.col("id") < 20_000, F.lit(0)).otherwise(F.col("id")).alias("component")).alias("member"))
+    pairs = minhash._met(members, 100).select(F.expr("transform(left, x -> x.id)").alias("a"), F.expr("transform(right, x -> x.id)").alias("b")).collect()
+    assert 190 < len(pairs) <= 201
+    met = {frozenset((x, y)) for r in pairs for x in r.a for y in r.b}
+    others = range(20_000, 20_003)
+    assert all(frozenset((x, y)) in met for y in others for x in range(20_003) if x != y)
+
+
+def test_large_groups_of_near_copies_at_size(spark):
+    """One bucket of 20,000 near copies, and copies of another text: labels by construction."""
+    rng = random.Random(9)
+    base, other = ([f"{w}{rng.randrange(9000)}" for _ in range(60)] for w in "wv")
+    texts = {}
+    for i in range(20_000):
+        w = list(base if i % 4 else other)
+        w[-1 - i % 3] = f"x{i}"
+        texts[i] = " ".join(w)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
+    assert got == {i: 1 if i % 4 else 0 for i in texts}
+
+
 def test_near_duplicates_of_odd_rows(spark, odd, nothing):
     got = [(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(odd).collect()]
     assert sorted(x for x in got if x[0]) == [(1, 1, True), (2, 2, True), (3, 3, True), (4, 4, True), (5, 4, False), (6, 6, True), (6, 6, True), (7, 7, True), (8, 8, True)]
