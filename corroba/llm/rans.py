@@ -21,7 +21,7 @@ from corroba.llm.tokens import part_cache, tokenizer_path
 
 #: Frequencies add up to 2**SCALE; coder states stay in [2**31, 2**63).
 SCALE, LOW = 20, 31
-BLOCK, LANES = 32_768, 32
+BLOCK, LANES = 32_768, 128
 #: Ids of a group, but for a longer single document; a worker holds one group.
 GROUP = 1 << 19
 END_ID = 1
