@@ -16,6 +16,14 @@ MODALITIES = (
 )
 
 
+# Characters whose case folding has letters of a-z.
+FOLDED = (
+    ("ß", "ss"), ("ẞ", "ss"), ("ſ", "s"), ("\u212a", "k"), ("İ", "i "), ("ŉ", " n"), ("ǰ", "j "),
+    ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"),
+)
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def strip(c: Column | str) -> Column:
     return F.btrim(c, F.lit(SPACES))
 
@@ -31,14 +39,19 @@ def parts(c: Column | str, separator: str) -> Column:
 
 
 def clean(c: Column | str) -> Column:
-    """Without backticks, white space as one space, without dashes, colons and semicolons around."""
-    plain = F.regexp_replace(F.regexp_replace(c, "`", ""), r"[ \t\r\n\x0b\x0c]+", " ")
+    """Without pairs of backticks, white space as one space, without dashes, colons and semicolons around."""
+    plain = F.regexp_replace(F.regexp_replace(c, "`([^`]+)`", "$1"), r"[ \t\r\n\x0b\x0c]+", " ")
     return F.btrim(plain, F.lit(" -:;"))
 
 
 def norm(c: Column | str) -> Column:
-    """Lower case; other characters than a-z, 0-9, _ - . / : and white space become spaces."""
-    plain = F.regexp_replace(F.lower(c), r"[^a-z0-9_\-./: \t\r\n\x0b\x0c]", " ")
+    """Case folded; other characters than a-z, 0-9, _ - . / : and white space become spaces."""
+    c = F.col(c) if isinstance(c, str) else c
+    folded = c
+    for character, letters in FOLDED:
+        folded = F.replace(folded, F.lit(character), F.lit(letters))
+    folded = F.when(c.rlike(r"[^\x00-\x7F]"), folded).otherwise(c)
+    plain = F.regexp_replace(F.translate(folded, UPPER, LOWER), r"[^a-z0-9_\-./: \t\r\n\x0b\x0c]", " ")
     return F.btrim(F.regexp_replace(plain, r"[ \t\r\n\x0b\x0c]+", " "))
 
 
@@ -64,12 +77,13 @@ def modality(normal: Column) -> Column:
 
 
 def split_claim(c: Column) -> Column:
-    """Clauses of a claim: cut at but, then at and, then at commas; trimmed, empty ones dropped.
-    The cuts follow each other, so that a comma before `and` leaves no `and` behind."""
+    """Clauses of a claim: cut at but, then at and, then at commas; trimmed, empty ones dropped;
+    the claim itself if nothing is left. The cuts follow each other, so that a comma before
+    `and` leaves no `and` behind."""
     clauses = F.array(c)
     for separator in (r"\s+but\s+", r"\s+and\s+", ","):
         clauses = F.flatten(F.transform(clauses, _cut_at(separator)))
-    return clauses
+    return F.when(F.size(clauses) > 0, clauses).otherwise(F.array(c))
 
 
 def _cut_at(separator: str):
@@ -77,5 +91,5 @@ def _cut_at(separator: str):
 
 
 def claim_logic(c: Column) -> Column:
-    low = F.lower(c)
-    return F.when(F.contains(low, F.lit(" or ")), "or").when(F.contains(low, F.lit(" and ")) | F.contains(low, F.lit(",")), "and").otherwise("single")
+    low = F.translate(c, UPPER, LOWER)
+    return F.when(F.contains(low, F.lit(" or ")), "or").when(contains_any(low, (" and ", " but ", ",")), "and").otherwise("single")

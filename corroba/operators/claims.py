@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corroba.functions.text import contains_any
+from corroba.functions.text import contains_any, parts, strip
 
 #: The command whose use claims speak of.
 TOOL = "corroba"
@@ -48,7 +48,26 @@ CLASSES: dict[str, tuple[tuple, ...]] = {
 
 def segment_line(line: Column) -> Column:
     """A line without one list mark and one number mark."""
-    return F.regexp_replace(F.regexp_replace(line, r"^[-*+][ \t]+", ""), r"^[0-9]+[.)][ \t]+", "")
+    return F.regexp_replace(F.regexp_replace(line, r"^[-*][ \t]+", ""), r"^[0-9]+[.)][ \t]+", "")
+
+
+def segments(rows: DataFrame, text: str = "text", opening: str = "Document") -> DataFrame:
+    """All columns of rows but the text, with ordinal, section and line: the stripped lines of
+    a text that are neither empty nor headings, counted from 0, each with the heading before
+    it. Only texts with a heading are sorted by line; rows must tell texts apart."""
+    keys = [c for c in rows.columns if c != text]
+    cut = rows.select(*keys, parts(text, "\n").alias("lines"))
+    headed = F.exists("lines", lambda x: x.startswith("#"))
+    plain = cut.filter(~headed).select(*keys, F.posexplode("lines").alias("ordinal", "line")).withColumn("section", F.lit(opening))
+    line = cut.filter(headed).select(*keys, F.posexplode("lines").alias("at", "line"))
+    so_far = Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    is_heading = F.col("line").startswith("#")
+    heading = F.when(is_heading, F.nullif(strip(F.ltrim("line", F.lit("#"))), F.lit("")))
+    carried = line.withColumn("section", F.coalesce(F.last(heading, ignorenulls=True).over(so_far), F.lit(opening))).withColumn(
+        "ordinal", (F.count_if(~is_heading).over(so_far) - 1).cast("int")
+    )
+    columns = [*keys, "ordinal", "section", "line"]
+    return plain.select(*columns).union(carried.filter(~is_heading).select(*columns))
 
 
 def classify(route: Column, normal: Column) -> Column:

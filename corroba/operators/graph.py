@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -12,7 +13,10 @@ def set_checkpoints(rows: DataFrame) -> None:
     """Gives the session of rows a checkpoint folder, if it has none."""
     context = rows.sparkSession.sparkContext
     if context.getCheckpointDir() is None:  # a temporary folder only on a single machine, as in tests
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corroba-"))
+        shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="corroba-"))
 
 
 def closure(edges: DataFrame, start: DataFrame, max_depth: int = 50) -> DataFrame:

@@ -48,8 +48,3 @@ def first_by(rows: DataFrame, keys: list[str], order: Column, values: list[str],
     """The values of the first (or last) row of each group: one partial aggregate, no sort."""
     pick = F.max_by if last else F.min_by
     return rows.groupBy(*keys).agg(pick(F.struct(*values), order).alias("picked")).select(*keys, "picked.*")
-
-
-def bounded(side: DataFrame, rows: int = 100_000) -> DataFrame:
-    """side with a broadcast hint if it has few rows; a larger one keeps the planner's choice."""
-    return F.broadcast(side) if side.limit(rows + 1).count() <= rows else side

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corroba.operators.verdicts import RULES, bounded, first_by, judge, verdict
+from corroba.operators.containment import first_holding, holding
+from corroba.operators.verdicts import RULES, first_by, judge, verdict
 from corroba.plans.registry import query, table
 
 _RULES = "(VALUES " + ", ".join(f"('{m}', {str(h).lower()}, '{p}', '{r}', '{t}')" for m, h, p, r, t in RULES) + ") AS rules(matcher, hit, polarity, result, tier)"
@@ -26,8 +27,8 @@ def claim_verdict_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as claims: benchmark passages in them support, toxic labels contradict, and
     documents without a label stay partly unresolved; verdicts by language."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    items = bounded(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage")))
-    hits = documents.join(items, F.contains("text", F.col("passage"))).groupBy("doc_id").agg(F.count("*").alias("hits"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
+    hits = holding(documents, "doc_id", "text", items, "item_id", "passage").groupBy("doc_id").agg(F.count("*").alias("hits"))
     claims = documents.select("doc_id", "lang").join(hits, "doc_id", "left").join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", "left")
     told = verdict(
         F.lit("general"), F.lit(True), F.coalesce(F.col("toxic") == 1, F.lit(False)), F.coalesce(F.col("hits") > 0, F.lit(False)), F.col("toxic").isNull()
@@ -111,20 +112,15 @@ def match_alias_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT item_id, doc_id, rank FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank FROM hits) WHERE rank <= 6"""
 )
 def match_lexical_top6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first six documents that hold an anchor token of an item. Each task keeps six an item
-    (a window's group limit) before anything is shuffled."""
+    """The first six documents that hold an anchor token of an item."""
     tokens = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0)), lambda x: F.length(x) >= 4)
-    items = bounded(table(spark, sf_dir, "benchmark").select("item_id", F.slice(tokens, 1, 6).alias("anchors")))
-    documents = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("low"))
-    hits = documents.join(items, F.exists("anchors", lambda t: F.contains(F.col("low"), t))).select("item_id", "doc_id")
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy("doc_id"))
-    return hits.withColumn("rank", rank).filter("rank <= 6").withColumn("rank", F.col("rank").cast("long"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.slice(tokens, 1, 6)).alias("anchor"))
+    return first_holding(table(spark, sf_dir, "documents"), "doc_id", F.split(F.lower("text"), "[^a-z0-9_]+"), items, "item_id", "anchor", most=6)
 
 
 @query("SELECT doc_id, item_id FROM documents AS d JOIN benchmark AS b ON contains(d.text, b.text)")
 def containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = bounded(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage")))
-    return table(spark, sf_dir, "documents").join(items, F.contains("text", F.col("passage"))).select("doc_id", "item_id")
+    return holding(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark").withColumnRenamed("text", "passage"), "item_id", "passage")
 
 
 @query("SELECT o_orderstatus AS route, o_orderpriority AS verdict, count(*) AS n FROM orders GROUP BY ALL")
@@ -183,10 +179,10 @@ def support_id_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """SELECT l_orderkey, string_agg(note, '; ' ORDER BY r) AS notes FROM (
       SELECT l_orderkey, l_linenumber, l_returnflag || l_linestatus || ':' || l_partkey AS note, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag || l_linestatus) AS r FROM lineitem)
-    WHERE r <= 4 GROUP BY l_orderkey"""
+    WHERE r <= 8 GROUP BY l_orderkey"""
 )
 def ordered_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     note = F.concat(F.col("l_returnflag"), F.col("l_linestatus"), F.lit(":"), F.col("l_partkey").cast("string"))
     fragments = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", note.alias("note"))))
-    found = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.slice(fragments, 1, 4).alias("f"))
+    found = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.slice(fragments, 1, 8).alias("f"))
     return found.select("l_orderkey", F.array_join(F.transform("f", lambda x: x["note"]), "; ").alias("notes"))

@@ -122,27 +122,22 @@ def edge_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE edges AS (
-      SELECT p_partkey AS parent, p_partkey * 2 AS child FROM part WHERE p_partkey * 2 <= 200
-      UNION ALL SELECT p_partkey, p_partkey * 2 + 1 FROM part WHERE p_partkey * 2 + 1 <= 200
-      UNION ALL SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey // 3 >= 1 AND p_partkey <= 200
+    """WITH RECURSIVE most AS (SELECT max(p_partkey) AS n FROM part), edges AS (
+      SELECT p_partkey AS parent, p_partkey * 2 AS child FROM part, most WHERE p_partkey * 2 <= n
+      UNION ALL SELECT p_partkey, p_partkey * 2 + 1 FROM part, most WHERE p_partkey * 2 + 1 <= n
+      UNION ALL SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey // 3 >= 1
     ), reached AS (
       SELECT child AS node FROM edges WHERE parent = 5 UNION SELECT e.child FROM reached AS r JOIN edges AS e ON e.parent = r.node
-    ) SELECT r.node, string_agg(DISTINCT e.parent, ',' ORDER BY lpad(CAST(e.parent AS VARCHAR), 8, '0')) AS parents FROM reached AS r
-    JOIN (SELECT parent, child FROM edges WHERE parent = 5 OR parent IN (SELECT node FROM reached)) AS e ON e.child = r.node WHERE r.node <> 5 GROUP BY r.node""".replace(
-        "string_agg(DISTINCT e.parent, ',' ORDER BY lpad(CAST(e.parent AS VARCHAR), 8, '0'))", "array_to_string(list_sort(list_distinct(list(e.parent))), ',')"
-    )
+    ) SELECT r.node, array_to_string(list_sort(list_distinct(list(e.parent))), ',') AS parents FROM reached AS r
+    JOIN (SELECT parent, child FROM edges WHERE parent = 5 OR parent IN (SELECT node FROM reached)) AS e ON e.child = r.node WHERE r.node <> 5 GROUP BY r.node"""
 )
 def transitive_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What part 5 needs, directly or not, over a graph with cycles; each node with its parents."""
-    key = F.col("p_partkey")
+    """What part 5 needs, directly or not, over a graph of all parts with cycles; each node with its parents."""
+    key, most = F.col("p_partkey"), F.col("most")
     part = table(spark, sf_dir, "part").select("p_partkey")
-    edges = (
-        part.filter(key * 2 <= 200).select(key.alias("parent"), (key * 2).alias("child"))
-        .union(part.filter(key * 2 + 1 <= 200).select(key, key * 2 + 1))
-        .union(part.filter((key >= 3) & (key <= 200)).select(key, F.floor(key / 3)))
-    )
-    found = closure(edges, spark.createDataFrame([(5,)], "node long"))
+    sized = part.join(F.broadcast(part.agg(F.max("p_partkey").alias("most"))))  # one row
+    edges = sized.select(key.alias("parent"), F.explode(F.array(key * 2, key * 2 + 1, F.floor(key / 3))).alias("child"), "most").filter((F.col("child") >= 1) & (F.col("child") <= most))
+    found = closure(edges.select("parent", "child"), spark.createDataFrame([(5,)], "node long"))
     return found.filter("node <> 5").select("node", F.array_join(F.array_sort("parents"), ",").alias("parents"))
 
 

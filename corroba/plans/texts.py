@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corroba.functions import text as T
 from corroba.operators.chunking import chunk_id, chunks_of, exploded, pack_blocks
-from corroba.operators.claims import classify, fold_predicates, segment_line
+from corroba.operators.claims import classify, fold_predicates, segment_line, segments
 from corroba.plans.registry import query, table
 
 _WS = r"E' \t\r\n\x0b\x0c'"
@@ -151,21 +151,36 @@ def text_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.when(F.length("t") > 1600, cut).otherwise(F.col("t")).alias("excerpt"), "line_count")
 
 
-_CLEAN = r"trim(regexp_replace(regexp_replace({}, '`', '', 'g'), '[ \t\r\n\x0b\x0c]+', ' ', 'g'), ' -:;')"
-_NORM = r"trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9_\-./: \t\r\n\x0b\x0c]', ' ', 'g'), '[ \t\r\n\x0b\x0c]+', ' ', 'g'))"
-_SEGMENTS = rf"""SELECT doc_id, source, lang, CAST(i - 1 AS BIGINT) AS ordinal, {_CLEAN.format(r"regexp_replace(regexp_replace(b[i], '^[-*+][ \t]+', ''), '^[0-9]+[.)][ \t]+', '')")} AS claim
-    FROM (SELECT doc_id, source, lang, {_LINES} AS b FROM documents), unnest(range(1, len(b) + 1)) AS u(i)"""
+_CLEAN = r"trim(regexp_replace(regexp_replace({}, '`([^`]+)`', '\1', 'g'), '[ \t\r\n\x0b\x0c]+', ' ', 'g'), ' -:;')"
+
+
+def norm_sql(column: str) -> str:
+    """Case folding in SQL: the characters that fold to letters, then A-Z."""
+    folded = column
+    for character, letters in T.FOLDED:
+        folded = f"replace({folded}, '{character}', '{letters}')"
+    return (
+        rf"trim(regexp_replace(regexp_replace(translate({folded}, '{T.UPPER}', '{T.LOWER}'), '[^a-z0-9_\-./: \t\r\n\x0b\x0c]', ' ', 'g'), '[ \t\r\n\x0b\x0c]+', ' ', 'g'))"
+    )
+
+
+_LINE_ROWS = f"""SELECT doc_id, source, i, b[i] AS line, starts_with(b[i], '#') AS heading
+    FROM (SELECT doc_id, source, {_LINES} AS b FROM documents), unnest(range(1, len(b) + 1)) AS u(i)"""
+_SEGMENTS = rf"""SELECT doc_id, source, ordinal, section, {_CLEAN.format(r"regexp_replace(regexp_replace(line, '^[-*][ \t]+', ''), '^[0-9]+[.)][ \t]+', '')")} AS claim FROM (
+      SELECT doc_id, source, line, heading, CAST(count(*) FILTER (NOT heading) OVER w - 1 AS BIGINT) AS ordinal,
+        coalesce(last_value(CASE WHEN heading THEN nullif(trim(ltrim(line, '#'), {_WS}), '') END IGNORE NULLS) OVER w, 'Document') AS section
+      FROM ({_LINE_ROWS}) WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE NOT heading"""
 
 
 def document_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, source, lang, ordinal, claim: the cleaned lines of the documents, without empty ones."""
-    found = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.posexplode(T.parts("text", "\n")).alias("at", "line"))
-    return found.select("doc_id", "source", "lang", F.col("at").cast("long").alias("ordinal"), T.clean(segment_line(F.col("line"))).alias("claim")).filter("claim <> ''")
+    """doc_id, source, ordinal, section, claim: the cleaned lines of the documents, without empty ones."""
+    found = segments(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return found.select("doc_id", "source", F.col("ordinal").cast("long").alias("ordinal"), "section", T.clean(segment_line(F.col("line"))).alias("claim")).filter("claim <> ''")
 
 
-@query(f"SELECT doc_id, ordinal, claim, {_NORM.format('claim')} AS normalized FROM ({_SEGMENTS}) WHERE claim <> '' AND lang = 'en'")
+@query(f"SELECT doc_id, ordinal, section, claim, {norm_sql('claim')} AS normalized FROM ({_SEGMENTS}) WHERE claim <> ''")
 def claim_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_claims(spark, sf_dir).filter("lang = 'en'").select("doc_id", "ordinal", "claim", T.norm("claim").alias("normalized"))
+    return document_claims(spark, sf_dir).select("doc_id", "ordinal", "section", "claim", T.norm("claim").alias("normalized"))
 
 
 _SPLIT = "list_filter(list_transform(regexp_split_to_array({}, '{}'), lambda x: trim(x, ' .;')), lambda x: x <> '')"
@@ -179,9 +194,9 @@ def split_sql(column: str) -> str:
 
 
 @query(
-    f"""SELECT doc_id, ordinal, logic, CAST(i - 1 AS BIGINT) AS part_index, p[i] AS part FROM (
-      SELECT doc_id, ordinal, CASE WHEN contains(lower(claim), ' or ') THEN 'or' WHEN contains(lower(claim), ' and ') OR contains(claim, ',') THEN 'and' ELSE 'single' END AS logic,
-             {split_sql('claim')} AS p FROM ({_SEGMENTS}) WHERE claim <> ''), unnest(range(1, len(p) + 1)) AS v(i)"""
+    f"""SELECT doc_id, ordinal, logic, CAST(i - 1 AS BIGINT) AS part_index, p[i] AS part FROM (SELECT doc_id, ordinal, logic, CASE WHEN len(q) > 0 THEN q ELSE [claim] END AS p FROM (
+      SELECT doc_id, ordinal, claim, CASE WHEN contains(low, ' or ') THEN 'or' WHEN contains(low, ' and ') OR contains(low, ' but ') OR contains(low, ',') THEN 'and' ELSE 'single' END AS logic,
+             {split_sql('claim')} AS q FROM (SELECT *, translate(claim, '{T.UPPER}', '{T.LOWER}') AS low FROM ({_SEGMENTS})) WHERE claim <> '')), unnest(range(1, len(p) + 1)) AS v(i)"""
 )
 def claim_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = document_claims(spark, sf_dir).select(
@@ -192,11 +207,11 @@ def claim_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""SELECT source, normalized, min(struct_pack(d := doc_id, o := ordinal)).d AS doc_id, min(struct_pack(d := doc_id, o := ordinal)).o AS ordinal
-    FROM (SELECT source, doc_id, ordinal, {_NORM.format('claim')} AS normalized FROM ({_SEGMENTS}) WHERE claim <> '' AND lang = 'en') GROUP BY source, normalized"""
+    FROM (SELECT source, doc_id, ordinal, {norm_sql('claim')} AS normalized FROM ({_SEGMENTS}) WHERE claim <> '') GROUP BY source, normalized"""
 )
 def claim_dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first claim of each source and normal text: a minimum, which partial aggregation makes cheap."""
-    found = document_claims(spark, sf_dir).filter("lang = 'en'").groupBy("source", T.norm("claim").alias("normalized"))
+    found = document_claims(spark, sf_dir).groupBy("source", T.norm("claim").alias("normalized"))
     return found.agg(F.min(F.struct("doc_id", "ordinal")).alias("first")).select("source", "normalized", "first.doc_id", "first.ordinal")
 
 
@@ -226,7 +241,7 @@ def _classify_sql() -> str:
         return f"CASE{routes} END"
 
     return f"""SELECT conv_id, turn, route, {case(0)} AS claim_type, {case(1)} = 'yes' AS verifiable, {case(2)} AS scope
-    FROM (SELECT conv_id, turn, {_ROUTE} AS route, {_NORM.format('text')} AS n FROM conversations)"""
+    FROM (SELECT conv_id, turn, {_ROUTE} AS route, {norm_sql('text')} AS n FROM conversations)"""
 
 
 query(_classify_sql())(claim_classify)
@@ -235,7 +250,7 @@ query(_classify_sql())(claim_classify)
 @query(
     f"""SELECT conv_id, turn, CASE WHEN {_any_sql("' ' || n || ' '", T.NEGATIONS, ' ')} THEN 'negative' ELSE 'positive' END AS polarity,
     CASE {' '.join(f"WHEN {_any_sql('n', w)} THEN '{k}'" for k, w in T.MODALITIES)} ELSE 'descriptive' END AS modality
-    FROM (SELECT conv_id, turn, {_NORM.format('text')} AS n FROM conversations)"""
+    FROM (SELECT conv_id, turn, {norm_sql('text')} AS n FROM conversations)"""
 )
 def polarity_modality(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
@@ -244,7 +259,7 @@ def polarity_modality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH RECURSIVE t AS (
-      SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, {_NORM.format('text')} AS n FROM conversations
+      SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, {norm_sql('text')} AS n FROM conversations
     ), fold AS (
       SELECT conv_id, CAST(-1 AS BIGINT) AS turn, CAST(0 AS BIGINT) AS pos, '' AS predicate FROM (SELECT DISTINCT conv_id FROM t)
       UNION ALL
