@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corroba.operators.codefacts import BUDGETS, select_facts
 from corroba.operators.graph import closure
 from corroba.operators.ignore import IgnoreRules
 from corroba.operators.ranking import greedy_budget
@@ -49,36 +50,61 @@ def renderer_ranking_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.orderBy(F.desc("functions"), F.desc("imports"), F.desc("name"), F.desc("module")).limit(10)
 
 
-# How many modules and facts a section shows.
-BUDGETS = (
-    ("overview", 6, 10),
-    ("architecture", 14, 24),
-    ("code_structure", 16, 28),
-    ("runtime_entrypoints", 10, 14),
-)
+_CODE = f"""modules AS (SELECT module, 'm' || module AS name, score, is_test FROM ({_SCORES})),
+    symbols AS (SELECT l_partkey AS module, l_returnflag <> 'R' AS is_public, CAST(l_orderkey AS BIGINT) AS line, 's' || l_linenumber AS symbol FROM lineitem),
+    imports AS (SELECT l_partkey AS module, 's' || l_suppkey AS target, l_linestatus = 'F' AS relative, count(*) AS n FROM lineitem GROUP BY ALL),
+    entries AS (SELECT p_partkey AS module, 'm' || p_partkey || CASE p_size % 3 WHEN 0 THEN ':x_app' WHEN 1 THEN ':__main__' ELSE ':file' END AS label, p_brand AS path FROM part WHERE p_size > 45),
+    excerpts AS (SELECT module, kind, path, line, ordinal FROM (SELECT p_partkey AS module, CASE WHEN p_size < 5 THEN 'test' ELSE 'module' END AS kind, p_brand AS path, CAST(p_size AS BIGINT) AS line,
+      CAST(p_partkey AS BIGINT) AS ordinal FROM part WHERE p_size % 2 = 1))"""
+
+
+def _code(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Parts as modules, line items as symbols and imports, some parts as entrypoints and excerpts."""
+    part, line = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+    module, size = F.col("p_partkey").alias("module_name"), F.col("p_size")
+    name = F.concat(F.lit("m"), F.col("p_partkey").cast("string"))
+    mark = F.when(size % 3 == 0, ":x_app").when(size % 3 == 1, ":__main__").otherwise(":file")
+    return [
+        modules(spark, sf_dir).select(F.col("module").alias("module_name"), "score", "is_test"),
+        line.select(F.col("l_partkey").alias("module_name"), (F.col("l_returnflag") != "R").alias("is_public"), F.col("l_orderkey").alias("lineno"), F.concat(F.lit("s"), F.col("l_linenumber").cast("string")).alias("symbol_name")),
+        line.select(F.col("l_partkey").alias("source_module"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("imported_module"), (F.col("l_linestatus") == "F").alias("relative")).distinct(),
+        part.filter(size > 45).select(module, F.concat(name, mark).alias("label"), F.col("p_brand").alias("relative_path")),
+        part.filter(size % 2 == 1).select(module, F.when(size < 5, "test").otherwise("module").alias("kind"), F.col("p_brand").alias("relative_path"), size.alias("start_line"), F.col("p_partkey").alias("ordinal")),
+    ]
 
 
 @query(
-    f"""WITH budgets(section, n_modules, n_facts) AS (VALUES {', '.join(map(str, BUDGETS))}),
-    ranked AS (SELECT b.*, m.module, row_number() OVER (PARTITION BY section ORDER BY score DESC, is_test, name, module) AS r FROM budgets AS b CROSS JOIN ({_SCORES}) AS m WHERE NOT (section = 'overview' AND is_test)),
-    chosen AS (SELECT * FROM ranked WHERE r <= n_modules),
-    facts AS (SELECT c.section, c.n_facts, l.l_partkey, l.l_orderkey, l.l_linenumber, row_number() OVER (PARTITION BY c.section ORDER BY l.l_returnflag, l.l_partkey, l.l_orderkey, l.l_linenumber) AS r
-      FROM lineitem AS l JOIN chosen AS c ON c.module = l.l_partkey)
-    SELECT section, l_partkey AS module, l_orderkey AS fact, CAST(l_linenumber AS BIGINT) AS line, r AS rank FROM facts WHERE r <= n_facts"""
+    f"""WITH budgets(section, nm, ns, ni, ne, nx) AS (VALUES {', '.join(map(str, BUDGETS))}), {_CODE},
+    starts AS (SELECT DISTINCT module FROM entries),
+    chosen AS (SELECT * FROM (SELECT b.*, m.module, s.module IS NOT NULL AS starts, row_number() OVER (PARTITION BY section ORDER BY section = 'runtime_entrypoints' AND s.module IS NULL,
+        is_test AND section IN ('runtime_entrypoints', 'code_structure'), score DESC, is_test, m.module) AS r
+      FROM budgets AS b CROSS JOIN modules AS m LEFT JOIN starts AS s ON s.module = m.module WHERE NOT (section = 'overview' AND is_test)) WHERE r <= nm),
+    shown_symbols AS (SELECT section, r, module || ':' || line || ':' || symbol AS item FROM (SELECT c.section, c.ns, x.*, row_number() OVER (PARTITION BY section ORDER BY NOT is_public, x.module, line, symbol) AS r
+      FROM chosen AS c JOIN symbols AS x ON x.module = c.module) WHERE r <= ns),
+    shown_imports AS (SELECT section, r, module || '>' || target AS item FROM (SELECT c.section, c.ni, x.*, row_number() OVER (PARTITION BY section ORDER BY x.module, target, relative) AS r
+      FROM chosen AS c JOIN imports AS x ON x.module = c.module) WHERE r <= ni),
+    kept AS (SELECT * FROM (SELECT c.section, c.ne, x.*, row_number() OVER (PARTITION BY section ORDER BY label) AS r FROM chosen AS c JOIN entries AS x ON x.module = c.module) WHERE r <= ne),
+    shown_entries AS (SELECT section, row_number() OVER (PARTITION BY section ORDER BY section = 'runtime_entrypoints' AND NOT contains(label, '_app'), section = 'runtime_entrypoints' AND NOT contains(label, '__main__'),
+      CASE WHEN section = 'runtime_entrypoints' THEN path END, label) AS r, label AS item FROM kept),
+    shown_excerpts AS (SELECT section, r, module || ':' || line AS item FROM (SELECT c.section, c.nx, x.*, row_number() OVER (PARTITION BY section ORDER BY
+        (section IN ('overview', 'architecture') AND kind = 'test') OR (section = 'runtime_entrypoints' AND NOT starts), section = 'runtime_entrypoints' AND kind = 'test',
+        CASE WHEN section = 'runtime_entrypoints' THEN path END, CASE WHEN section = 'runtime_entrypoints' THEN line END, ordinal) AS r FROM chosen AS c JOIN excerpts AS x ON x.module = c.module) WHERE r <= nx)
+    SELECT section, 'modules' AS kind, r AS place, CAST(module AS VARCHAR) AS item FROM chosen UNION ALL SELECT section, 'symbols', r, item FROM shown_symbols UNION ALL SELECT section, 'imports', r, item FROM shown_imports
+    UNION ALL SELECT section, 'entrypoints', r, item FROM shown_entries UNION ALL SELECT section, 'excerpts', r, item FROM shown_excerpts"""
 )
 def section_budget_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best modules of each section (tests have no place in the overview), then the first facts
-    of those modules: two budgets, each a window whose group limit works before the shuffle."""
-    budgets = F.broadcast(spark.createDataFrame(BUDGETS, "section string, n_modules int, n_facts int"))
-    offered = modules(spark, sf_dir).join(budgets, (F.col("section") != "overview") | ~F.col("is_test"))
-    rank = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("score"), "is_test", "name", "module"))
-    most = max(n for _, n, _ in BUDGETS)
-    chosen = offered.withColumn("r", rank).filter(F.col("r") <= most).filter("r <= n_modules").select("section", "n_facts", "module")
-    facts = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("module"), "l_orderkey", "l_linenumber", "l_returnflag")
-    joined = facts.join(F.broadcast(chosen), "module")  # as many rows as the budgets allow
-    order = F.row_number().over(Window.partitionBy("section").orderBy("l_returnflag", "module", "l_orderkey", "l_linenumber"))
-    found = joined.withColumn("r", order).filter(F.col("r") <= max(n for *_, n in BUDGETS)).filter("r <= n_facts")
-    return found.select("section", "module", F.col("l_orderkey").alias("fact"), F.col("l_linenumber").cast("long").alias("line"), F.col("r").cast("long").alias("rank"))
+    """What each of the eight sections shows of modules, symbols, imports, entrypoints and excerpts."""
+    found = select_facts(*_code(spark, sf_dir))
+    text = lambda c: F.col(c).cast("string")
+    items = {
+        "modules": text("module_name"), "symbols": F.concat_ws(":", text("module_name"), text("lineno"), "symbol_name"), "imports": F.concat_ws(">", text("source_module"), "imported_module"),
+        "entrypoints": F.col("label"), "excerpts": F.concat_ws(":", text("module_name"), text("start_line")),
+    }
+    out = None
+    for kind, item in items.items():
+        rows = found[kind].select("section", F.lit(kind).alias("kind"), F.col("place").cast("long").alias("place"), item.alias("item"))
+        out = rows if out is None else out.union(rows)
+    return out
 
 
 @query(

@@ -8,7 +8,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corroba.operators.codefacts import code_tables
+from corroba.operators.codefacts import code_tables, summary
 from corroba.plans.registry import query
 from corroba.sources.files import described, ingest
 
@@ -35,15 +35,25 @@ def files_of(spark: SparkSession, contents: dict[str, str | bytes]) -> DataFrame
     return described(spark.createDataFrame(rows, "path string, content binary"))
 
 
-@query()
+_FACTS = (
+    ("module", "shop", "1"), ("module", "shop.cart", "10"), ("module", "shop.cli", "12"), ("module", "tests.test_cart", "2"),
+    ("symbol", "shop.cart", "class Cart"), ("symbol", "shop.cart", "_total(cart, /, *items, tax, **more) -> int"), ("symbol", "shop.cli", "async serve(name, *, port) -> None"), ("symbol", "tests.test_cart", "test_add()"),
+    ("import", "shop", ".cart.*"), ("import", "shop.cart", "json"), ("import", "shop.cart", ".money"), ("import", "shop.cart", "time"), ("import", "shop.cli", "typer"), ("import", "tests.test_cart", "shop.cart.Cart"),
+    ("entrypoint", "shop.cli", "shop.cli:filename_hint"), ("entrypoint", "shop.cli", "shop.cli:typer_app:app"), ("entrypoint", "shop.cli", "shop.cli:__main__"), ("hint", "", "typer"),
+    ("excerpt", "shop", "1-2"), ("excerpt", "shop.cart", "5-11"), ("excerpt", "shop.cli", "6-11"), ("excerpt", "tests.test_cart", "4-5"),
+)
+
+
+@query("SELECT fact, module_name, value FROM (VALUES " + ", ".join(map(str, _FACTS)) + ") AS f(fact, module_name, value)")
 def code_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = code_tables(files_of(spark, SOURCES))
     parts = (
         found["modules"].select(F.lit("module").alias("fact"), "module_name", F.col("module_importance_score").cast("string").alias("value")),
-        found["symbols"].select(F.lit("symbol"), "module_name", F.coalesce("signature", "symbol_name")),
+        found["symbols"].select(F.lit("symbol"), "module_name", "signature"),
         found["imports"].select(F.lit("import"), "source_module", "imported_module"),
-        found["entrypoints"].select(F.lit("entrypoint"), "module_name", "reason"),
+        found["entrypoints"].select(F.lit("entrypoint"), "module_name", "label"),
         found["framework_hints"].select(F.lit("hint"), F.lit(""), "hint"),
+        found["excerpts"].select(F.lit("excerpt"), "module_name", F.concat_ws("-", F.col("start_line").cast("string"), F.col("end_line").cast("string"))),
     )
     out = parts[0]
     for p in parts[1:]:
@@ -51,7 +61,15 @@ def code_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query()
+@query("SELECT modules, test_modules, symbols, classes, functions, imports, entrypoints, excerpts, hints FROM (VALUES (4, 1, 4, 1, 3, 6, 3, 4, 'typer')) AS f(modules, test_modules, symbols, classes, functions, imports, entrypoints, excerpts, hints)")
+def code_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary(code_tables(files_of(spark, SOURCES))).withColumn("hints", F.array_join("framework_hints", ",")).drop("framework_hints")
+
+
+@query(
+    """SELECT path, status, title, char_count FROM (VALUES ('a.md', 'parsed', 'Notes', 13), ('b.txt', 'parsed', 'first', 12), ('empty.txt', 'parsed', 'empty', 0), ('c.docx', 'parsed', 'Title', 11),
+    ('bad.docx', 'unparsed', NULL, 0), ('bad.pdf', 'unparsed', NULL, 0)) AS f(path, status, title, char_count)"""
+)
 def binary_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = files_of(
         spark,

@@ -13,9 +13,10 @@ def test_code_facts(spark):
     assert modules["shop.cli"].module_importance_score == 3 + 1 + 8
     signatures = {r.symbol_name: r.signature for r in found["symbols"].collect()}
     assert signatures["_total"] == "_total(cart, /, *items, tax, **more) -> int"
-    assert signatures["serve"] == "serve(name, *, port) -> None"
+    assert signatures["serve"] == "async serve(name, *, port) -> None" and signatures["Cart"] == "class Cart"
     assert {(r.source_module, r.imported_module, r.relative) for r in found["imports"].collect()} >= {("shop", ".cart.*", True), ("shop.cart", ".money", True), ("shop.cart", "time", False)}
-    assert {r.reason for r in found["entrypoints"].filter("module_name = 'shop.cli'").collect()} == {"filename", "main_guard", "app_instance:typer"}
+    assert {r.label for r in found["entrypoints"].collect()} == {"shop.cli:filename_hint", "shop.cli:__main__", "shop.cli:typer_app:app"}
+    assert {r.module_name: (r.start_line, r.end_line) for r in found["excerpts"].collect()}["shop.cart"] == (5, 11)
     assert [r.hint for r in found["framework_hints"].collect()] == ["typer"]
 
 
