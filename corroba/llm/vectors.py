@@ -88,7 +88,9 @@ class Quantiser:
 
 
 def _unit(raw: list[bytes], kind: str = "<f8") -> np.ndarray:
+    """Unit vectors; scaled by their largest component first, so that no square overflows."""
     x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x**2).sum(1, keepdims=True))
 
 
@@ -220,20 +222,29 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", column: str = "embe
     """Per row: vec_id, n_links (rows directly linked, itself left out), component_id, kept.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with
-    nothing; so do those whose length is not the most frequent one. Equal vectors link with
-    each other. Rows of one id are counted each and share a component. Other columns are
-    ignored; an empty table gives no rows.
+    nothing; vectors are compared with those of their own length, one length after another.
+    Equal vectors link with each other, as do those that differ by a factor. Rows of one id are
+    counted each and share a component; rows without an id link with nothing. Other columns
+    are ignored, whatever their names; an empty table gives no rows.
     """
-    spark = vectors.sparkSession
     # vectors given in single precision are kept so: nothing is lost
     kind = "<f4" if vectors.schema[column].dataType.elementType == FloatType() else "<f8"
     number = F.transform(column, lambda x: x.cast("double"))
     sound = F.coalesce(F.exists(number, lambda x: x != 0) & F.forall(number, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
     given = materialise(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(sound, number).alias("v")), "vectors")
-    lengths = given.filter("v IS NOT NULL").groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    if lengths is None:
-        return given.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    usable = given.filter((F.size("v") == lengths.d) & F.col("vec_id").isNotNull())
+    usable = given.filter("v IS NOT NULL AND vec_id IS NOT NULL").withColumn("d", F.size("v"))
+    lengths = [r.d for r in usable.groupBy("d").agg(F.count("*").alias("n")).filter("n > 1").orderBy("d").collect()]
+    linked = [_linked(usable.filter(F.col("d") == d).drop("d"), d, kind, cosine) for d in lengths]
+    compared = F.coalesce(F.size("v").isin(lengths) & F.col("vec_id").isNotNull(), F.lit(False)) if lengths else F.lit(False)
+    out = given.filter(~compared).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    for part in linked:
+        out = out.union(part)
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+def _linked(usable: DataFrame, d: int, kind: str, cosine: float) -> DataFrame:
+    """vec_id, n_links, component_id of sound vectors (vec_id, v) of length d."""
+    spark = usable.sparkSession
     # a vector's bytes are its key; -0.0 counts as 0.0
     key = F.sha2(F.array_join(F.transform("v", lambda x: (x + F.lit(0.0)).cast("string")), ","), 256)
     keyed = materialise(usable.select("vec_id", key.alias("key"), "v"), "keyed")
@@ -245,8 +256,8 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", column: str = "embe
     rows = single.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) < min(1.0, SAMPLE / n) * (1 << 20)).select("v").toPandas()["v"]
     if not len(rows):
         rows = [r.v for r in single.select("v").limit(1).collect()]
-    sample = np.array([np.asarray(r, np.float64) for r in rows])
-    quantiser = spark.sparkContext.broadcast(Quantiser(sample / np.sqrt((sample**2).sum(1, keepdims=True)), int(min(MAX_LISTS, max(1, n // LIST_SIZE)))))
+    sample = _unit([np.asarray(r, np.float64).tobytes() for r in rows])
+    quantiser = spark.sparkContext.broadcast(Quantiser(sample, int(min(MAX_LISTS, max(1, n // LIST_SIZE)))))
 
     def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = quantiser.value
@@ -269,7 +280,7 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", column: str = "embe
     # rows of every list in every part, so that tasks have the same to compare
     parts = max(2 * spark.sparkContext.defaultParallelism, n // 20_000)
     indexed = materialise(indexed.repartition(parts, "id").sortWithinPartitions("home", "id"), "indexed")
-    most = max(1, SHARD_BYTES // (lengths.d * np.dtype(kind).itemsize))
+    most = max(1, SHARD_BYTES // (d * np.dtype(kind).itemsize))
     found = None
     for first, last, piece, pieces in _shards(indexed.groupBy("home").count().orderBy("home").toArrow(), most):
         members = indexed.filter(F.col("home").between(first, last) & (F.pmod(F.xxhash64("id"), F.lit(pieces)) == piece)).toArrow()
@@ -294,10 +305,7 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", column: str = "embe
     labels = components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).toDF("id", "component")
     known = classes.join(counts, "id", "left").join(labels, "id", "left")
     known = materialise(known.select("key", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "known")
-    linked = keyed.select("vec_id", "key").join(known, "key").select("vec_id", "n_links", "component_id")
-    rest = given.filter(~F.coalesce((F.size("v") == lengths.d) & F.col("vec_id").isNotNull(), F.lit(False)))
-    alone = rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return keyed.select("vec_id", "key").join(known, "key").select("vec_id", "n_links", "component_id")
 
 
 def op10_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

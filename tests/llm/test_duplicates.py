@@ -131,7 +131,7 @@ def test_vectors_against_brute_force(spark):
     close = (u @ u.T >= vectors.COSINE) & ~np.eye(len(u), dtype=bool)
     found = sum(got[i].n_links for i in range(len(u)))
     assert found <= close.sum() and found >= 0.97 * close.sum()
-    assert all(got[i].n_links == 0 and got[i].kept for i in range(9001, 9008)) and got[None].component_id is None
+    assert all(got[i].n_links == 0 and got[i].kept for i in range(9001, 9008)) and got[None].component_id is None and got[9007].n_links == 0
     if found == close.sum():
         label = np.arange(len(u))
         for _ in range(len(u)):
@@ -165,6 +165,17 @@ def test_vectors_of_a_hot_group_in_many_lists(spark, monkeypatch, shard_bytes):
     assert [got[i].component_id for i in range(len(u))] == low.tolist()
 
 
+def test_vectors_of_odd_rows(spark):
+    rows = [
+        (1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [2.0, 4.0]), (4, [2.0, -1.0]), (5, [1.0, 2.0, 3.0]), (6, [1.0, 2.0, 3.01]), (7, [1e200, 1e200, 0.0]), (8, [1e200, 1.001e200, 0.0]), (9, [5e-324, 0.0]),
+        (10, [1.0] * 4), (11, [-0.0, 1.0]), (12, [0.0, 7.0]), (12, [0.0, 7.0]), (None, [1.0, 2.0]), (13, [float("nan"), 1.0]), (14, None), (15, [0.0, 0.0]), (16, [3.0, 0.0]),
+    ]
+    frame = spark.createDataFrame([(*r, 5, "x", 1) for r in rows], "vec_id long, embedding array<double>, id int, key string, home int")
+    got = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.link_vectors(frame).collect()]
+    want = {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (1, 5), 6: (1, 5), 7: (1, 7), 8: (1, 7), 9: (1, 9), 10: (0, 10), 11: (2, 11), 12: (2, 11), 13: (0, 13), 14: (0, 14), 15: (0, 15), 16: (1, 9), None: (0, None)}
+    assert len(got) == len(rows) and all((n, c) == want[i] and kept == (i is None or i == c) for i, n, c, kept in got)
+
+
 def test_vectors_of_nothing(spark):
     assert vectors.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert vectors.link_vectors(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).first().n_links == 0
