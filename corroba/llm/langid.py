@@ -100,7 +100,13 @@ class Models:
                 hashes, langs, values = (np.array([e[i] for e in entries], t) for i, t in enumerate((np.uint64, np.int32, np.float32)))
                 order = np.argsort(hashes, kind="stable")
                 hashes, first = np.unique(hashes[order], return_index=True)
-                store.append((hashes, np.append(first, len(entries)), langs[order], values[order], empty))
+                first, langs, values = np.append(first, len(entries)), langs[order], values[order]
+                rows = None
+                if len(hashes) * len(languages) <= 4 * len(entries):  # few languages: whole rows take little more and are found faster
+                    rows = np.full((len(hashes) + 1, len(languages)), empty, np.float32)  # the last row is that of unknown keys
+                    rows[np.repeat(np.arange(len(hashes)), np.diff(first)), langs] = values
+                    first = langs = values = None
+                store.append((hashes, rows, first, langs, values, empty))
 
     def score(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """log2-probabilities of the words by each language, and their numbers of characters."""
@@ -116,8 +122,10 @@ class Models:
 
     def _spread(self, store: tuple, keys: np.ndarray) -> np.ndarray:
         """A row of each key with a value a language, `empty` where a language doesn't have it."""
-        hashes, first, langs, values, empty = store
+        hashes, whole, first, langs, values, empty = store
         at = np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)
+        if whole is not None:
+            return whole[np.where(hashes[at] == keys, at, len(hashes))]
         rows = np.flatnonzero(hashes[at] == keys)
         at = at[rows]
         n = first[at + 1] - first[at]

@@ -117,7 +117,9 @@ FILE_SCHEMA = (
 
 
 def tokenise(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, ids (little-endian 16-bit, with the end id). Null text is empty."""
+    """doc_id, ids (little-endian 16-bit, with the end id). Null text is empty: the end id
+    alone. Rows are encoded each, repeated or not; other columns are ignored, whatever their
+    names; an empty table gives no rows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, end = part_cache(path, "ids"), np.array([END_ID], "<u2").tobytes()
@@ -147,7 +149,8 @@ def frequencies(tokens: DataFrame, size: int = 1 << 16) -> np.ndarray:
 def write_ids(tokens: DataFrame, path: str, counts: np.ndarray) -> None:
     """Write documents in ascending doc_id order: `path`/table holds the frequencies,
     `path`/groups the coded groups. The order of shards, of groups in a shard and of
-    documents in a group is that of doc_id; rows of one doc_id lie by their ids."""
+    documents in a group is that of doc_id; rows without one come first, and rows of one
+    doc_id lie by their ids. Of no documents the files are written, too, and read as no rows."""
     spark = tokens.sparkSession
     freq = scaled(counts)
     present = np.flatnonzero(freq)

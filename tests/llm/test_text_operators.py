@@ -184,6 +184,72 @@ def test_language_of_odd_rows(spark, odd, nothing):
     assert langid.identify(nothing, models).count() == 0
 
 
+def kneser_ney_by_hand(texts, text, letters):
+    """Bits a character of a text under the texts' model: recursion over orders on plain counts.
+    letters: how many characters all languages have."""
+    pad = "\x02" * (langid.ORDER - 1)
+
+    def grams(t):
+        return [f"{pad}{w} "[i : i + langid.ORDER] for w in re.findall("[a-z\x80-\U0010ffff]+", t.lower()) for i in range(len(w) + 1)]
+
+    level, orders = Counter(g for t in texts for g in grams(t)), []
+    for _ in range(langid.ORDER):
+        ones, twos = sum(c == 1 for c in level.values()), sum(c == 2 for c in level.values())
+        orders.append((level, ones / (ones + 2 * twos) if ones and twos else 0.75))
+        level = Counter(g[1:] for g in level)
+
+    def p(gram, order):
+        if order == langid.ORDER:
+            return 1 / (letters + 1000)
+        counts, d = orders[order]
+        rows = {g: c for g, c in counts.items() if g[:-1] == gram[:-1]}
+        below = p(gram[1:], order + 1)
+        if not rows:
+            return below
+        total = sum(rows.values())
+        return max(0, rows.get(gram, 0) - d) / total * (gram in rows) + d * len(rows) / total * below
+
+    found = grams(text)
+    return -sum(math.log2(p(g, 0)) for g in found) / len(found)
+
+
+def test_languages_against_kneser_ney_by_hand(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(2)
+    words = {"x": ["the", "then", "other", "thing", "ätte"], "y": ["der", "den", "andere", "ding", "ötte"], "z": ["le", "les", "autre", "chose"]}
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(6)), k) for i, k in enumerate(rng.choice("xyz") for _ in range(90))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in docs.filter(F.pmod(F.shiftright(F.xxhash64("doc_id", F.lit(20)), 20), F.lit(langid.CALIBRATE)) == 0).collect()}
+    training = {k: [t for i, t, lang in rows if lang == k and i not in kept] for k in "xyz"}
+    asked = [(100 + i, t, None) for i, t in enumerate(["the Other thing", "den ding", "les choses qq", "then der le", "ötte ätte", "漢"])]
+    models = langid.fit(docs, F.lit(True))
+    letters = len({c for t in training.values() for c in " ".join(t)})
+    for r in langid.identify(spark.createDataFrame(asked, docs.schema), models).collect():
+        bits = {k: kneser_ney_by_hand(t, r.doc.text, letters) for k, t in training.items()}
+        assert math.isclose(r.cross_entropy, min(bits.values()), rel_tol=1e-4) and math.isclose(bits[r.lang_pred], min(bits.values()), rel_tol=1e-6)
+
+
+def test_nothing_is_rejected_without_calibration(spark, nothing):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, "one two three", "en"), (2, "eins zwei drei", None)], "doc_id long, text string, lang string")
+    for i in range(40):
+        one = docs.withColumn("doc_id", F.col("doc_id") + i)
+        models = langid.fit(one, F.lit(True))
+        if models is not None:
+            assert langid.identify(one, models).filter("rejected").count() == 0
+    assert langid.identify(docs, None).filter("rejected").count() == 0
+
+
+def test_many_languages_take_few_entries():
+    """Hash arrays hold a gram's languages, not a row of all."""
+    counts = {f"l{i}": Counter({f"\x02\x02\x02{chr(97 + i % 26)}": 2, f"\x02\x02{chr(97 + i % 26)}{i}": 1}) for i in range(300)}
+    m = langid.Models(list(counts), counts)
+    assert sum(len(values) for *_, values, _ in m.grams if values is not None) <= 2 * 4 * 300
+    assert m.score([b"a"])[0].shape == (1, 300)
+
+
 def test_kneser_ney_probabilities_add_up():
     counts = {"x": Counter({"\x02\x02\x02a": 4, "\x02\x02ab": 3, "\x02ab ": 2, "\x02abc": 1, "abc ": 1, "\x02\x02a ": 1})}
     m = langid.Models(["x"], counts)

@@ -65,6 +65,24 @@ def test_token_files(spark, odd, nothing, tmp_path):
     assert rans.read_ids(spark, str(tmp_path / "b")).count() == 0
 
 
+def test_token_id_query(spark, sf_dir, texts):
+    whole = Tokenizer.from_file(WORDS)
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in rans.op8_token_ids(spark, sf_dir).collect()}
+    at = 0
+    for doc in sorted(texts):
+        ids = np.array([*whole.encode(texts[doc] or "", add_special_tokens=False).ids, 1], "<u4")
+        assert got.pop(doc) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    assert not got
+
+
+def test_rows_without_an_id_come_first(spark, odd, tmp_path):
+    tokens = rans.tokenise(odd, WORDS)
+    rans.write_ids(tokens, str(tmp_path / "a"), rans.frequencies(tokens))
+    got = sorted(rans.read_ids(spark, str(tmp_path / "a")).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, 1, 2, 3, 4, 5, 6, 6, 7, 8]
+
+
 def test_damage_is_found(spark, odd, tmp_path):
     from pyspark.sql import functions as F
 
