@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corroba.operators.chunking import ChunkSizes, chunk_id, chunks_of
 from corroba.operators.codefacts import code_tables
 from corroba.operators.ignore import DEFAULT_PATTERNS, IgnoreRules, stack
-from corroba.operators.planning import change_plan
+from corroba.operators.planning import CONFIG_FILES, change_plan
 from corroba.sources import files as sources
 
 
@@ -45,4 +45,4 @@ class Engine:
         if changed is None:
             return None
         paths = self.spark.createDataFrame([(p,) for p in changed], "path string")
-        return change_plan(paths, [], source, reference, docs, F.col("path").isin("pyproject.toml", "mkdocs.yml"))
+        return change_plan(paths, [], source, reference, docs, F.col("path").isin(*CONFIG_FILES))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corroba.operators.graph import closure
+
 
 def quality_class(signals: dict[str, Column]) -> Column:
     """missing without a signal, multiple with several, else the one's name."""
@@ -24,3 +26,44 @@ def requirement_name(requirement: Column) -> Column:
     """The normal name of a requirement: before any marker, lower case, with dashes."""
     name = F.regexp_extract(F.split_part(requirement, F.lit(";"), F.lit(1)), r"^\s*([A-Za-z0-9][A-Za-z0-9._-]*)", 1)
     return F.replace(F.lower(name), F.lit("_"), F.lit("-"))
+
+
+def license_summary(expression: Column, field: Column, classifiers: Column, quality: Column) -> Column:
+    """What a package tells of its licence: its quality and each signal that it has; null and empty ones are none."""
+    told = (
+        F.when(expression != "", F.concat(F.lit("expr="), expression)),
+        F.when(field != "", F.concat(F.lit("license="), field)),
+        F.when(F.size(classifiers) > 0, F.concat(F.lit("classifiers="), F.array_join(classifiers, "; "))),
+    )
+    parts = F.array_compact(F.array(*told))
+    return F.when(F.size(parts) == 0, "missing").otherwise(F.concat(quality, F.lit(": "), F.array_join(parts, " | ")))
+
+
+def transitive(direct: DataFrame, installed: DataFrame, requires: DataFrame) -> DataFrame:
+    """name, parents (sorted, comma-joined) of packages that installed direct ones (name) need,
+    directly or not, and that are no direct ones themselves. Only installed packages tell what they
+    require (name, needs)."""
+    known = installed.select("name").distinct()
+    edges = requires.join(known, "name", "left_semi").select(F.col("name").alias("parent"), F.col("needs").alias("child"))
+    roots = direct.select("name").distinct().join(known, "name", "left_semi").withColumnRenamed("name", "node")
+    found = closure(edges, roots).select(F.col("node").alias("name"), F.array_join(F.array_sort("parents"), ",").alias("parents"))
+    return found.join(direct.select("name").distinct(), "name", "left_anti")
+
+
+def failures(rows: DataFrame, name: str = "name") -> DataFrame:
+    """condition, packages (sorted, comma-joined) for each condition that some rows meet. Rows: name, direct,
+    installed, quality. Only direct packages must be installed."""
+    met = F.array_compact(
+        F.array(
+            F.when(F.col("direct") & ~F.col("installed"), "not-installed"), F.when(F.col("quality") == "missing", "missing-license"), F.when(F.col("quality") == "classifier_only", "classifier-only")
+        )
+    )
+    found = rows.select(F.explode(met).alias("condition"), F.col(name).alias("package"))
+    return found.groupBy("condition").agg(F.array_join(F.array_sort(F.collect_list("package")), ", ").alias("packages"))
+
+
+def csv_lines(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """A CSV line a row; arrays are joined by semicolons."""
+    kinds = dict(rows.dtypes)
+    values = [(F.array_join(c, ";") if kinds[c].startswith("array") else F.col(c).cast("string")).alias(c) for c in columns]
+    return rows.select("*", F.to_csv(F.struct(*values)).alias("line"))
