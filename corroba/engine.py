@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corroba.functions import text as T
+from corroba.operators import atoms, discovery
 from corroba.operators.chunking import ChunkSizes, chunk_id, chunks_of
-from corroba.operators.codefacts import code_tables
+from corroba.operators.claims import classify, segment_line, segments
+from corroba.operators.codefacts import code_tables, select_facts, summary
 from corroba.operators.ignore import DEFAULT_PATTERNS, IgnoreRules, stack
 from corroba.operators.planning import CONFIG_FILES, change_plan
 from corroba.sources import files as sources
@@ -39,6 +42,37 @@ class Engine:
         chunks = chunks_of(blocks, "path", "block_index", "text", F.col("section_hint"), self.sizes)
         return chunks.withColumn("chunk_id", chunk_id(F.col("path"), F.col("chunk_index"), F.col("text"))).withColumn("char_count", F.length("text"))
 
+    def discover(self, explicit: tuple[str, ...] = ()) -> DataFrame:
+        """Reference materials, explicit ones and the usual README and instruction files, with what became of each."""
+        files = self.files(ignore=False)
+        documents, unparsed = sources.ingest(files)
+        return discovery.with_status(discovery.discover(files, explicit), documents, unparsed)
+
+    def code_summary(self) -> DataFrame:
+        return summary(self.code())
+
+    def sections(self) -> dict[str, DataFrame]:
+        """What of the code facts each section shows."""
+        code = self.code()
+        modules = code["modules"].select("module_name", F.col("module_importance_score").alias("score"), F.col("is_test_module").alias("is_test"))
+        return select_facts(modules, code["symbols"], code["imports"], code["entrypoints"], code["excerpts"])
+
+    def evaluate(self, registry: atoms.Registry = atoms.Registry(), explicit: tuple[str, ...] = ()) -> DataFrame:
+        """path, ordinal, section, route, claim, verdict and evidence ids of every claim in the reference
+        materials, held against the registry, the code facts and the textual evidence."""
+        files = self.files(ignore=False)
+        routes = F.create_map(*(F.lit(x) for name, (_, route) in discovery.KINDS.items() for x in (route, name)))
+        texts = discovery.discover(files, explicit).filter("eligible").select("path", routes[F.col("route")].alias("route"))
+        texts = texts.join(sources.ingest(files)[0].select("path", F.col("raw_text").alias("text")), "path")
+        claims = segments(texts).withColumn("claim", T.clean(segment_line(F.col("line")))).filter("claim <> ''").drop("line")
+        # the normal form is a column of its own, so that it is made once
+        claims = claims.withColumn("normal", T.norm("claim")).withColumn("verifiable", classify(F.col("route"), F.col("normal"))["verifiable"]).drop("normal")
+        manifest = files.filter("depth = 0").select("path")
+        evidence = atoms.evidence_of(self.spark, registry, self.code(), manifest, self.evidence())
+        keys = ["path", "ordinal"]
+        judged = atoms.match(atoms.atomise(claims, registry), evidence, [*keys, "atom_index"])
+        return claims.join(atoms.verdicts(judged, keys, "route", "verifiable"), keys)
+
     def plan(self, source: tuple[str, ...] = ("src",), reference: tuple[str, ...] = (), docs: tuple[str, ...] = ("docs",)) -> DataFrame | None:
         """What the last changes ask for; None where git can't tell."""
         changed = sources.changed_files(self.root)

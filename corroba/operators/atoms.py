@@ -233,7 +233,7 @@ def evidence_of(spark: SparkSession, registry: Registry, code: dict[str, DataFra
         every = more(texts, "module_fact", F.replace(F.left("excerpt", F.lit(220)), F.lit("\n"), F.lit(" ")), 1)
     if code is not None:
         every = more(code["modules"], "module_fact", F.col("module_name"), 4)
-        every = more(code["entrypoints"], "entrypoint", F.concat_ws(":", "module_name", "reason"), 2)
+        every = more(code["entrypoints"], "entrypoint", F.col("label"), 2)
         every = more(code["framework_hints"], "framework_hint", F.col("hint"), 3)
     named = every.withColumn("id", F.lower(F.replace(F.concat_ws(":", "kind", "value"), F.lit(" "), F.lit("_"))))
     first = named.groupBy("id").agg(F.min_by(F.struct("ordinal", "kind", "value", "alias", "target"), F.struct("ordinal", "value")).alias("f"))

@@ -154,7 +154,7 @@ _OUTCOMES = ", ".join(f"('{m}', {str(h).lower()}, '{p}', '{r}', '{t}')" for m, h
 )
 def claim_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer's sentence: its atoms against the registry's evidence, and the verdict."""
-    claims = sentences(spark, sf_dir).withColumn("verifiable", classify(F.col("route"), T.norm("claim"))["verifiable"])
+    claims = sentences(spark, sf_dir).withColumn("n", T.norm("claim")).withColumn("verifiable", classify(F.col("route"), F.col("n"))["verifiable"]).drop("n")
     judged = A.match(A.atomise(claims, REGISTRY), A.evidence_of(spark, REGISTRY), ["claim_id", "atom_index"])
     found = A.verdicts(judged, ["claim_id"], "route", "verifiable")
     routes = claims.select("claim_id", "route")

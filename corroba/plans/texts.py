@@ -220,9 +220,9 @@ _ROUTE = "CASE WHEN conv_id % 3 = 0 THEN 'agent' WHEN conv_id % 3 = 1 THEN 'read
 
 @query(None)
 def claim_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
+    turns = table(spark, sf_dir, "conversations").withColumn("n", T.norm("text"))
     route = F.when(F.col("conv_id") % 3 == 0, "agent").when(F.col("conv_id") % 3 == 1, "readme").otherwise("general")
-    found = turns.select("conv_id", "turn", route.alias("route"), classify(route, T.norm("text")).alias("c"))
+    found = turns.select("conv_id", "turn", route.alias("route"), classify(route, F.col("n")).alias("c"))
     return found.select("conv_id", "turn", "route", "c.claim_type", "c.verifiable", "c.scope")
 
 
@@ -253,8 +253,8 @@ query(_classify_sql())(claim_classify)
     FROM (SELECT conv_id, turn, {norm_sql('text')} AS n FROM conversations)"""
 )
 def polarity_modality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
-    return turns.select("conv_id", "turn", T.polarity(T.norm("text")).alias("polarity"), T.modality(T.norm("text")).alias("modality"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.norm("text").alias("n"))
+    return turns.select("conv_id", "turn", T.polarity(F.col("n")).alias("polarity"), T.modality(F.col("n")).alias("modality"))
 
 
 @query(

@@ -70,3 +70,44 @@ def test_chunks_from_a_stream(spark, tmp_path):
     rows.limit(1).write.mode("append").parquet(source)
     run_chunk_stream(spark, source, rows.schema, target, str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(target).count() == 3
+
+
+def test_engine_judges_claims(spark, tmp_path):
+    files = {
+        **SOURCES,
+        "README.md": "# Shop\n\n- Run corroba ground and render-all\n- It is fast\n\n## Use\n\n- The entrypoint shop.cli:filename_hint starts it\n- `overview.md` is not written\n",
+        "AGENTS.md": "Keep a friendly tone.\nreference_paths is a config field, please.\n",
+        "notes/a.md": "source_dir maps to the reference_paths, but never reference_dir maps to reference_paths.\n",
+        "notes/b.rst": "no document",
+    }
+    for path, text in files.items():
+        file = tmp_path / path
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_text(text)
+    engine = Engine(spark, str(tmp_path))
+    found = {r.path: (r.route, r.parse_status) for r in engine.discover(("notes",)).collect()}
+    assert found == {
+        "README.md": ("readme_claim_alignment", "parsed"), "AGENTS.md": ("agent_instruction_alignment", "parsed"), "notes/a.md": ("general_reference_alignment", "parsed"),
+        "notes/b.rst": ("general_reference_alignment", "not_ingestible"),
+    }
+    got = {(r.path, r.ordinal): (r.section, r.verdict, r.supporting) for r in engine.evaluate(explicit=("notes",)).collect()}
+    assert got[("README.md", 0)] == ("Shop", "contradicted", ["cli_subcommand:ground"])
+    assert got[("README.md", 1)][:2] == ("Shop", "not_statically_verifiable")
+    assert got[("README.md", 2)] == ("Use", "supported", ["entrypoint:shop.cli:filename_hint"])
+    assert got[("README.md", 3)][:2] == ("Use", "contradicted")
+    assert got[("AGENTS.md", 0)][1] == "out_of_scope_or_non_verifiable" and got[("AGENTS.md", 1)][1] == "partially_supported"
+    assert got[("notes/a.md", 0)][1] == "contradicted"
+    assert engine.code_summary().first().modules == 4
+    assert {r.section for r in engine.sections()["modules"].collect()} >= {"overview", "code_structure"}
+
+
+def test_an_empty_change_list_has_a_reason(spark):
+    from pyspark.sql import functions as F
+
+    from corroba.operators.planning import change_plan, place_of_reference, plan_text
+
+    none = spark.createDataFrame([], "path string")
+    row = plan_text(change_plan(none, [], ("src",), ("ref",), ("docs",), F.lit(False))).first()
+    assert row.reason == "nothing changed" and not row.source_changed and row.text.startswith("Update plan\nchanged files: 0")
+    places = spark.createDataFrame([("/r/a", True), ("/r/a.md", False), ("/rest", False)], "p string, d boolean")
+    assert [r[0] for r in places.select(place_of_reference(F.col("p"), "/r", F.col("d"))).collect()] == ["directory", "file", "outside"]
