@@ -11,6 +11,7 @@ class, however frequent, meets in one task.
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -23,8 +24,9 @@ from corroba.llm._common import materialise, slices, table, text_or_empty
 from corroba.llm.tokens import part_cache, tokenizer_path
 
 SEQUENCE, UNIT, END_ID = 2048, 8, 1
-#: Column generation ends here at the latest; what is then not optimal is still a packing.
-MAX_COLUMNS = 800
+#: Column generation warns and ends here; a few hundred columns are enough for 256 classes. What is
+#: then not optimal is still a packing of all pieces.
+MAX_COLUMNS = 20_000
 
 
 def price(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -108,6 +110,8 @@ def column_generation(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> l
             inverse = inverse - np.outer(step, row)
             inverse[out] = row
         used = np.maximum(0, (inverse * counts).sum(1))
+    else:
+        warnings.warn("column generation ended before the optimum; the packing is whole, but not the tightest", stacklevel=2)
     return [(basis[:, j].astype(np.int64), float(used[j])) for j in range(m)]
 
 

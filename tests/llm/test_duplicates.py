@@ -105,6 +105,21 @@ def test_estimates_are_not_biased():
         assert abs(e - true) < 0.12
 
 
+def test_pairs_at_the_threshold_are_candidates():
+    """Sets of similarity 0.75: the share that shares no band or falls below the floor is about one in
+    80,000, so of 3,000 pairs none may be missed, and bands and estimates must have the odds stated."""
+    rng = np.random.default_rng(8)
+    bands, values = [], []
+    for _ in range(3000):
+        both = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+        a, b = (minhash.minima(x) for x in (both[:350], both[50:]))
+        bands.append(int((minhash.band_keys(a) == minhash.band_keys(b)).sum()))
+        values.append(float(minhash.estimates(*(np.frombuffer(minhash.packed(x), np.uint8) for x in (a, b)))))
+    assert min(bands) > 0 and min(values) >= minhash.FLOOR
+    assert abs(np.mean(bands) - minhash.BANDS * 0.75**minhash.ROWS) < 0.3
+    assert abs(np.mean(values) - 0.75) < 0.005 and abs(np.std(values) - 0.0277) < 0.004  # the floor lies 4.3 of these below
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     rng = random.Random(seed)
