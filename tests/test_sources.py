@@ -111,3 +111,30 @@ def test_an_empty_change_list_has_a_reason(spark):
     assert row.reason == "nothing changed" and not row.source_changed and row.text.startswith("Update plan\nchanged files: 0")
     places = spark.createDataFrame([("/r/a", True), ("/r/a.md", False), ("/rest", False)], "p string, d boolean")
     assert [r[0] for r in places.select(place_of_reference(F.col("p"), "/r", F.col("d"))).collect()] == ["directory", "file", "outside"]
+
+
+def test_settings_as_rows(spark, tmp_path):
+    import pytest
+
+    from corroba.sources import settings
+
+    rows = settings.environment(spark, {"a": ("NEW_A", "OLD_A"), "b": ("B",), "c": ("C",)}, {"OLD_A": "1", "NEW_A": "", "B": "2"}).collect()
+    assert [tuple(r) for r in rows] == [("a", "OLD_A", "1"), ("b", "B", "2")]
+    packages = {r.name: r for r in settings.installed_packages(spark, ["pyspark", "no-such-package"]).collect()}
+    assert packages["pyspark"].version and packages["no-such-package"].version is None
+    assert [r.command for r in settings.commands(spark, ["b", "a", "b", ""]).collect()] == ["a", "b"]
+    pytest.importorskip("yaml")
+    (tmp_path / "a.yml").write_text("nav: [a.md]")
+    (tmp_path / "b.yml").write_text("")
+    (tmp_path / "c.yml").write_text("- x")
+    assert settings.read_yaml(str(tmp_path / "a.yml")) == {"nav": ["a.md"]} and settings.read_yaml(str(tmp_path / "b.yml")) == {}
+    with pytest.raises(ValueError):
+        settings.read_yaml(str(tmp_path / "c.yml"))
+
+
+def test_pages_as_files(spark, tmp_path):
+    from corroba.operators.reports import write_pages
+
+    pages = spark.createDataFrame([("a.md", "x"), ("b/c.md", "é"), ("d.md", None)], "path string, page string")
+    assert {r.path: r.bytes for r in write_pages(pages, f"file://{tmp_path}").collect()} == {"a.md": 1, "b/c.md": 2, "d.md": 0}
+    assert (tmp_path / "b/c.md").read_text() == "é"
