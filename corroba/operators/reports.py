@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corroba.functions.values import managed
+from corroba.operators.graph import set_checkpoints
 
 #: Items that a route shows of its claims, and of the material it rests on.
 SHOWN, MATERIAL = 10, 12
@@ -63,6 +64,7 @@ def navigation(trees: DataFrame, key: str, nav: str, deepest: int = 20) -> DataF
     """key, place, label, target of the Markdown pages that a navigation (VARIANT) names: texts, objects of
     label and text or list, and lists, at any depth. The first mention of a target stays; place
     is the order of mention. Each round opens one level of lists and objects."""
+    set_checkpoints(trees)
     level = trees.select(key, F.array().cast("array<int>").alias("way"), F.lit(None).cast("string").alias("label"), F.col(nav).alias("v"))
     found = None
     kind = F.schema_of_variant("v")
@@ -73,7 +75,7 @@ def navigation(trees: DataFrame, key: str, nav: str, deepest: int = 20) -> DataF
         in_objects = level.filter(kind.startswith("OBJECT<")).select(key, "way", F.posexplode(F.map_entries(F.try_variant_get("v", "$", "map<string,variant>"))).alias("at", "e"))
         in_objects = in_objects.select(key, "way", F.col("e.key").alias("label"), "at", F.col("e.value").alias("v"))
         opened = in_lists.select(key, F.concat("way", F.array("at")).alias("way"), F.lit(None).cast("string").alias("label"), "v")
-        level = opened.union(in_objects.select(key, F.concat("way", F.array("at")).alias("way"), "label", "v"))
+        level = opened.union(in_objects.select(key, F.concat("way", F.array("at")).alias("way"), "label", "v")).checkpoint()
         if level.isEmpty():
             break
     else:
