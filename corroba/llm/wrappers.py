@@ -42,6 +42,9 @@ BESIDE_IT = 0.1
 LEVELS = 256
 #: Products of lengths up to which two lists of parts are aligned by their longest common sequence; beyond it greedily.
 ALIGNED = 250_000
+#: Parts that an element of a wrapper holds apart; beyond it the rarer ones are one group a tag, whatever
+#: their marks, so that pages with marks of their own don't make a wrapper grow without end.
+WIDEST, ANY = 1000, "*"
 
 # HTML's own element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -212,7 +215,20 @@ def merge(a: Part, b: Part, page: bool = False) -> Part:
     else:
         digest, own_digest = (x if x == y else None for x, y in ((a.digest, b.digest), (a.own_digest, b.own_digest)))
     pages = 1 if page else a.pages + b.pages
-    return Part(a.tag, a.marks, a.many or b.many or page, pages, a.mass + b.mass, digest, a.own + b.own, own_digest, align(a.children, b.children, page))
+    return Part(a.tag, a.marks, a.many or b.many or page, pages, a.mass + b.mass, digest, a.own + b.own, own_digest, narrow(align(a.children, b.children, page)))
+
+
+def narrow(parts: list[Part]) -> list[Part]:
+    """The same parts, but for the rarer ones if there are too many."""
+    if len(parts) <= WIDEST:
+        return parts
+    often = set(sorted(range(len(parts)), key=lambda i: (parts[i].marks == ANY, -parts[i].pages, i))[: WIDEST // 2])
+    rest: dict[str, Part] = {}
+    for i, p in enumerate(parts):
+        if i not in often:
+            p = Part(p.tag, ANY, True, p.pages, p.mass, p.digest, p.own, p.own_digest, p.children)
+            rest[p.tag] = merge(rest[p.tag], p) if p.tag in rest else p
+    return [p for i, p in enumerate(parts) if i in often] + list(rest.values())
 
 
 def align(a: list[Part], b: list[Part], page: bool = False) -> list[Part]:
@@ -321,6 +337,8 @@ def matched(node: Node, part: Part | None) -> list[tuple[Node, Part | None]]:
     out, at, last = [], 0, None
     for b in blocks:
         key = b.tag, b.marks
+        if key not in places:
+            key = b.tag, ANY
         if key not in places:
             out.append((b, None))
             continue

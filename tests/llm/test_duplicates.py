@@ -262,6 +262,16 @@ def test_copies_of_a_page_keep_their_text():
     assert wrappers.main_text(page, wrappers.infer([page] * 5)) == "one text\nin a part of its own"
 
 
+def test_marks_of_their_own_do_not_make_wrappers_grow(monkeypatch):
+    monkeypatch.setattr(wrappers, "WIDEST", 20)
+    letters = ["".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(300)]
+    pages = [f"<html><body><div class='menu-{w}'><p>Same menu</p></div><div class='text-{w}'><p>{w} text {'of it ' * 30}</p></div></body></html>" for w in letters]
+    wrapper = wrappers.infer(pages)
+    assert len(wrappers.dump(wrapper)) < 10_000
+    for w, page in zip(letters, pages):
+        assert f"{w} text" in wrappers.main_text(page, wrapper)
+
+
 @pytest.mark.parametrize("limit", [0, 10**9])
 def test_aligned_parts_keep_every_part(monkeypatch, limit):
     monkeypatch.setattr(wrappers, "ALIGNED", limit)
