@@ -56,10 +56,10 @@ def segments(rows: DataFrame, text: str = "text", opening: str = "Document") ->
     a text that are neither empty nor headings, counted from 0, each with the heading before
     it. Only texts with a heading are sorted by line; rows must tell texts apart."""
     keys = [c for c in rows.columns if c != text]
-    cut = rows.select(*keys, parts(text, "\n").alias("lines"))
-    headed = F.exists("lines", lambda x: x.startswith("#"))
-    plain = cut.filter(~headed).select(*keys, F.posexplode("lines").alias("ordinal", "line")).withColumn("section", F.lit(opening))
-    line = cut.filter(headed).select(*keys, F.posexplode("lines").alias("at", "line"))
+    headed = F.contains(text, F.lit("#")) & F.exists(parts(text, "\n"), lambda x: x.startswith("#"))
+    lines = F.posexplode(parts(text, "\n"))
+    plain = rows.filter(~headed).select(*keys, lines.alias("ordinal", "line")).withColumn("section", F.lit(opening))
+    line = rows.filter(headed).select(*keys, lines.alias("at", "line"))
     so_far = Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     is_heading = F.col("line").startswith("#")
     heading = F.when(is_heading, F.nullif(strip(F.ltrim("line", F.lit("#"))), F.lit("")))
