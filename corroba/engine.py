@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corroba.functions import text as T
-from corroba.operators import atoms, discovery
+from corroba.operators import atoms, discovery, inventory
 from corroba.operators.chunking import ChunkSizes, chunk_id, chunks_of
 from corroba.operators.claims import classify, segment_line, segments
 from corroba.operators.codefacts import code_tables, select_facts, summary
 from corroba.operators.ignore import DEFAULT_PATTERNS, IgnoreRules, stack
 from corroba.operators.planning import CONFIG_FILES, change_plan
 from corroba.sources import files as sources
+from corroba.sources import settings
 
 
 class Engine:
@@ -73,6 +74,12 @@ class Engine:
         judged = atoms.match(atoms.atomise(claims, registry), evidence, [*keys, "atom_index"])
         return claims.join(atoms.verdicts(judged, keys, "route", "verifiable"), keys)
 
+    def dependencies(self) -> DataFrame:
+        """The packages that the tree's pyproject.toml declares and what they need, as installed here."""
+        declared = inventory.declared(sources.read_toml(f"{self.root}/pyproject.toml"))
+        direct = self.spark.createDataFrame(declared, "source string, requirement string")
+        return inventory.dependencies(direct, settings.installed_packages(self.spark))
+
     def plan(self, source: tuple[str, ...] = ("src",), reference: tuple[str, ...] = (), docs: tuple[str, ...] = ("docs",)) -> DataFrame | None:
         """What the last changes ask for; None where git can't tell."""
         changed = sources.changed_files(self.root)

@@ -67,3 +67,32 @@ def csv_lines(rows: DataFrame, columns: list[str]) -> DataFrame:
     kinds = dict(rows.dtypes)
     values = [(F.array_join(c, ";") if kinds[c].startswith("array") else F.col(c).cast("string")).alias(c) for c in columns]
     return rows.select("*", F.to_csv(F.struct(*values)).alias("line"))
+
+
+def declared(project: dict) -> list[tuple[str, str]]:
+    """(source, requirement) of a pyproject table: runtime, each dev group, build system."""
+    own = project.get("project", {})
+    rows = [("runtime", r) for r in own.get("dependencies", [])]
+    for group, requirements in [*own.get("optional-dependencies", {}).items(), *project.get("dependency-groups", {}).items()]:
+        rows += [(f"dev:{group}", r) for r in requirements if isinstance(r, str)]
+    return rows + [("build-system", r) for r in project.get("build-system", {}).get("requires", [])]
+
+
+def dependencies(direct: DataFrame, installed: DataFrame) -> DataFrame:
+    """name, source, requirement, direct, parents, installed, version, quality, summary: the direct packages (source,
+    requirement), each once a source and requirement, and those that they need.
+
+    installed: name, version, license_expression, license_field, classifiers, requires."""
+    named = direct.select(requirement_name(F.col("requirement")).alias("name"), "source", "requirement").filter("name <> ''").distinct()
+    needs = installed.select("name", F.explode("requires").alias("r")).select("name", requirement_name(F.col("r")).alias("needs")).filter("needs <> ''")
+    more = transitive(named, installed, needs)
+    rows = named.select("name", "source", "requirement", F.lit(True).alias("direct"), F.lit("").alias("parents")).union(
+        more.select("name", F.lit("transitive"), F.lit(""), F.lit(False), "parents")
+    )
+    found = rows.join(installed.drop("requires"), "name", "left")
+    expression, field = (F.btrim(F.coalesce(c, F.lit(""))) for c in ("license_expression", "license_field"))
+    classifiers = F.coalesce("classifiers", F.array().cast("array<string>"))
+    quality = quality_class({"license_expression": expression != "", "license_field_only": field != "", "classifier_only": F.size(classifiers) > 0})
+    quality = F.when(quality == "multiple", "multiple_signals").otherwise(quality)
+    told = found.withColumn("quality", quality).withColumn("summary", license_summary(expression, field, classifiers, F.col("quality")))
+    return told.select("name", "source", "requirement", "direct", "parents", F.col("version").isNotNull().alias("installed"), "version", "quality", "summary")

@@ -28,18 +28,15 @@ def environment(spark: SparkSession, fields: dict[str, tuple[str, ...]], given:
     return spark.createDataFrame([r for r in rows if r], "field string, variable string, value string")
 
 
-def installed_packages(spark: SparkSession, names: list[str]) -> DataFrame:
-    """name, version, license_expression, license_field, classifiers, requires of packages; version is
-    null where one is not installed."""
-    rows = []
-    for name in names:
-        try:
-            d = metadata.distribution(name)
-        except metadata.PackageNotFoundError:
-            rows.append((name, None, None, None, None, None))
-            continue
+def installed_packages(spark: SparkSession, names: list[str] | None = None) -> DataFrame:
+    """name, version, license_expression, license_field, classifiers, requires of packages: of the named
+    ones (version is null where one is not installed), or of all that are installed."""
+    found = {}
+    for d in metadata.distributions():
         licences = [c for c in d.metadata.get_all("Classifier") or [] if c.startswith("License ::")]
-        rows.append((name, d.version, d.metadata.get("License-Expression"), d.metadata.get("License"), licences, list(d.requires or [])))
+        name = (d.metadata["Name"] or "").lower().replace("_", "-")
+        found.setdefault(name, (name, d.version, d.metadata.get("License-Expression"), d.metadata.get("License"), licences, list(d.requires or [])))
+    rows = list(found.values()) if names is None else [found.get(n, (n, None, None, None, None, None)) for n in names]
     return spark.createDataFrame(rows, "name string, version string, license_expression string, license_field string, classifiers array<string>, requires array<string>")
 
 

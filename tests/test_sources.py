@@ -138,3 +138,18 @@ def test_pages_as_files(spark, tmp_path):
     pages = spark.createDataFrame([("a.md", "x"), ("b/c.md", "é"), ("d.md", None)], "path string, page string")
     assert {r.path: r.bytes for r in write_pages(pages, f"file://{tmp_path}").collect()} == {"a.md": 1, "b/c.md": 2, "d.md": 0}
     assert (tmp_path / "b/c.md").read_text() == "é"
+
+
+def test_dependencies_of_a_tree(spark, tmp_path):
+    from corroba.operators.inventory import failures
+
+    (tmp_path / "pyproject.toml").write_text(
+        "[build-system]\nrequires = ['no-such-builder>=1']\n[project]\nname = 'x'\ndependencies = ['pandas>=1', 'Pandas>=1', 'pandas>=1']\n[project.optional-dependencies]\ntest = ['pytest; python_version > \"3\"']\n"
+    )
+    rows = {(r.name, r.requirement): r for r in Engine(spark, str(tmp_path)).dependencies().collect()}
+    assert {k for k, r in rows.items() if r.direct} == {("pandas", "pandas>=1"), ("pandas", "Pandas>=1"), ("pytest", 'pytest; python_version > "3"'), ("no-such-builder", "no-such-builder>=1")}
+    assert rows[("pandas", "pandas>=1")].installed and not rows[("no-such-builder", "no-such-builder>=1")].installed
+    assert rows[("numpy", "")].source == "transitive" and "pandas" in rows[("numpy", "")].parents.split(",")
+    assert rows[("no-such-builder", "no-such-builder>=1")].summary == "missing"
+    told = spark.createDataFrame([("a", True, False, "missing"), ("b", False, False, "classifier_only"), ("c", True, True, "missing")], "name string, direct boolean, installed boolean, quality string")
+    assert {r.condition: r.packages for r in failures(told).collect()} == {"not-installed": "a", "missing-license": "a, c", "classifier-only": "b"}
