@@ -21,6 +21,18 @@ STATUSES: dict[str, tuple[str, ...]] = {
     "readme_claim_alignment": ("supported", "partially_supported", "not_evidenced", "contradicted", "not_statically_verifiable"),
 }
 FALLBACKS = ("missing_evidence", "not_evidenced", "unclear", "partially_supported")
+# What stands where an answer says nothing.
+NO_CLAIM, NO_ANCHOR = "No reliably grounded reference claim extracted", "No mapping anchor"
+NO_ENTRIES = ("Mapping stage produced no valid entries.", "Alignment confidence is low due to absent mapping artifacts.")
+NO_JSON = ("Mapping stage returned non-JSON output.", "Alignment confidence is low due to unstructured mapping output.")
+UNSAID = {
+    "reference_claim": "Unspecified claim",
+    "code_anchor": "Unspecified code anchor",
+    "evidence_note": "No evidence note provided.",
+    "uncertainty_note": "No uncertainty note provided.",
+}
+NO_IDS = "No valid evidence IDs retained."
+NO_CONTENT, NO_BODIES = "No structured section content was returned by the model.", "No valid structured section bodies were returned."
 # Kinds of blocks.
 BLOCKS = ("paragraph", "bullet", "labeled_bullet", "numbered_item")
 ID = r"[a-z_]+:[a-z0-9_./-]+"
@@ -86,22 +98,20 @@ def mapping(answers: DataFrame, section: str, raw: str = "raw") -> tuple[DataFra
         return F.struct(*(F.lit(x).alias(n) for n, x in values))
 
     def read(x: Column) -> Column:
-        def value(name: str, default: str) -> Column:
-            return F.coalesce(F.nullif(text_at(x, f"$.{name}"), F.lit("")), F.lit(default)).alias(name)
+        def value(name: str) -> Column:
+            return F.coalesce(F.nullif(text_at(x, f"$.{name}"), F.lit("")), F.lit(UNSAID[name])).alias(name)
 
         status = F.coalesce(F.nullif(F.lower(text_at(x, "$.status")), F.lit("")), F.lit(fallback))
         return F.struct(
-            value("reference_claim", "Unspecified claim"), value("code_anchor", "Unspecified code anchor"), F.when(status.isin(*allowed), status).otherwise(fallback).alias("status"),
-            value("evidence_note", "No evidence note provided."), value("uncertainty_note", "No uncertainty note provided."),
-        )
+            value("reference_claim"), value("code_anchor"), F.when(status.isin(*allowed), status).otherwise(fallback).alias("status"), value("evidence_note"), value("uncertainty_note")
+        )
 
     rows = answers.withColumn("v", json_object(F.col(raw)))
     given = F.coalesce(F.try_variant_get("v", "$.entries", "array<variant>"), F.array().cast("array<variant>"))
     rows = rows.withColumn("given", F.when(F.startswith(_kind(F.variant_get("v", "$.entries", "variant")), F.lit("ARRAY<")), given).otherwise(F.array().cast("array<variant>")))
     is_object = lambda x: F.coalesce(F.startswith(_kind(x), F.lit("OBJECT<")), F.lit(False))
     good = F.transform(F.filter("given", is_object), read)
-    nothing = entry("No reliably grounded reference claim extracted", "No mapping anchor", "Mapping stage produced no valid entries.", "Alignment confidence is low due to absent mapping artifacts.")
-    no_json = entry("No reliably grounded reference claim extracted", "No mapping anchor", "Mapping stage returned non-JSON output.", "Alignment confidence is low due to unstructured mapping output.")
+    nothing, no_json = (entry(NO_CLAIM, NO_ANCHOR, *why) for why in (NO_ENTRIES, NO_JSON))
     rows = rows.withColumn("entries", F.when(F.col("v").isNull(), F.array(no_json)).when(F.size(good) > 0, good).otherwise(F.array(nothing)))
 
     def note(code: str, place: Column) -> Column:
@@ -125,7 +135,7 @@ def sanitise(entries: DataFrame, section: str, allowed: str) -> DataFrame:
     named = F.array_distinct(F.regexp_extract_all(F.lower("evidence_note"), F.lit(ID), F.lit(0)))
     rows = entries.withColumn("unknown", F.array_sort(F.array_except(named, F.col(allowed)))).withColumn("kept", F.array_intersect(named, F.col(allowed)))
     cut = F.aggregate("unknown", F.col("evidence_note"), lambda text, x: F.replace(text, x, F.lit("")))
-    clean = F.coalesce(F.nullif(F.btrim(F.regexp_replace(cut, r"[ \t\r\n\x0b\x0c]+", " ")), F.lit("")), F.lit("No valid evidence IDs retained."))
+    clean = F.coalesce(F.nullif(F.btrim(F.regexp_replace(cut, r"[ \t\r\n\x0b\x0c]+", " ")), F.lit("")), F.lit(NO_IDS))
     fallback = F.lit(fallback_status(section))
     lost = (F.size("kept") == 0) & (F.col("status") != fallback)
     rows = rows.withColumn("downgraded", lost).withColumn("evidence_note", F.when(F.size("unknown") > 0, clean).otherwise(F.col("evidence_note")))
@@ -230,8 +240,8 @@ def sections(answers: DataFrame, headings: tuple[str, ...], raw: str = "raw") ->
         none = F.col("v").isNull()
         lost = ~none & (F.size(F.col("items")) == 0)
         if place == 0:
-            blocks = F.when(none, notice(F.coalesce(F.nullif(strip(F.col(raw)), F.lit("")), F.lit("No structured section content was returned by the model.")))).when(
-                lost, notice("No valid structured section bodies were returned.")
+            blocks = F.when(none, notice(F.coalesce(F.nullif(strip(F.col(raw)), F.lit("")), F.lit(NO_CONTENT)))).when(
+                lost, notice(NO_BODIES)
             ).otherwise(F.coalesce(own, taken))
             codes = F.when(none, F.array(F.lit("final_output.non_json_preserved_raw_text"))).when(lost, F.array(F.lit("final_output.no_valid_section_bodies_fallback_inserted")))
             codes = codes.when(taken.isNotNull(), F.array(F.lit("final_output.unknown_section_recovered_into_missing_slot"))).otherwise(empty)

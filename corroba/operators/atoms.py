@@ -56,6 +56,15 @@ PREDICATES = {
     19: ("framework_hint_exists", "runtime", "framework_hint"),
     20: ("lexical_hint", "text", None),
 }
+# The patterns that rules look for in a normal fragment; {0} stands for the registry's names.
+COMMAND = r"{0}\s+([a-z][a-z0-9-]*)"
+DASHED = r"\b([a-z][a-z0-9-]*-[a-z0-9-]+)\b"
+PAGE = r"(?:generated/)?([a-z_]+)\.md"
+WORD = r"\b([a-z_]+)\b"
+NAME = r"\b{0}\b"
+MAPS_TO = r"\b{0}\b.*?maps\s+to\s+(?:the\s+)?\b([a-z_]+)\b"
+FIELD = r"\b([a-z_]{4,})\b"
+ENTRY = r"([a-z_][a-z0-9_.]*:[a-z_][a-z0-9_]*)"
 _SAME = {2: 1, 4: 3, 6: 5, 10: 9, 12: 11, 13: 11, 14: 11}
 FIRST_PATH_VALUE = "first_explicit_reference_path"
 DEFAULT_TARGETS, EXPLICIT_PATHS = "default_reference_targets_independent", "explicit_reference_paths_independent"
@@ -100,10 +109,10 @@ def told(n: Column, r: Registry) -> Column:
     and the words that rules take from it."""
     aliases = _any_of(r.path_aliases)
     maps = F.contains(n, F.lit("maps to"))
-    command, page = _found(n, rf"{re.escape(r.tool)}\s+([a-z][a-z0-9-]*)"), _found(n, r"(?:generated/)?([a-z_]+)\.md")
-    path_alias, pair = _found(n, rf"\b{aliases}\b"), rf"\b{aliases}\b.*?maps\s+to\s+(?:the\s+)?\b([a-z_]+)\b"
-    old_name, field = _found(n, rf"\b{_any_of((*r.path_aliases, *r.deprecated))}\b"), _found(n, r"\b([a-z_]{4,})\b")
-    route, entry = _found(n, _any_of(r.routes)), _found(n, r"([a-z_][a-z0-9_.]*:[a-z_][a-z0-9_]*)")
+    command, page = _found(n, COMMAND.format(re.escape(r.tool))), _found(n, PAGE)
+    path_alias, pair = _found(n, NAME.format(aliases)), MAPS_TO.format(aliases)
+    old_name, field = _found(n, NAME.format(_any_of((*r.path_aliases, *r.deprecated)))), _found(n, FIELD)
+    route, entry = _found(n, _any_of(r.routes)), _found(n, ENTRY)
     speaks = F.contains(n, F.lit(r.language_field)) | (F.contains(n, F.lit("supports")) & contains_any(n, tuple(f" {v}" for v in r.languages)))
     rule = (
         F.when(command.isNotNull(), 1)
@@ -126,7 +135,7 @@ def told(n: Column, r: Registry) -> Column:
     framework = F.coalesce(*(F.when(F.contains(n, F.lit(f)), F.lit(f)) for f in r.frameworks))
     language = F.when(F.contains(F.concat(F.lit(" "), n, F.lit(" ")), F.lit(f" {r.languages[1]}")), r.languages[1]).otherwise(r.languages[0])
     return F.struct(
-        rule.alias("rule"), command.alias("command"), _found(n, r"\b([a-z][a-z0-9-]*-[a-z0-9-]+)\b").alias("dashed"), page.alias("page"), _found(n, r"\b([a-z_]+)\b").alias("word"),
+        rule.alias("rule"), command.alias("command"), _found(n, DASHED).alias("dashed"), page.alias("page"), _found(n, WORD).alias("word"),
         language.alias("language"), n.isin(*r.languages).alias("is_language"), path_alias.alias("path_alias"), _found(n, pair, 1).alias("alias"), _found(n, pair, 2).alias("target"),
         F.contains(n, F.lit("reference")).alias("refers"), old_name.alias("old_name"), field.alias("field"), route.alias("route"), entry.alias("entry"), framework.alias("framework"),
     )
