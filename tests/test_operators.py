@@ -162,3 +162,43 @@ def test_lists_and_bullets(spark):
 def test_requirement_names(spark):
     rows = spark.createDataFrame([("My_Pkg>=1; python_version<'3'",), ("a[b]",)], "t string")
     assert [r[0] for r in rows.select(requirement_name(F.col("t"))).collect()] == ["my-pkg", "a"]
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 200])
+def test_containment_against_brute_force(spark, monkeypatch, limit):
+    from corroba.operators import containment
+
+    monkeypatch.setattr(containment, "BROADCAST_BYTES", limit)
+    rng = random.Random(5)
+    words = ["a", "b", "ab", "", "longer", "x" * 80, "x" * 70, "é", "c\nd"]
+    texts = {i: " ".join(rng.choice(words) for _ in range(rng.randrange(12))) for i in range(60)} | {100: None, 101: ""}
+    passages = {i: " ".join(rng.choice(words) for _ in range(rng.randrange(6))) for i in range(40)} | {100: None, 101: "", 102: "b", 103: "onge"}
+    rows, asked = (spark.createDataFrame(list(x.items()), "id long, text string") for x in (texts, passages))
+    got = sorted((r.id, r.p) for r in containment.holding(rows, "id", "text", asked.toDF("p", "passage"), "p", "passage").collect())
+    assert got == sorted((i, p) for i, t in texts.items() for p, q in passages.items() if t is not None and q is not None and q in t)
+    assert containment.holding(rows.limit(0), "id", "text", asked.toDF("p", "passage"), "p", "passage").count() == 0
+
+
+def test_first_rows_that_hold_an_anchor(spark):
+    from corroba.operators import containment
+
+    rng = random.Random(6)
+    stems = ["anchor", "hors", "chorus", "tion", "nation", "abcd"]
+    texts = {i: " ".join(rng.choice(stems) + rng.choice(["", "s", "tion", "x"]) for _ in range(rng.randrange(5))) for i in range(80)} | {200: None}
+    anchors = [(k, rng.choice(["anch", "hors", "tion", "nations", "abcdx", "none"])) for k in range(12) for _ in range(3)]
+    rows = spark.createDataFrame(list(texts.items()), "id long, text string")
+    asked = spark.createDataFrame(anchors, "k long, anchor string")
+    got = sorted((r.k, r.id, r.rank) for r in containment.first_holding(rows, "id", F.split("text", " "), asked, "k", "anchor", most=4).collect())
+    want = []
+    for k in {k for k, _ in anchors}:
+        hits = sorted(i for i, t in texts.items() if t and any(a in t for x, a in anchors if x == k))
+        want += [(k, i, r + 1) for r, i in enumerate(hits[:4])]
+    assert got == sorted(want)
+
+
+def test_segments_carry_their_section(spark):
+    from corroba.operators.claims import segments
+
+    rows = [(1, "a\n# One\n\nb\n## \nc\n#Two\nd"), (2, "x\ny # z"), (3, None), (4, ""), (5, "# only")]
+    got = sorted((r.id, r.ordinal, r.section, r.line) for r in segments(spark.createDataFrame(rows, "id long, text string")).collect())
+    assert got == [(1, 0, "Document", "a"), (1, 1, "One", "b"), (1, 2, "One", "c"), (1, 3, "Two", "d"), (2, 0, "Document", "x"), (2, 1, "Document", "y # z")]
