@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +30,11 @@ def strip(c: Column | str) -> Column:
     return F.btrim(c, F.lit(SPACES))
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def lines(c: Column | str) -> Column:
     """The text's lines, cut at line feeds."""
     return F.split(c, "\n")
@@ -83,7 +90,7 @@ def split_claim(c: Column) -> Column:
     clauses = F.array(c)
     for separator in (r"\s+but\s+", r"\s+and\s+", ","):
         clauses = F.flatten(F.transform(clauses, _cut_at(separator)))
-    return F.when(F.size(clauses) > 0, clauses).otherwise(F.array(c))
+    return bound(clauses, lambda q: F.when(F.size(q) > 0, q).otherwise(F.array(c)))
 
 
 def _cut_at(separator: str):

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corroba.functions.text import strip
+from corroba.functions.text import bound, strip
 from corroba.operators.recovery import json_object
 
 # Which statuses a section's mapping may have, and the order of preference of a fallback.
@@ -112,7 +112,7 @@ def mapping(answers: DataFrame, section: str, raw: str = "raw") -> tuple[DataFra
     is_object = lambda x: F.coalesce(F.startswith(_kind(x), F.lit("OBJECT<")), F.lit(False))
     good = F.transform(F.filter("given", is_object), read)
     nothing, no_json = (entry(NO_CLAIM, NO_ANCHOR, *why) for why in (NO_ENTRIES, NO_JSON))
-    rows = rows.withColumn("entries", F.when(F.col("v").isNull(), F.array(no_json)).when(F.size(good) > 0, good).otherwise(F.array(nothing)))
+    rows = rows.withColumn("entries", bound(good, lambda q: F.when(F.col("v").isNull(), F.array(no_json)).when(F.size(q) > 0, q).otherwise(F.array(nothing))))
 
     def note(code: str, place: Column) -> Column:
         return F.struct(F.lit(code).alias("code"), F.concat(F.lit("entry:"), place.cast("string")).alias("operation"))
@@ -122,7 +122,7 @@ def mapping(answers: DataFrame, section: str, raw: str = "raw") -> tuple[DataFra
         return F.when(~is_object(x), note("mapping.non_object_entry_dropped", i)).when(~status.isin(*allowed), note("mapping.unsupported_status_normalized", i))
 
     whole = F.when(F.col("v").isNull(), F.array(note("mapping.non_json_fallback_entry_injected", F.lit(0))))
-    whole = whole.when(F.size(good) == 0, F.array(note("mapping.no_valid_entries_fallback_injected", F.lit(0)))).otherwise(F.array().cast("array<struct<code:string,operation:string>>"))
+    whole = whole.when(~F.exists("given", is_object), F.array(note("mapping.no_valid_entries_fallback_injected", F.lit(0)))).otherwise(F.array().cast("array<struct<code:string,operation:string>>"))
     told = F.concat(F.array_compact(F.transform("given", problem)), whole)
     entries = rows.select(*keys, F.posexplode("entries").alias("entry_index", "e")).select(*keys, "entry_index", "e.*")
     return entries, rows.select(*keys, F.inline(told))

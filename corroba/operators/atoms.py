@@ -104,47 +104,49 @@ def _any_of(names: tuple[str, ...]) -> str:
     return "(" + "|".join(map(re.escape, names)) + ")"
 
 
-def told(n: Column, r: Registry) -> Column:
-    """What a normal fragment says by itself: the first rule of those that look at it alone,
-    and the words that rules take from it."""
+def words_of(n: Column, r: Registry) -> Column:
+    """The words that rules take from a normal fragment."""
     aliases = _any_of(r.path_aliases)
-    maps = F.contains(n, F.lit("maps to"))
     command, page = _found(n, COMMAND.format(re.escape(r.tool))), _found(n, PAGE)
     path_alias, pair = _found(n, NAME.format(aliases)), MAPS_TO.format(aliases)
     old_name, field = _found(n, NAME.format(_any_of((*r.path_aliases, *r.deprecated)))), _found(n, FIELD)
     route, entry = _found(n, _any_of(r.routes)), _found(n, ENTRY)
+    framework = F.coalesce(*(F.when(F.contains(n, F.lit(f)), F.lit(f)) for f in r.frameworks))
+    language = F.when(F.contains(F.concat(F.lit(" "), n, F.lit(" ")), F.lit(f" {r.languages[1]}")), r.languages[1]).otherwise(r.languages[0])
+    return F.struct(
+        command.alias("command"), _found(n, DASHED).alias("dashed"), page.alias("page"), _found(n, WORD).alias("word"), language.alias("language"), n.isin(*r.languages).alias("is_language"),
+        path_alias.alias("path_alias"), _found(n, pair, 1).alias("alias"), _found(n, pair, 2).alias("target"), F.contains(n, F.lit("reference")).alias("refers"), old_name.alias("old_name"), field.alias("field"),
+        route.alias("route"), entry.alias("entry"), framework.alias("framework"),
+    )
+
+
+def rule_of(n: Column, t: Column, r: Registry) -> Column:
+    """The first rule of those that look at a normal fragment alone, with its words."""
+    maps = F.contains(n, F.lit("maps to"))
     speaks = F.contains(n, F.lit(r.language_field)) | (F.contains(n, F.lit("supports")) & contains_any(n, tuple(f" {v}" for v in r.languages)))
-    rule = (
-        F.when(command.isNotNull(), 1)
-        .when(page.isNotNull(), 3)
+    return (
+        F.when(t["command"].isNotNull(), 1)
+        .when(t["page"].isNotNull(), 3)
         .when(speaks, 5)
-        .when(maps & F.contains(n, F.lit(r.first_path)) & path_alias.isNotNull(), 7)
-        .when(maps & n.rlike(pair), 8)
+        .when(maps & F.contains(n, F.lit(r.first_path)) & t["path_alias"].isNotNull(), 7)
+        .when(maps & t["target"].isNotNull(), 8)
         .when(_all(n, "readme", "ignored", "implementation"), 9)
         .when(_all(n, "agent", "instruction", "excluded", "repo"), 10)
         .when(_all(n, "readme", "reference"), 11)
         .when(_all(n, "agent", "instruction", "reference"), 12)
         .when(_all(n, "explicit reference", "ignore"), 13)
-        .when(old_name.isNotNull() & ~maps, 15)
-        .when(field.isNotNull() & contains_any(n, ("config", "field", "env", "setting")), 16)
-        .when(F.contains(n, F.lit("route")) & route.isNotNull(), 17)
-        .when(F.contains(n, F.lit("entrypoint")) & entry.isNotNull(), 18)
-        .when(contains_any(n, r.frameworks), 19)
+        .when(t["old_name"].isNotNull() & ~maps, 15)
+        .when(t["field"].isNotNull() & contains_any(n, ("config", "field", "env", "setting")), 16)
+        .when(F.contains(n, F.lit("route")) & t["route"].isNotNull(), 17)
+        .when(F.contains(n, F.lit("entrypoint")) & t["entry"].isNotNull(), 18)
+        .when(t["framework"].isNotNull(), 19)
         .otherwise(20)
     )
-    framework = F.coalesce(*(F.when(F.contains(n, F.lit(f)), F.lit(f)) for f in r.frameworks))
-    language = F.when(F.contains(F.concat(F.lit(" "), n, F.lit(" ")), F.lit(f" {r.languages[1]}")), r.languages[1]).otherwise(r.languages[0])
-    return F.struct(
-        rule.alias("rule"), command.alias("command"), _found(n, DASHED).alias("dashed"), page.alias("page"), _found(n, WORD).alias("word"),
-        language.alias("language"), n.isin(*r.languages).alias("is_language"), path_alias.alias("path_alias"), _found(n, pair, 1).alias("alias"), _found(n, pair, 2).alias("target"),
-        F.contains(n, F.lit("reference")).alias("refers"), old_name.alias("old_name"), field.alias("field"), route.alias("route"), entry.alias("entry"), framework.alias("framework"),
-    )
 
 
-def _after(before: Column, t: Column) -> Column:
+def _after(before: Column, rule: Column, t: Column) -> Column:
     """A fragment's rule, with the rule of the one before. Rule 14 is 14 after 9 and 144 after 10:
     it takes that one's subject."""
-    rule = t["rule"]
     return (
         F.when(rule == 1, rule)
         .when(before.isin(1, 2) & t["dashed"].isNotNull(), 2)
@@ -162,12 +164,12 @@ def _after(before: Column, t: Column) -> Column:
 def atomise(claims: DataFrame, registry: Registry = Registry(), claim: str = "claim") -> DataFrame:
     """All columns of claims with logic and, for each fragment, atom_index, fragment, rule, polarity, modality,
     predicate, subject_kind, subject, object_kind, object, anchors and aliases."""
-    # normal forms and matches are told for exploded fragments, where expressions are compiled; the
-    # fold then needs a number a fragment
+    # each step binds what the next one uses, so that no word is looked for twice
     keys = claims.columns
     cut = claims.withColumn("logic", claim_logic(F.col(claim))).withColumn("fragments", F.transform(split_claim(F.col(claim)), lambda x: F.struct(x.alias("fragment"), norm(x).alias("n"))))
-    cut = cut.withColumn("fragments", F.transform("fragments", lambda x: F.struct(x["fragment"].alias("fragment"), x["n"].alias("n"), told(x["n"], registry).alias("t"))))
-    rules = F.aggregate("fragments", F.array().cast("array<int>"), lambda out, x: F.concat(out, F.array(_after(F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(0)), x["t"]))))
+    cut = cut.withColumn("fragments", F.transform("fragments", lambda x: F.struct(x["fragment"].alias("fragment"), x["n"].alias("n"), words_of(x["n"], registry).alias("t"))))
+    cut = cut.withColumn("base", F.transform("fragments", lambda x: F.struct(rule_of(x["n"], x["t"], registry).alias("rule"), x["t"].alias("t"))))
+    rules = F.aggregate("base", F.array().cast("array<int>"), lambda out, x: F.concat(out, F.array(_after(F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(0)), x["rule"], x["t"]))))
     rows = cut.withColumn("rules", rules).select(*keys, "logic", F.posexplode(F.arrays_zip("fragments", "rules")).alias("atom_index", "z"))
     rows = rows.select(*keys, "logic", "atom_index", "z.fragments.fragment", "z.fragments.n", "z.fragments.t", F.col("z.rules").alias("rule"))
     return _described(rows, registry).drop("n", "t").withColumn("rule", F.when(F.col("rule") == 144, 14).otherwise(F.col("rule")))
