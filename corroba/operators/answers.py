@@ -124,7 +124,7 @@ def mapping(answers: DataFrame, section: str, raw: str = "raw") -> tuple[DataFra
     whole = F.when(F.col("v").isNull(), F.array(note("mapping.non_json_fallback_entry_injected", F.lit(0))))
     whole = whole.when(~F.exists("given", is_object), F.array(note("mapping.no_valid_entries_fallback_injected", F.lit(0)))).otherwise(F.array().cast("array<struct<code:string,operation:string>>"))
     told = F.concat(F.array_compact(F.transform("given", problem)), whole)
-    entries = rows.select(*keys, F.posexplode("entries").alias("entry_index", "e")).select(*keys, "entry_index", "e.*")
+    entries = rows.select(*keys, F.posexplode_outer("entries").alias("entry_index", "e")).select(*keys, "entry_index", "e.*")
     return entries, rows.select(*keys, F.inline(told))
 
 
@@ -250,5 +250,5 @@ def sections(answers: DataFrame, headings: tuple[str, ...], raw: str = "raw") ->
             codes = F.when(taken.isNotNull(), F.array(F.lit("final_output.unknown_section_recovered_into_missing_slot"))).otherwise(empty)
         part = F.struct(F.lit(place).alias("place"), F.lit(heading).alias("heading"), blocks.alias("blocks"), codes.alias("codes"))
         out = [part] if out is None else [*out, part]
-    told = rows.select(*keys, F.inline(F.array(*out))).filter("blocks IS NOT NULL")
+    told = rows.select(*keys, F.inline_outer(F.array(*out))).filter("blocks IS NOT NULL")
     return told.withColumn("codes", F.concat("codes", F.flatten(F.transform("blocks", lambda b: b["codes"]))))

@@ -170,7 +170,7 @@ def atomise(claims: DataFrame, registry: Registry = Registry(), claim: str = "cl
     cut = cut.withColumn("fragments", F.transform("fragments", lambda x: F.struct(x["fragment"].alias("fragment"), x["n"].alias("n"), words_of(x["n"], registry).alias("t"))))
     cut = cut.withColumn("base", F.transform("fragments", lambda x: F.struct(rule_of(x["n"], x["t"], registry).alias("rule"), x["t"].alias("t"))))
     rules = F.aggregate("base", F.array().cast("array<int>"), lambda out, x: F.concat(out, F.array(_after(F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(0)), x["rule"], x["t"]))))
-    rows = cut.withColumn("rules", rules).select(*keys, "logic", F.posexplode(F.arrays_zip("fragments", "rules")).alias("atom_index", "z"))
+    rows = cut.withColumn("rules", rules).select(*keys, "logic", F.posexplode_outer(F.arrays_zip("fragments", "rules")).alias("atom_index", "z"))
     rows = rows.select(*keys, "logic", "atom_index", "z.fragments.fragment", "z.fragments.n", "z.fragments.t", F.col("z.rules").alias("rule"))
     return _described(rows, registry).drop("n", "t").withColumn("rule", F.when(F.col("rule") == 144, 14).otherwise(F.col("rule")))
 

@@ -57,8 +57,8 @@ def segments(rows: DataFrame, text: str = "text", opening: str = "Document") ->
     it. Only texts with a heading are sorted by line; rows must tell texts apart."""
     keys = [c for c in rows.columns if c != text]
     headed = F.contains(text, F.lit("#")) & F.exists(parts(text, "\n"), lambda x: x.startswith("#"))
-    lines = F.posexplode(parts(text, "\n"))
-    plain = rows.filter(~headed).select(*keys, lines.alias("ordinal", "line")).withColumn("section", F.lit(opening))
+    lines = F.posexplode_outer(parts(text, "\n"))  # the inner form would split texts twice, to leave out empty ones first
+    plain = rows.filter(~headed).select(*keys, lines.alias("ordinal", "line")).filter("line IS NOT NULL").withColumn("section", F.lit(opening))
     line = rows.filter(headed).select(*keys, lines.alias("at", "line"))
     so_far = Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     is_heading = F.col("line").startswith("#")

@@ -200,7 +200,7 @@ def split_sql(column: str) -> str:
 )
 def claim_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = document_claims(spark, sf_dir).select(
-        "doc_id", "ordinal", T.claim_logic(F.col("claim")).alias("logic"), F.posexplode(T.split_claim(F.col("claim"))).alias("at", "part")
+        "doc_id", "ordinal", T.claim_logic(F.col("claim")).alias("logic"), F.posexplode_outer(T.split_claim(F.col("claim"))).alias("at", "part")
     )
     return found.select("doc_id", "ordinal", "logic", F.col("at").cast("long").alias("part_index"), "part")
 
