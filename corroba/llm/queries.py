@@ -8,6 +8,7 @@ from corroba.llm.langid import op2_language_id
 from corroba.llm.minhash import op3_near_duplicates
 from corroba.llm.packing import op5_packing
 from corroba.llm.rans import op8_token_ids
+from corroba.llm.resampling import OP12_SQL, op12_importance_resampling
 from corroba.llm.secrets import op9_secrets
 from corroba.llm.token_counts import op7_token_counts
 from corroba.llm.vectors import OP10_SQL, op10_vector_duplicates
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_token_ids": op8_token_ids,
     "op9_secrets": op9_secrets,
     "op10_vector_duplicates": op10_vector_duplicates,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": OP1_SQL,
     "op10_vector_duplicates": OP10_SQL,
+    "op12_importance_resampling": OP12_SQL,
 }
