@@ -7,6 +7,7 @@ from corroba.llm.decontaminate import OP1_SQL, op1_decontamination
 from corroba.llm.langid import op2_language_id
 from corroba.llm.minhash import op3_near_duplicates
 from corroba.llm.packing import op5_packing
+from corroba.llm.phrases import OP13_SQL, op13_phrases
 from corroba.llm.rans import op8_token_ids
 from corroba.llm.resampling import OP12_SQL, op12_importance_resampling
 from corroba.llm.secrets import op9_secrets
@@ -26,10 +27,12 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_vector_duplicates": op10_vector_duplicates,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_phrases": op13_phrases,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": OP1_SQL,
     "op10_vector_duplicates": OP10_SQL,
     "op12_importance_resampling": OP12_SQL,
+    "op13_phrases": OP13_SQL,
 }
