@@ -8,6 +8,7 @@ from corroba.llm.langid import op2_language_id
 from corroba.llm.minhash import op3_near_duplicates
 from corroba.llm.packing import op5_packing
 from corroba.llm.phrases import OP13_SQL, op13_phrases
+from corroba.llm.quality import op11_quality
 from corroba.llm.rans import op8_token_ids
 from corroba.llm.resampling import OP12_SQL, op12_importance_resampling
 from corroba.llm.secrets import op9_secrets
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_token_ids": op8_token_ids,
     "op9_secrets": op9_secrets,
     "op10_vector_duplicates": op10_vector_duplicates,
+    "op11_quality": op11_quality,
     "op12_importance_resampling": op12_importance_resampling,
     "op13_phrases": op13_phrases,
 }
