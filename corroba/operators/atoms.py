@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corroba.functions.text import claim_logic, contains_any, modality, norm, polarity, split_claim
-from corroba.operators.containment import over_shards
+from corroba.operators.containment import first_containing
+from corroba.operators.graph import set_checkpoints
 from corroba.operators.verdicts import judge, verdict
 
 
@@ -255,11 +256,14 @@ def match(atoms: DataFrame, evidence: DataFrame, keys: list[str]) -> DataFrame:
     """atoms (with keys that tell them apart) judged: matcher, hit, result, tier and ids, the
     sorted ids of the evidence that decided, or up to six, in evidence order, of what a lexical atom hits.
 
-    Typed atoms join evidence by kind and value; the anchors of lexical atoms are looked for
-    in evidence values, each distinct anchor once."""
+    Atoms and evidence are made once and kept in the checkpoint folder. Typed atoms join evidence by
+    kind and value; the anchors of lexical atoms are looked for in evidence values, each distinct
+    anchor once, through an index of the values."""
+    set_checkpoints(atoms)
+    evidence = evidence.checkpoint()
     kinds = F.create_map(*(F.lit(x) for p, (k, _) in MATCHERS.items() if k for x in (p, k)))
     matchers = F.create_map(*(F.lit(x) for p, (_, m) in MATCHERS.items() for x in (p, m)))
-    typed = atoms.withColumn("matcher", matchers[F.col("predicate")]).withColumn("kind", kinds[F.col("predicate")])
+    typed = atoms.withColumn("matcher", matchers[F.col("predicate")]).withColumn("kind", kinds[F.col("predicate")]).checkpoint()
     target = F.lower(F.coalesce("object", "subject"))
     pair = F.col("matcher").isin("alias_maps", "alias_first_path")
     enum = F.col("matcher") == "enum_contains"
@@ -276,14 +280,12 @@ def match(atoms: DataFrame, evidence: DataFrame, keys: list[str]) -> DataFrame:
     answers = exact.union(part).groupBy("kind", "value").agg(F.array_sort(F.collect_set("id")).alias("ids"))
     typed = typed.withColumn("value", F.when(F.col("kind").isNotNull(), value)).join(answers, ["kind", "value"], "left")
 
-    words = typed.filter("matcher = 'lexical'").select(F.explode("anchors").alias("word")).distinct()
-    held = evidence.select("ordinal", F.col("id").alias("evidence_id"), "normal")
-    hits = over_shards(words, held, F.contains("normal", F.col("word")))
+    anchored = typed.filter("matcher = 'lexical'").select(*keys, F.explode("anchors").alias("word"))
+    hits = first_containing(evidence.select(F.struct("ordinal", "id").alias("place"), "normal"), "place", "normal", anchored, "word", most=6)
     # six of each word are enough for the first six of an atom
-    by_word = hits.groupBy("word").agg(F.slice(F.array_sort(F.collect_list(F.struct("ordinal", "evidence_id"))), 1, 6).alias("six"))
-    lexical = typed.filter("matcher = 'lexical'").select(*keys, F.explode("anchors").alias("word")).join(by_word, "word")
-    lexical = lexical.groupBy(*keys).agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("six")))), 1, 6).alias("six"))
-    both = typed.join(lexical.select(*keys, F.transform("six", lambda x: x["evidence_id"]).alias("hints")), keys, "left")
+    by_word = hits.groupBy("word").agg(F.collect_list("place").alias("six"))
+    lexical = anchored.join(by_word, "word").groupBy(*keys).agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("six")))), 1, 6).alias("six"))
+    both = typed.join(lexical.select(*keys, F.transform("six", lambda x: x["id"]).alias("hints")), keys, "left")
     found = F.coalesce("ids", "hints", F.array().cast("array<string>"))
     return judge(both.drop("kind", "value").withColumn("ids", found).drop("hints").withColumn("hit", F.size("ids") > 0))
 
@@ -292,7 +294,7 @@ def verdicts(judged: DataFrame, keys: list[str], route: str, verifiable: str) ->
     """A row a claim: verdict, supporting and contradicting (sorted ids), uncertain (whether an
     atom had lexical evidence only), atoms. Whether clauses are joined by or is not looked at."""
     decisive = F.col("tier").isin("exact", "structured_primary")
-    flags = judged.groupBy(*keys, route, verifiable).agg(
+    flags = judged.groupBy(*dict.fromkeys([*keys, route, verifiable])).agg(
         F.bool_or(F.col("result") == "contradicted").alias("c"), F.bool_or((F.col("result") == "supported") & decisive).alias("s"), F.bool_or(F.col("result") == "unresolved").alias("u"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("result") != "contradicted", F.col("ids")))))).alias("supporting"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("result") == "contradicted", F.col("ids")))))).alias("contradicting"),

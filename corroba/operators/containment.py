@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from corroba.operators.graph import set_checkpoints
+
 #: Bytes of a side that is broadcast; a larger one goes in shards.
 BROADCAST_BYTES = 64 << 20
 
@@ -51,6 +53,39 @@ def holding(rows: DataFrame, key: str, text: str, passages: DataFrame, passage_k
     return found.union(short).select(F.col("row_id").alias(key), F.col("passage_id").alias(passage_key))
 
 
+def _grams(text: Column, least: int = 0) -> Column:
+    """The distinct runs of 3 characters; below that (from `least` on) those of fewer, too."""
+
+    def runs(n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
+        return F.filter(every, lambda g: F.length(g) == n)
+
+    kinds = [runs(n) for n in range(max(least, 1), 4)]
+    return F.array_distinct(F.concat(*kinds, *([F.array(F.lit(""))] if least == 0 else [])))
+
+
+def first_containing(rows: DataFrame, key: str, value: str, words: DataFrame, word: str, most: int) -> DataFrame:
+    """word, key: for each distinct word the first `most` rows, by key, whose value contains it.
+
+    An inverted index of the values by runs of three characters: each word is looked up by the one
+    of its runs that fewest values have, and only what that finds is searched. Words of fewer
+    characters are runs themselves. The window's group limit keeps `most` rows of a word before the
+    shuffle. An empty word is in every value; null words and values are in and hold nothing."""
+    set_checkpoints(rows)
+    given = rows.select(F.col(key).alias("row_id"), F.col(value).alias("held")).filter("held IS NOT NULL").checkpoint()
+    asked = words.select(F.col(word).alias("word")).filter("word IS NOT NULL").distinct().checkpoint()
+    shortest = asked.agg(F.min(F.length("word"))).first()[0]
+    index = given.select("row_id", F.explode(_grams(F.col("held"), min(3 if shortest is None else shortest, 3))).alias("gram"))
+    own = F.when(F.length("word") < 3, F.array("word")).otherwise(_grams(F.col("word"), 3))
+    runs = asked.select("word", F.explode(own).alias("gram"))
+    frequency = index.join(runs.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    # a run that no value has finds nothing, as the word itself would
+    rarest = runs.join(frequency, "gram", "left").groupBy("word").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    found = index.join(rarest, "gram").join(given, "row_id").filter(F.contains("held", F.col("word"))).select("word", "row_id")
+    place = F.row_number().over(Window.partitionBy("word").orderBy("row_id"))
+    return found.withColumn("place", place).filter(F.col("place") <= most).select(F.col("word").alias(word), F.col("row_id").alias(key))
+
+
 def first_holding(rows: DataFrame, key: str, words: Column, asked: DataFrame, asked_key: str, anchor: str, most: int, least: int = 4) -> DataFrame:
     """asked_key, key, rank: for each asked key the first `most` rows, by key, one of whose words
     holds one of its anchors. An anchor has `least` characters or more, none of which divides words.

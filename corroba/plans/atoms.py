@@ -156,7 +156,6 @@ def claim_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer's sentence: its atoms against the registry's evidence, and the verdict."""
     claims = sentences(spark, sf_dir).withColumn("n", T.norm("claim")).withColumn("verifiable", classify(F.col("route"), F.col("n"))["verifiable"]).drop("n")
     judged = A.match(A.atomise(claims, REGISTRY), A.evidence_of(spark, REGISTRY), ["claim_id", "atom_index"])
-    found = A.verdicts(judged, ["claim_id"], "route", "verifiable")
-    routes = claims.select("claim_id", "route")
+    found = A.verdicts(judged, ["claim_id", "route"], "route", "verifiable")
     joined = [F.array_join(c, ",").alias(c) for c in ("supporting", "contradicting")]
-    return found.join(routes, "claim_id").select("claim_id", "route", "verdict", *joined, "uncertain", "atoms")
+    return found.select("claim_id", "route", "verdict", *joined, "uncertain", "atoms")

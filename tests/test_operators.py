@@ -202,3 +202,30 @@ def test_segments_carry_their_section(spark):
     rows = [(1, "a\n# One\n\nb\n## \nc\n#Two\nd"), (2, "x\ny # z"), (3, None), (4, ""), (5, "# only")]
     got = sorted((r.id, r.ordinal, r.section, r.line) for r in segments(spark.createDataFrame(rows, "id long, text string")).collect())
     assert got == [(1, 0, "Document", "a"), (1, 1, "One", "b"), (1, 2, "One", "c"), (1, 3, "Two", "d"), (2, 0, "Document", "x"), (2, 1, "Document", "y # z")]
+
+
+def test_first_values_that_contain_a_word(spark):
+    from corroba.operators.containment import first_containing
+
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choice("abcé ") for _ in range(n))
+    values = {i: letters(rng.randrange(14)) for i in range(120)} | {500: None, 501: ""}
+    for shortest in (0, 1, 3):
+        words = [letters(rng.randrange(shortest, 6)) for _ in range(50)] + [None, "abcab", "zzz"]
+        rows, asked = spark.createDataFrame(list(values.items()), "id long, v string"), spark.createDataFrame([(w,) for w in words], "w string")
+        got = sorted((r.w, r.id) for r in first_containing(rows, "id", "v", asked, "w", most=5).collect())
+        assert got == sorted((w, i) for w in {w for w in words if w is not None} for i in sorted(i for i, v in values.items() if v is not None and w in v)[:5])
+    assert first_containing(rows, "id", "v", asked.limit(0), "w", 5).count() == 0
+    assert first_containing(rows.limit(0), "id", "v", asked, "w", 5).count() == 0
+
+
+def test_many_words_meet_many_values_without_all_pairs(spark):
+    """100,000 words and as many values: each word is looked up, no word meets every value."""
+    from corroba.operators.containment import first_containing
+
+    values = spark.range(100_000).selectExpr("id", "concat('value of ', hex(id * 2654435761 % 4294967291), ' here') AS v")
+    words = spark.range(100_000).selectExpr("hex((id + 50000) * 2654435761 % 4294967291) AS w")
+    found = first_containing(values, "id", "v", words, "w", most=6)
+    assert found.filter("id >= 50000").count() >= 50_000
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
