@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from corroba.functions.text import claim_logic, contains_any, modality, norm, polarity, split_claim
 from corroba.operators.containment import first_containing
-from corroba.operators.graph import set_checkpoints
+from corroba.operators.scratch import kept
 from corroba.operators.verdicts import judge, verdict
 
 
@@ -256,14 +256,14 @@ def match(atoms: DataFrame, evidence: DataFrame, keys: list[str]) -> DataFrame:
     """atoms (with keys that tell them apart) judged: matcher, hit, result, tier and ids, the
     sorted ids of the evidence that decided, or up to six, in evidence order, of what a lexical atom hits.
 
-    Atoms and evidence are made once and kept in the checkpoint folder. Typed atoms join evidence by
+    Atoms and evidence are made once and kept. Typed atoms join evidence by
     kind and value; the anchors of lexical atoms are looked for in evidence values, each distinct
     anchor once, through an index of the values."""
-    set_checkpoints(atoms)
-    evidence = evidence.checkpoint()
+    evidence = kept(evidence, "evidence")
     kinds = F.create_map(*(F.lit(x) for p, (k, _) in MATCHERS.items() if k for x in (p, k)))
     matchers = F.create_map(*(F.lit(x) for p, (_, m) in MATCHERS.items() for x in (p, m)))
-    typed = atoms.withColumn("matcher", matchers[F.col("predicate")]).withColumn("kind", kinds[F.col("predicate")]).checkpoint()
+    typed = atoms.withColumn("matcher", matchers[F.col("predicate")]).withColumn("kind", kinds[F.col("predicate")])
+    typed = kept(typed, "atoms")
     target = F.lower(F.coalesce("object", "subject"))
     pair = F.col("matcher").isin("alias_maps", "alias_first_path")
     enum = F.col("matcher") == "enum_contains"

@@ -11,8 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from corroba.operators.graph import set_checkpoints
-
 #: Bytes of a side that is broadcast; a larger one goes in shards.
 BROADCAST_BYTES = 64 << 20
 
@@ -70,10 +68,10 @@ def first_containing(rows: DataFrame, key: str, value: str, words: DataFrame, wo
     An inverted index of the values by runs of three characters: each word is looked up by the one
     of its runs that fewest values have, and only what that finds is searched. Words of fewer
     characters are runs themselves. The window's group limit keeps `most` rows of a word before the
-    shuffle. An empty word is in every value; null words and values are in and hold nothing."""
-    set_checkpoints(rows)
-    given = rows.select(F.col(key).alias("row_id"), F.col(value).alias("held")).filter("held IS NOT NULL").checkpoint()
-    asked = words.select(F.col(word).alias("word")).filter("word IS NOT NULL").distinct().checkpoint()
+    shuffle. An empty word is in every value; null words and values are in and hold nothing. rows and
+    words are read several times: kept() what is dear to make."""
+    given = rows.select(F.col(key).alias("row_id"), F.col(value).alias("held")).filter("held IS NOT NULL")
+    asked = words.select(F.col(word).alias("word")).filter("word IS NOT NULL").distinct()
     shortest = asked.agg(F.min(F.length("word"))).first()[0]
     index = given.select("row_id", F.explode(_grams(F.col("held"), min(3 if shortest is None else shortest, 3))).alias("gram"))
     own = F.when(F.length("word") < 3, F.array("word")).otherwise(_grams(F.col("word"), 3))

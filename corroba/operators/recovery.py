@@ -6,14 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def json_object(raw: Column) -> Column:
-    """The first JSON object (VARIANT) among: the whole text, fenced blocks, and what lies from
-    the first opening to the last closing brace. Null if none parses to an object."""
+def json_text(raw: Column) -> Column:
+    """The first text of a JSON object among: the whole text, fenced blocks, and what lies from the
+    first opening to the last closing brace. Null if none parses; each is only tried if those before fail."""
+
+    def parsing(c: Column) -> Column:  # what begins with a brace is an object, if it parses
+        return F.when(F.btrim(c).startswith("{"), F.when(F.try_parse_json(c).isNotNull(), c))
+
     fenced = F.regexp_extract_all(raw, F.lit(r"(?s)```(?:json)?\s*(\{.*?\})\s*```"), F.lit(1))
-    braces = F.nullif(F.regexp_extract(raw, r"(?s)(\{.*\})", 1), F.lit(""))
-    candidates = F.concat(F.array(raw), fenced, F.array(braces))
-    parsed = F.transform(candidates, lambda c: F.when(F.btrim(c).startswith("{"), F.try_parse_json(c)))
-    return F.try_element_at(F.filter(parsed, lambda v: v.isNotNull() & F.schema_of_variant(v).startswith("OBJECT<")), F.lit(1))
+    in_fence = F.when(F.contains(raw, F.lit("```")), F.try_element_at(F.filter(F.transform(fenced, parsing), lambda x: x.isNotNull()), F.lit(1)))
+    in_braces = F.when(F.contains(raw, F.lit("{")), parsing(F.nullif(F.regexp_extract(raw, r"(?s)(\{.*\})", 1), F.lit(""))))
+    return F.coalesce(parsing(raw), in_fence, in_braces)
+
+
+def json_object(raw: Column) -> Column:
+    """The object of json_text() as VARIANT."""
+    return F.try_parse_json(json_text(raw))
 
 
 def split_ids(note: Column, known: Column) -> tuple[Column, Column]:

@@ -7,14 +7,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corroba.operators import answers as A
-from corroba.plans.registry import query, table
+from corroba.plans.registry import query, spread_table, table
 
 
 def _answers(spark: SparkSession, sf_dir: str, forms: tuple[str, ...]) -> DataFrame:
     """event_id, user_id, raw: {u} in a form is the user's key."""
     form = F.element_at(F.array(*map(F.lit, forms)), (F.col("event_id") % len(forms) + 1).cast("int"))
     raw: Column = F.replace(form, F.lit("{u}"), F.col("user_id").cast("string"))
-    return table(spark, sf_dir, "events").select("event_id", "user_id", raw.alias("raw"))
+    return spread_table(spark, sf_dir, "events", "event_id", "user_id").select("event_id", "user_id", raw.alias("raw"))
 
 
 def _values(rows: list[tuple]) -> str:

@@ -9,7 +9,7 @@ from corroba.functions import text as T
 from corroba.operators import atoms as A
 from corroba.operators.claims import classify
 from corroba.operators.verdicts import RULES
-from corroba.plans.registry import query, table
+from corroba.plans.registry import query, spread_table, table
 from corroba.plans.texts import norm_sql, split_sql
 
 #: The program that the sentences speak of: some of its names are market segments of customers.
@@ -33,7 +33,7 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     template = F.element_at(F.array(*map(F.lit, SENTENCES)), (key % len(SENTENCES) + 1).cast("int"))
     claim = F.replace(F.replace(template, F.lit("{s}"), F.lower("c_mktsegment")), F.lit("{u}"), F.upper("c_mktsegment"))
     route = F.when(turn == 0, "agent").when(turn == 1, "readme").otherwise("general")
-    return table(spark, sf_dir, "customer").select(key.alias("claim_id"), route.alias("route"), claim.alias("claim"))
+    return spread_table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment").select(key.alias("claim_id"), route.alias("route"), claim.alias("claim"))
 
 
 def _texts(values: tuple[str, ...]) -> str:

@@ -10,7 +10,7 @@ from corroba.operators.graph import closure
 from corroba.operators.ignore import IgnoreRules
 from corroba.operators.ranking import greedy_budget
 from corroba.operators.verdicts import first_by
-from corroba.plans.registry import query, table
+from corroba.plans.registry import query, spread_table, table
 
 _SCORES = """SELECT p_partkey AS module, p_name AS name, CAST(4 * coalesce(a, 0) + 3 * coalesce(b, 0) + coalesce(c, 0) + CASE WHEN p_brand = 'Brand#11' THEN 8 ELSE 0 END
       - CASE WHEN p_size < 5 THEN 2 ELSE 0 END AS BIGINT) AS score, p_size < 5 AS is_test, CAST(coalesce(a, 0) AS BIGINT) AS classes, CAST(coalesce(b, 0) AS BIGINT) AS functions, CAST(coalesce(c, 0) AS BIGINT) AS imports
@@ -124,7 +124,7 @@ def greedy_budget_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First fit in rank order: what is over the budget is passed by, later ones may still fit."""
     opening = F.lower(F.left("text", F.lit(400)))
     score = F.when(F.contains(opening, F.lit("the")), 5).otherwise(0) + F.when(F.contains(opening, F.lit("la")), 5).otherwise(0)
-    ranked = table(spark, sf_dir, "documents").select("source", "doc_id", (-score).alias("low"), F.length("text").alias("n"))
+    ranked = spread_table(spark, sf_dir, "documents", "source", "doc_id", "text").select("source", "doc_id", (-score).alias("low"), F.length("text").alias("n"))
     return greedy_budget(ranked, "source", ["low", "doc_id"], "doc_id", "n", most=6, each=1000, total=4200)
 
 
@@ -246,7 +246,7 @@ def json_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     turn, props = F.col("event_id") % 4, F.col("props")
     raw = F.when(turn == 0, props).when(turn == 1, F.concat(F.lit("Notes: "), props, F.lit(" end"))).when(turn == 2, F.expr("left(props, length(props) - 1)")).otherwise("[1, 2]")
-    found = table(spark, sf_dir, "events").select("event_id", json_object(raw).alias("v"))
+    found = spread_table(spark, sf_dir, "events", "event_id", "props").select("event_id", json_object(raw).alias("v"))
     value = F.try_variant_get("v", "$.k", "bigint")
     return found.select("event_id", value.isNotNull().alias("recovered"), F.coalesce(value, F.lit(-1)).alias("k"))
 

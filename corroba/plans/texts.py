@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corroba.functions import text as T
 from corroba.operators.chunking import chunk_id, chunks_of, exploded, pack_blocks
 from corroba.operators.claims import classify, fold_predicates, segment_line, segments
-from corroba.plans.registry import query, table
+from corroba.plans.registry import query, spread_table, table
 
 _WS = r"E' \t\r\n\x0b\x0c'"
 _LINES = f"list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, {_WS})), lambda x: x <> '')"
@@ -96,7 +96,7 @@ _DOC_LINES = f"""SELECT doc_id AS id, i AS pos, b[i] AS txt, CAST(NULL AS VARCHA
 @query(f"WITH RECURSIVE {chunk_sql(_DOC_LINES)} SELECT id AS doc_id, chunk_index, CAST(length(text) AS BIGINT) AS char_count, md5(text) AS digest FROM chunks")
 def greedy_chunks_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = F.transform(T.parts("text", "\n"), lambda x: F.struct(x.alias("text"), F.lit(None).cast("string").alias("hint")))
-    chunks = exploded(table(spark, sf_dir, "documents").select("doc_id", pack_blocks(blocks).alias("chunks")), "doc_id")
+    chunks = exploded(spread_table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", pack_blocks(blocks).alias("chunks")), "doc_id")
     return chunks.select("doc_id", "chunk_index", F.length("text").cast("long").alias("char_count"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
@@ -174,7 +174,7 @@ _SEGMENTS = rf"""SELECT doc_id, source, ordinal, section, {_CLEAN.format(r"regex
 
 def document_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, ordinal, section, claim: the cleaned lines of the documents, without empty ones."""
-    found = segments(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    found = segments(spread_table(spark, sf_dir, "documents", "doc_id", "source", "text"))
     return found.select("doc_id", "source", F.col("ordinal").cast("long").alias("ordinal"), "section", T.clean(segment_line(F.col("line"))).alias("claim")).filter("claim <> ''")
 
 
