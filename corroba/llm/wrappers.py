@@ -8,10 +8,11 @@ meets in one place; a wrapper keeps numbers and digests, no texts.
 
 A page is then read by matching it against its host's wrapper. From the root on, the part that
 holds most of the slot text that is no link is entered, until its text is spread over several
-parts: this is the article. Inside it, parts whose text is the same on all pages are template
-and go. An article or main element tells the same and comes first. What a page alone can't
-tell, as on a host with one page, is judged by element names and, for small parts that are
-marked as such, by words of class, id or role.
+parts: this is the article. Inside it, parts whose text is the same on all pages that have them are
+template and go, if those pages differ elsewhere: copies of a page tell nothing. An article or
+main element tells the same and comes first. Parts that words of class, id or role mark as
+comments, adverts, notices or the like are none of it, however long they are, unless nothing else is
+there.
 """
 
 from __future__ import annotations
@@ -32,16 +33,14 @@ from corroba.llm._common import materialise, slices, table, text_or_empty, tidy
 BROADCAST_BYTES = 32 << 20
 #: Wrappers of a host are first folded in so many groups of tasks.
 SALTS = 64
-#: A part of equal text on all pages that have it is template from so many pages on.
+#: A part of equal text on all pages that have it is template from so many pages of different text on.
 TEMPLATE_PAGES = 3
-#: A part is entered if it has this share of the text, and a marked part is left out below this share.
-MOST, SMALL = 0.6, 0.5
+#: A part is entered if it has this share of the text.
+MOST = 0.6
 #: A part is not entered if running text beside it has more than this share.
 BESIDE_IT = 0.1
 #: Elements nested deeper stand beside each other, as browsers have it; no text is lost.
 LEVELS = 256
-#: Products of lengths up to which two lists of parts are aligned by their longest common sequence; beyond it greedily.
-ALIGNED = 250_000
 #: Parts that an element of a wrapper holds apart; beyond it the rarer ones are one group a tag, whatever
 #: their marks, so that pages with marks of their own don't make a wrapper grow without end.
 WIDEST, ANY = 1000, "*"
@@ -53,7 +52,7 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 RAW = "script|style|textarea|title|noscript|template|iframe|xmp"
-NOT_TEXT = frozenset("head nav footer aside form script style noscript template iframe svg math button select option textarea dialog menu object canvas audio video".split())
+NOT_TEXT = frozenset("head nav footer aside form script style noscript template iframe svg button select option textarea dialog menu canvas audio video".split())
 #: Blocks of running text, and those never entered as containers.
 RUNNING = frozenset("p pre blockquote h3 h4 h5 h6".split())
 TEXT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote li tr td figure".split())
@@ -140,15 +139,16 @@ def is_marked(tag: str, marks: str) -> bool:
 class Part:
     """An element of a wrapper: on how many pages it is; over all pages the length of its text
     that is no link (mass), of that right in it (own) and of that in slots; and the digests of
-    its whole and its own text, None where pages differ."""
+    its whole and its own text, None where pages differ. seen: the smallest digests of the pages that
+    have it, TEMPLATE_PAGES at most, so that pages of one text count as one."""
 
-    __slots__ = ("tag", "marks", "many", "pages", "mass", "digest", "own", "own_digest", "slots", "children", "article")
+    __slots__ = ("tag", "marks", "many", "pages", "mass", "digest", "own", "own_digest", "slots", "children", "article", "seen")
 
-    def __init__(self, tag: str, marks: str, many: bool, pages: int, mass: int, digest: int | None, own: int, own_digest: int | None, children: list[Part]):
-        self.tag, self.marks, self.many, self.pages, self.children = tag, marks, many, pages, children
+    def __init__(self, tag: str, marks: str, many: bool, pages: int, mass: int, digest: int | None, own: int, own_digest: int | None, children: list[Part], seen: tuple[int, ...] = ()):
+        self.tag, self.marks, self.many, self.pages, self.children, self.seen = tag, marks, many, pages, children, seen
         self.mass, self.digest, self.own, self.own_digest = mass, digest, own, own_digest
         # on a single page all text may be slots
-        self.slots = (own if own_digest is None or pages == 1 else 0) + sum(c.slots for c in children) if mass else 0
+        self.slots = (own if own_digest is None or len(seen) <= 1 else 0) + sum(c.slots for c in children) if mass else 0
         self.article = tag in ("article", "main") or any(c.article for c in children)
 
     def key(self) -> tuple[str, str]:
@@ -156,15 +156,26 @@ class Part:
 
     @property
     def template(self) -> bool:
-        return self.digest is not None and self.pages >= TEMPLATE_PAGES
+        return self.digest is not None and len(self.seen) >= TEMPLATE_PAGES
 
 
 def skipped(tag: str) -> bool:
     return tag in NOT_TEXT
 
 
+def page_part(root: Node) -> Part:
+    """The wrapper of one page."""
+    part = part_of(root)
+    seen, todo = (part.digest,), [part]
+    while todo:
+        p = todo.pop()
+        p.seen = seen
+        todo += p.children
+    return part
+
+
 def part_of(node: Node) -> Part:
-    """The wrapper of one page, or of a part of it."""
+    """The wrapper of a part of a page."""
     children: list[Part] = []
     digest, own_digest, mass, own = xxhash.xxh3_64(), xxhash.xxh3_64(), 0, 0
     todo = list(reversed(node.children))
@@ -215,7 +226,8 @@ def merge(a: Part, b: Part, page: bool = False) -> Part:
     else:
         digest, own_digest = (x if x == y else None for x, y in ((a.digest, b.digest), (a.own_digest, b.own_digest)))
     pages = 1 if page else a.pages + b.pages
-    return Part(a.tag, a.marks, a.many or b.many or page, pages, a.mass + b.mass, digest, a.own + b.own, own_digest, narrow(align(a.children, b.children, page)))
+    seen = a.seen if a.seen == b.seen else tuple(sorted({*a.seen, *b.seen})[:TEMPLATE_PAGES])
+    return Part(a.tag, a.marks, a.many or b.many or page, pages, a.mass + b.mass, digest, a.own + b.own, own_digest, narrow(align(a.children, b.children, page)), seen)
 
 
 def narrow(parts: list[Part]) -> list[Part]:
@@ -226,11 +238,35 @@ def narrow(parts: list[Part]) -> list[Part]:
     rest: dict[str, Part] = {}
     for i, p in enumerate(parts):
         if i not in often:
-            p = Part(p.tag, ANY, True, p.pages, p.mass, p.digest, p.own, p.own_digest, p.children)
+            p = Part(p.tag, ANY, True, p.pages, p.mass, p.digest, p.own, p.own_digest, p.children, p.seen)
             rest[p.tag] = merge(rest[p.tag], p) if p.tag in rest else p
     return [p for i, p in enumerate(parts) if i in often] + list(rest.values())
 
 
+def common(a: list, b: list) -> list[tuple[int, int]]:
+    """Places of a longest common sequence. Bits of a number stand for the places of b: after each
+    item of a, a bit is 0 where one more of b makes the sequence longer; then it is read back."""
+    where: dict = {}
+    for y, key in enumerate(b):
+        where[key] = where.get(key, 0) | 1 << y
+    every = (1 << len(b)) - 1
+    rows, bits = [], every
+    for key in a:
+        met = bits & where.get(key, 0)
+        bits = ((bits + met) | (bits - met)) & every
+        rows.append(bits)
+    out, x, y = [], len(a), len(b)
+    while x and y:
+        if rows[x - 1] >> (y - 1) & 1:
+            y -= 1
+        else:
+            x -= 1
+            if not x or rows[x - 1] >> (y - 1) & 1:
+                y -= 1
+                out.append((x, y))
+    return out[::-1]
+
+
 def align(a: list[Part], b: list[Part], page: bool = False) -> list[Part]:
     """Parts of one key in both are merged along a longest common sequence of keys; what only
     one side has stays, and is optional as it is on fewer pages than what holds it."""
@@ -244,45 +280,17 @@ def align(a: list[Part], b: list[Part], page: bool = False) -> list[Part]:
     while n > i and m > j and keys_a[n - 1] == keys_b[m - 1]:
         n, m = n - 1, m - 1
         tail.append(merge(a[n], b[m], page))
-    if (n - i) * (m - j) <= ALIGNED:
-        best = [[0] * (m - j + 1) for _ in range(n - i + 1)]
-        for x in range(n - i - 1, -1, -1):
-            for y in range(m - j - 1, -1, -1):
-                best[x][y] = best[x + 1][y + 1] + 1 if keys_a[i + x] == keys_b[j + y] else max(best[x + 1][y], best[x][y + 1])
-        x = y = 0
-        while x < n - i and y < m - j:
-            if keys_a[i + x] == keys_b[j + y]:
-                out.append(merge(a[i + x], b[j + y], page))
-                x, y = x + 1, y + 1
-            elif best[x + 1][y] >= best[x][y + 1]:
-                out.append(a[i + x])
-                x += 1
-            else:
-                out.append(b[j + y])
-                y += 1
-        out += [*a[i + x : n], *b[j + y : m]]
-    else:
-        where: dict[tuple, list[int]] = {}
-        for y in range(m - 1, j - 1, -1):
-            where.setdefault(keys_b[y], []).append(y)
-        for x in range(i, n):
-            places = where.get(keys_a[x], [])
-            while places and places[-1] < j:
-                places.pop()
-            if places:
-                out += b[j : places[-1]]
-                out.append(merge(a[x], b[places[-1]], page))
-                j = places.pop() + 1
-            else:
-                out.append(a[x])
-        out += b[j:m]
-    return out + tail[::-1]
+    at_a, at_b = i, j
+    for x, y in common(keys_a[i:n], keys_b[j:m]):
+        out += [*a[i : x + at_a], *b[j : y + at_b], merge(a[x + at_a], b[y + at_b], page)]
+        i, j = x + at_a + 1, y + at_b + 1
+    return [*out, *a[i:n], *b[j:m], *tail[::-1]]
 
 
 def infer(pages: Iterable[str]) -> Part | None:
     wrapper = None
     for page in pages:
-        one = part_of(parse(page))
+        one = page_part(parse(page))
         wrapper = one if wrapper is None else merge(wrapper, one)
     return wrapper
 
@@ -292,7 +300,7 @@ def dump(wrapper: Part) -> bytes:
     out, todo = [], [(0, wrapper)]
     while todo:
         level, p = todo.pop()
-        out.append(f"{level}\t{p.tag}\t{p.marks}\t{int(p.many)}\t{p.pages}\t{p.mass}\t{'' if p.digest is None else p.digest}\t{p.own}\t{'' if p.own_digest is None else p.own_digest}")
+        out.append(f"{level}\t{p.tag}\t{p.marks}\t{int(p.many)}\t{p.pages}\t{p.mass}\t{'' if p.digest is None else p.digest}\t{p.own}\t{'' if p.own_digest is None else p.own_digest}\t{' '.join(map(str, p.seen))}")
         todo += [(level + 1, c) for c in reversed(p.children)]
     return "\n".join(out).encode(errors="surrogatepass")
 
@@ -300,19 +308,19 @@ def dump(wrapper: Part) -> bytes:
 def load(raw: bytes) -> Part:
     rows = [x.split("\t") for x in raw.decode(errors="surrogatepass").split("\n")]
     open_: list[list[Part]] = [[]]
-    for level, tag, marks, many, pages, mass, digest, own, own_digest in reversed(rows):  # children before their parents
+    for level, tag, marks, many, pages, mass, digest, own, own_digest, seen in reversed(rows):  # children before their parents
         level = int(level)
         while len(open_) < level + 2:
             open_.append([])
         children, open_[level + 1] = open_[level + 1][::-1], []
-        open_[level].append(Part(tag, marks, many == "1", int(pages), int(mass), int(digest) if digest else None, int(own), int(own_digest) if own_digest else None, children))
+        open_[level].append(Part(tag, marks, many == "1", int(pages), int(mass), int(digest) if digest else None, int(own), int(own_digest) if own_digest else None, children, tuple(map(int, seen.split()))))
     return open_[0][0]
 
 
 def as_expression(part: Part, pages: int | None = None) -> str:
     """The wrapper as a union-free regular expression over tags, for people to read."""
     inner = "".join(as_expression(c, part.pages) for c in part.children)
-    text = "" if not part.own else "#text" if part.own_digest is None or part.pages == 1 else "#same"
+    text = "" if not part.own else "#text" if part.own_digest is None or len(part.seen) <= 1 else "#same"
     body = f"<{part.tag}>{text}{inner}</{part.tag}>"
     group = f"({body})+" if part.many else body
     return f"({group})?" if pages is not None and part.pages < pages else group
@@ -360,10 +368,10 @@ def article(root: Node, wrapper: Part) -> tuple[list[Node], Part, list[tuple[Nod
                 if own is not None and (own.mass > 0 or own.article) and own.tag != "header":
                     groups.setdefault(id(own), (own, []))[1].append(child)
         found = list(groups.values())
-        if wrapper.pages == 1:
-            found = [g for g in found if not is_marked(*g[0].key())] or found
         told = [g for g in found if g[0].article]
-        found = told or found
+        # where other parts have text of their own, what is marked is no way to the article
+        alone = len(wrapper.seen) <= 1
+        found = told or [g for g in found if not is_marked(*g[0].key()) and (alone or g[0].slots)] or found
         slots = any(g[0].slots for g in found)
         measure = (lambda g: (g[0].slots if slots else g[0].mass) / g[0].pages)
         top = max(found, key=lambda g: (not is_marked(*g[0].key()), measure(g)) if told else (True, measure(g)), default=None)
@@ -379,14 +387,14 @@ def article(root: Node, wrapper: Part) -> tuple[list[Node], Part, list[tuple[Nod
     return nodes, part, headings
 
 
-def left_out(part: Part, inside: Part) -> bool:
+def left_out(part: Part, inside: Part, marks_count: bool = True) -> bool:
     """Whether a part inside the article is none of it."""
     if part.tag == "header" and inside.tag in ("#root", "html", "body"):
         return True
     marked = is_marked(*part.key()) or part.tag == "p" and is_marked("div", part.marks)
-    if part.template and inside.digest is None and (marked or part.tag in MARKED and not part.article):
+    if part.template and inside.digest is None and (marked and marks_count or part.tag in MARKED and not part.article):
         return True
-    return is_marked(*part.key()) and part.mass / part.pages < SMALL * inside.mass / inside.pages
+    return marks_count and is_marked(*part.key())
 
 
 def main_text(page: str, wrapper: Part | None) -> str:
@@ -394,7 +402,12 @@ def main_text(page: str, wrapper: Part | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    starts, inside, headings = article(root, wrapper or part_of(root))
+    found = article(root, wrapper or page_part(root))
+    # where all that is there is marked, the marks mean something else
+    return _text_of(*found, True) or _text_of(*found, False)
+
+
+def _text_of(starts: list[Node], inside: Part, headings: list[tuple[Node, Part]], marks_count: bool) -> str:
     blocks: list[str] = []
     held: list[str] = []
 
@@ -416,7 +429,7 @@ def main_text(page: str, wrapper: Part | None) -> str:
             node, part = item
             if node.tag == "br":
                 held.append(" ")
-            elif not skipped(node.tag) and (part is inside or not (is_marked(node.tag, node.marks) if part is None else left_out(part, inside))):
+            elif not skipped(node.tag) and (part is inside or not (marks_count and is_marked(node.tag, node.marks) if part is None else left_out(part, inside, marks_count))):
                 if node.block:
                     close()
                     todo.append(None)
@@ -433,11 +446,16 @@ def host_of(url: str):
 def _inferred(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """host, wrapper: a task's pages folded by host."""
     held: dict[str, Part] = {}
+    met: set[int] = set()
     for batch in slices(batches, 64):
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if page:
-                one = part_of(parse(page))
+            copy = xxhash.xxh3_64_intdigest(f"{host}\n{page}".encode(errors="surrogatepass"))
+            if page and copy not in met:  # copies in one task are one page
+                met.add(copy)
+                one = page_part(parse(page))
                 held[host] = merge(held[host], one) if host in held else one
+        if len(met) > 200_000:
+            met.clear()
         if len(held) > 2000:
             yield _wrappers(held)
             held = {}

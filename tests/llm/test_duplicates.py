@@ -272,9 +272,7 @@ def test_marks_of_their_own_do_not_make_wrappers_grow(monkeypatch):
         assert f"{w} text" in wrappers.main_text(page, wrapper)
 
 
-@pytest.mark.parametrize("limit", [0, 10**9])
-def test_aligned_parts_keep_every_part(monkeypatch, limit):
-    monkeypatch.setattr(wrappers, "ALIGNED", limit)
+def test_aligned_parts_keep_every_part():
     rng = random.Random(3)
     for _ in range(50):
         a, b = ([wrappers.Part(rng.choice("abcd"), "", False, 1, 1, 1, 1, 1, []) for _ in range(rng.randrange(9))] for _ in range(2))
@@ -285,6 +283,79 @@ def test_aligned_parts_keep_every_part(monkeypatch, limit):
             assert all(p.tag in rest for p in side)
 
 
+def test_common_sequences_are_longest():
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = ([rng.choice("abc") for _ in range(rng.randrange(9))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for x in range(len(a)):
+            for y in range(len(b)):
+                best[x + 1][y + 1] = best[x][y] + 1 if a[x] == b[y] else max(best[x][y + 1], best[x + 1][y])
+        found = wrappers.common(a, b)
+        assert all(a[x] == b[y] for x, y in found) and len(found) == best[-1][-1]
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(found, found[1:]))
+    assert len(wrappers.common(list(range(4000)), list(range(1, 4001)))) == 3999
+
+
+@pytest.mark.parametrize("n", [2, 30])
+@pytest.mark.parametrize("holder", ["article", "div"])
+def test_comments_of_any_length_go(n, holder):
+    """Inside the article or beside it, by themselves and with the host's wrapper."""
+    pages, want = [], []
+    for i in range(6):
+        said = "".join(f"<p>Reader {k} of page {i} says that it is so.</p>" for k in range(n))
+        pages.append(f"<html><body><{holder} class='post'><h1>T{i}</h1><p>Text of page {i} is here.</p><p>And {i} more.</p><div class='comments'>{said}</div></{holder}></body></html>")
+        want.append(f"T{i}\nText of page {i} is here.\nAnd {i} more.")
+    wrapper = wrappers.infer(pages)
+    for w in (wrapper, None):
+        assert [wrappers.main_text(p, w) for p in pages] == want
+
+
+def test_comments_larger_than_the_text_are_not_entered():
+    pages = [f"<body><div class='story'><h1>T{i}</h1><p>Words {i} of it.</p></div><section id='comments'>{'<p>say %d</p>' % i * 40}</section></body>" for i in range(5)]
+    wrapper = wrappers.infer(pages)
+    for w in (wrapper, None):
+        assert [wrappers.main_text(p, w) for p in pages] == [f"T{i}\nWords {i} of it." for i in range(5)]
+
+
+def test_what_is_all_marked_stays():
+    assert wrappers.main_text("<article><div class='alert'><p>all there is</p></div></article>", None) == "all there is"
+
+
+def test_repeated_pages_lose_nothing(spark):
+    """Copies of a page are one page: what they have in common is no template."""
+    odd = "<html><body><article><h1>T</h1><p>Intro.</p><ul><li>one</li><li>two</li></ul><table><tr><td>c</td></tr></table><p>End.</p></article></body></html>"
+    others = [f"<html><body><article><h1>T{i}</h1><p>Other text {i}.</p></article></body></html>" for i in range(4)]
+    for copies in (1, 2, 3, 9):
+        assert wrappers.main_text(odd, wrappers.infer([odd] * copies + others)) == "T\nIntro.\none\ntwo\nc\nEnd."
+    rows = [(0, "http://h/0", odd)] * 7 + [(i + 1, f"http://h/{i}", p) for i, p in enumerate(others)]
+    for parts in (1, 6):
+        frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+        assert {r.text for r in wrappers.extract(frame).collect() if not r.page_id} == {"T\nIntro.\none\ntwo\nc\nEnd."}
+
+
+@pytest.mark.parametrize("which", range(5))
+def test_repeating_any_row_changes_no_text(which):
+    pages = [p for p, _ in misleading(5)]
+    once = wrappers.infer(pages)
+    again = wrappers.infer(pages + [pages[which]] * 3)
+    assert [wrappers.main_text(p, again) for p in pages] == [wrappers.main_text(p, once) for p in pages]
+
+
+def test_formulas_stay():
+    page = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be so, <object>or so</object>.</p></article>"
+    assert wrappers.main_text(page, None) == "Let x=2 be so, or so."
+
+
+def test_only_the_wrapper_tells_a_template_without_marks():
+    """Without article, main or words that mark, the notice of all pages goes by the wrapper alone."""
+    pages = [f"<body><div class='a'><section class='b'><p>The same words on all pages.</p></section><p>Own words of page {i}, and of no other.</p><p>Some more, {i}.</p></div></body>" for i in range(5)]
+    wrapper = wrappers.infer(pages)
+    want = [f"Own words of page {i}, and of no other.\nSome more, {i}." for i in range(5)]
+    assert [wrappers.main_text(p, wrapper) for p in pages] == want
+    assert all("same words" in wrappers.main_text(p, None) for p in pages)
+
+
 def test_page_query(spark, sf_dir):
     import html
     import re
