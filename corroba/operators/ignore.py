@@ -54,7 +54,8 @@ def to_regex(pattern: str) -> str:
 
 class IgnoreRules:
     def __init__(self, patterns: Iterable[str]):
-        self.rules = [(to_regex(p.removeprefix("!")), p.startswith("!")) for p in patterns]
+        self.patterns = tuple(patterns)
+        self.rules = [(to_regex(p.removeprefix("!")), p.startswith("!")) for p in self.patterns]
 
     def matches(self, path: Column, is_dir: Column) -> Column:
         """Whether a path is ignored: one chain of conditions, the last pattern first."""

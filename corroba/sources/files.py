@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from corroba.functions import text as T
 from corroba.operators.ignore import IgnoreRules
+from corroba.sources.tree import files_below, opens
 
 # Extensions that documents are ingested from, files that a manifest looks for,
 # files that show what a tree is about, and how much of them is shown.
@@ -62,7 +63,10 @@ def listed(spark: SparkSession, root: str, rules: IgnoreRules | None = None) ->
 
 
 def scan(spark: SparkSession, root: str, rules: IgnoreRules | None = None, names: str | None = None) -> DataFrame:
-    """The files below root whose names match, with their contents; ignored ones are never read."""
+    """The files below root whose names match, with their contents; ignored ones are never read.
+    Directories are listed in tasks; only on file systems that Arrow has not, by the driver."""
+    if opens(root):
+        return files_below(spark, root, rules.patterns if rules else (), names=names)
     base = root.rstrip("/")
     paths = [p for p in listed(spark, root, rules) if names is None or re.search(names, p)]
     if not paths:
