@@ -6,11 +6,14 @@ expressions; what was repaired on the way is told by diagnostic codes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import contextlib
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corroba.functions.text import bound, strip
-from corroba.operators.recovery import json_object
+from corroba.operators.recovery import json_object, json_text
 
 # Which statuses a section's mapping may have, and the order of preference of a fallback.
 _ANY = ("supported", "contradicted", "partially_supported", "unclear", "missing_evidence")
@@ -202,19 +205,35 @@ def _is(field: str, value: str):
     return lambda x: x[field] == value
 
 
+@contextlib.contextmanager
+def repeated_names(spark: SparkSession) -> Iterator[None]:
+    """What is built inside parses objects that repeat a name; else they would be no JSON."""
+    key = "spark.sql.variant.allowDuplicateKeys"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def sections(answers: DataFrame, headings: tuple[str, ...], raw: str = "raw") -> DataFrame:
     """The answers' other columns with place, heading, blocks, recovered and codes, for each required
     heading that got content. Headings are found in any case; content under unknown names fills
     missing headings in order. An answer without JSON is kept as a paragraph under the first
-    heading, and one without content gets a notice there. Names of an object go in the order of
-    its keys' text, as VARIANT keeps them sorted."""
+    heading, and one without content gets a notice there. Names of an object go in the order in which
+    the answer has them; of a name that it repeats the last value holds, at the first's place."""
     keys = [c for c in answers.columns if c != raw]
-    rows = answers.withColumn("v", json_object(F.col(raw)))
+    with repeated_names(answers.sparkSession):
+        rows = answers.withColumn("json", json_text(F.col(raw))).withColumn("v", F.try_parse_json("json"))
     canonical = F.create_map(*(F.lit(x) for h in headings for x in (h.lower(), h)))
-    bodies = [F.try_variant_get("v", f"$.{n}", "variant") for n in ("section_blocks", "section_bodies", "sections")]
-    full = lambda b: F.when(F.startswith(_kind(b), F.lit("ARRAY<")) | F.startswith(_kind(b), F.lit("OBJECT<")), b)
-    rows = rows.withColumn("body", F.coalesce(*map(full, bodies)))
-    by_name = F.transform(F.map_entries(F.try_variant_get("body", "$", "map<string,variant>")), lambda e: F.struct(strip(e["key"]).alias("name"), blocks_of(e["value"]).alias("blocks")))
+    held_in = ("section_blocks", "section_bodies", "sections")
+    says = lambda n: ~F.coalesce(F.to_json(F.try_variant_get("v", f"$.{n}", "variant")), F.lit("null")).isin("{}", "[]", '""', "null", "false", "0")
+    rows = rows.withColumn("held_in", F.coalesce(*(F.when(says(n), F.lit(n)) for n in held_in)))
+    pick = lambda f: F.coalesce(*(F.when(F.col("held_in") == n, f(n)) for n in held_in))
+    rows = rows.withColumn("body", pick(lambda n: F.try_variant_get("v", f"$.{n}", "variant"))).withColumn("names", F.array_distinct(F.json_object_keys(pick(lambda n: F.get_json_object("json", f"$.{n}")))))
+    of_name = F.try_variant_get("body", "$", "map<string,variant>")
+    by_name = bound(of_name, lambda m: F.transform("names", lambda k: F.struct(strip(k).alias("name"), blocks_of(m[k]).alias("blocks"))))
 
     def row(x: Column) -> Column:
         held = F.coalesce(*(F.try_variant_get(x, f"$.{n}", "variant") for n in ("blocks", "section_blocks", "body", "content")))

@@ -229,3 +229,18 @@ def test_many_words_meet_many_values_without_all_pairs(spark):
     assert found.filter("id >= 50000").count() >= 50_000
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_sections_go_in_the_order_of_the_answer(spark):
+    from corroba.operators.answers import sections
+
+    def told(raw):
+        found = sections(spark.createDataFrame([(1, raw)], "id int, raw string"), ("Overview", "Risks"))
+        return [(r.heading, r.blocks[0]["text"]) for r in found.orderBy("place").collect()]
+
+    assert told('{"sections": {"Zeta": "first", "Alpha": "second"}}') == [("Overview", "first"), ("Risks", "second")]
+    assert told('{"sections": {"Zeta": "gone", "Alpha": "second", "Zeta": "last"}}') == [("Overview", "last"), ("Risks", "second")]
+    # empty bodies are passed by; one that is neither object nor list holds nothing
+    assert told('{"section_blocks": {}, "section_bodies": [], "sections": {"risks": "r"}}') == [("Risks", "r")]
+    assert told('{"section_blocks": "text", "sections": {"risks": "r"}}') == [("Overview", "No valid structured section bodies were returned.")]
+    assert spark.conf.get("spark.sql.variant.allowDuplicateKeys") == "false"
