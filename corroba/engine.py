@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import posixpath
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -53,10 +55,28 @@ class Engine:
         return chunks.withColumn("chunk_id", chunk_id(F.col("path"), F.col("chunk_index"), F.col("text"))).withColumn("char_count", F.length("text"))
 
     def discover(self, explicit: tuple[str, ...] = ()) -> DataFrame:
-        """Reference materials, explicit ones and the usual README and instruction files, with what became of each."""
-        files = self.files(ignore=False)
+        """Reference materials, explicit ones and the usual README and instruction files, with what became of each.
+        Explicit paths may have `.` and `..` and may lie outside the root, where they go by their whole path."""
+        files, inside = self._with_references(explicit)
         documents, unparsed = sources.ingest(files)
-        return discovery.with_status(discovery.discover(files, explicit), documents, unparsed)
+        return discovery.with_status(discovery.discover(files, inside), documents, unparsed)
+
+    def _with_references(self, explicit: tuple[str, ...]) -> tuple[DataFrame, tuple[str, ...]]:
+        """(the tree's files and those of explicit paths outside it, the explicit paths as files has them)"""
+        files, root = self.files(ignore=False), posixpath.normpath(re.sub("^file:/*", "/", self.root))
+        asked = []
+        for path in sorted({posixpath.normpath(posixpath.join(root, p)) for p in explicit}):
+            if path == root:
+                asked += [r.path for r in files.filter("depth = 0").select("path").collect()] + [r.path for r in files.filter("depth > 0").select(F.substring_index("path", "/", 1).alias("path")).distinct().collect()]
+            elif path.startswith(f"{root}/"):
+                asked.append(path.removeprefix(f"{root}/"))
+            else:
+                folder, name = posixpath.split(path)
+                found = sources.scan(self.spark, path) if sources.is_folder(path) else sources.scan(self.spark, folder, names=f"^{re.escape(name)}$")
+                base = path if sources.is_folder(path) else folder
+                files = files.unionByName(sources.described(found.select(F.concat(F.lit(f"{base}/"), "path").alias("path"), "content")))
+                asked.append(path)
+        return files, tuple(asked)
 
     def code_summary(self) -> DataFrame:
         return summary(self.code())
@@ -70,14 +90,14 @@ class Engine:
     def evaluate(self, registry: atoms.Registry = atoms.Registry(), explicit: tuple[str, ...] = ()) -> DataFrame:
         """path, ordinal, section, route, claim, verdict and evidence ids of every claim in the reference
         materials, held against the registry, the code facts and the textual evidence."""
-        files = self.files(ignore=False)
+        files, explicit = self._with_references(explicit)
         routes = F.create_map(*(F.lit(x) for name, (_, route) in discovery.KINDS.items() for x in (route, name)))
         texts = discovery.discover(files, explicit).filter("eligible").select("path", routes[F.col("route")].alias("route"))
         texts = texts.join(sources.ingest(files)[0].select("path", F.col("raw_text").alias("text")), "path")
         claims = segments(texts).withColumn("claim", T.clean(segment_line(F.col("line")))).filter("claim <> ''").drop("line")
         # the normal form is a column of its own, so that it is made once
         claims = claims.withColumn("normal", T.norm("claim")).withColumn("verifiable", classify(F.col("route"), F.col("normal"))["verifiable"]).drop("normal")
-        manifest = files.filter("depth = 0").select("path")
+        manifest = self.files(ignore=False).filter("depth = 0").select("path")
         evidence = atoms.evidence_of(self.spark, registry, self.code(), manifest, self.evidence())
         keys = ["path", "ordinal"]
         judged = atoms.match(atoms.atomise(claims, registry), evidence, [*keys, "atom_index"])

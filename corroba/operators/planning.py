@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 
 def under(path: Column, prefix: str) -> Column:
-    """Whether a path is the prefix or lies below it; an empty prefix holds nothing."""
-    clean = prefix.replace("\\", "/").strip("/")
-    return F.lit(False) if not clean else (path == clean) | path.startswith(clean + "/")
+    """Whether a path is the prefix or lies below it; an empty prefix holds nothing. A prefix from the
+    file system's root holds whole paths, too, beside those that begin at the tree's root."""
+    whole = prefix.replace("\\", "/").rstrip("/")
+    out = F.lit(False)
+    for clean in {whole.strip("/"), whole} - {""}:
+        out = out | (path == clean) | path.startswith(clean + "/")
+    return out
 
 
 def under_any(path: Column, prefixes: tuple[str, ...]) -> Column:

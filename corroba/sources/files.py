@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from corroba.functions import text as T
 from corroba.operators.ignore import IgnoreRules
-from corroba.sources.tree import files_below, opens
+from corroba.sources.tree import files_below, is_folder, opens  # noqa: F401
 
 # Extensions that documents are ingested from, files that a manifest looks for,
 # files that show what a tree is about, and how much of them is shown.

@@ -204,6 +204,13 @@ def opens(root: str) -> bool:
     return True
 
 
+def is_folder(root: str) -> bool:
+    from pyarrow import fs
+
+    tree = _Tree(root, [])
+    return tree.system.get_file_info(tree.base or "/").type == fs.FileType.Directory
+
+
 def registered(spark: SparkSession) -> None:
     """Gives the session the source, and workers this package from where the driver has it unless --py-files brings it."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
