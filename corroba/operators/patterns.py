@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corroba.operators.workers import know_package
+
 #: Bytes of patterns that one automaton has; more go in shards, each a pass over the texts.
 SHARD_BYTES = 8 << 20
 _built: dict[str, tuple] = {}
@@ -52,6 +54,7 @@ def _scan(batches: Iterable[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
 def with_hits(rows: DataFrame, text: Column, patterns: list[str]) -> DataFrame:
     """All columns of rows with hits: the numbers of the patterns (a short list, from 0) that occur in
     the text, ascending. A null text has none; an empty pattern is in every text."""
+    know_package(rows.sparkSession)
     sent = rows.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, list(patterns)))
     given = rows.select(F.struct("*").alias("row"), text.alias("text"))
     schema = given.select("row", F.lit(None).cast("array<int>").alias("hits")).schema
@@ -67,6 +70,7 @@ def occurrences(rows: DataFrame, key: str, text: Column, patterns: DataFrame, pa
     given = rows.select(F.col(key).alias("row"), text.alias("text"))
     kinds = f"row {rows.schema[key].dataType.simpleString()}, hits array<int>"
     out = None
+    know_package(rows.sparkSession)
     for shard in range(shards):
         part = [(r.id, r.p) for r in known.filter(F.pmod(F.xxhash64("id", "p"), F.lit(shards)) == shard).collect()]  # about shard_bytes
         sent = rows.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [p for _, p in part]))

@@ -13,13 +13,13 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from corroba.functions.values import MANAGED
+from corroba.operators.workers import know_package
 
 #: What the sink keeps of its last commit, and the index that it writes.
 LEDGER, INDEX = ".pages.json", "README.md"
@@ -130,7 +130,7 @@ class PageWriter(DataSourceArrowWriter):
 def save_pages(pages: DataFrame, root: str, overwrite: bool = True, index: bool = True, title: str = "Pages") -> None:
     """Writes pages (path, page) below a folder that the driver and all executors share, all or none."""
     spark = pages.sparkSession
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    know_package(spark)
     spark.dataSource.register(PageSink)
     rows = pages.select(pages["path"].cast("string").alias("path"), pages["page"].cast("string").alias("page"))
     rows.write.format("pages").mode("overwrite" if overwrite else "append").option("index", str(index).lower()).option("title", title).save(root)

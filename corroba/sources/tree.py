@@ -15,13 +15,13 @@ import re
 import subprocess
 from collections.abc import Iterator
 from dataclasses import dataclass
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from corroba.operators.ignore import IgnoreRules
+from corroba.operators.workers import know_package
 
 SCHEMA = "path string, parent string, name string, depth int, extension string, size_bytes long, content binary"
 CHANGES = "path string, commit string, change string, content binary"
@@ -212,8 +212,7 @@ def is_folder(root: str) -> bool:
 
 
 def registered(spark: SparkSession) -> None:
-    """Gives the session the source, and workers this package from where the driver has it unless --py-files brings it."""
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    know_package(spark)
     spark.dataSource.register(SourceTree)
 
 
