@@ -212,13 +212,26 @@ def test_quality_of_held_out_texts(spark, learned):
     assert sum(found[i].predicted == y for i, _, y in rows) >= 196
 
 
-def test_quality_reads_whole_texts(spark, learned):
-    """Junk at the end of a long text tells, whatever stands before it and however it is cut into portions."""
+def test_scores_against_the_network_by_hand(learned):
+    """Every chunk of a text counts, the last as the first, however it is cut into portions."""
     network, _, _ = learned
-    clean = " ".join(t for _, t, y in labelled(900, 3) if y)
-    tail = " ".join(t for _, t, y in labelled(60, 4) if not y)
-    with_tail, alone = network.scores([(clean + " " + tail).encode(), clean.encode()])
-    assert alone > 0.9 and 1 - with_tail > 3 * (1 - alone)  # it never saw so long a text
+    filters, bias, dense, dense_bias, last, last_bias = (w.astype(np.float64) for w in network.weights)
+
+    def by_hand(text):
+        vectors = []
+        for at in quality.starts_of(len(text)):
+            codes = [*text[at : at + 261], *[256] * 261][:261]
+            response = [sum(filters[w][codes[i + w]] for w in range(6)) for i in range(256)]
+            peaks = np.maximum([np.max(response[k : k + 64], 0) + bias for k in range(0, 256, 64)], 0)
+            vectors.append(np.concatenate([peaks.max(0), peaks.min(0)]))
+        pooled = np.concatenate([np.max(vectors, 0), np.mean(vectors, 0), np.min(vectors, 0), [quality.size_feature(len(text))]])
+        return 1 / (1 + np.exp(-(np.tanh(pooled @ dense + dense_bias) @ last + last_bias[0] + network.offset)))
+
+    clean = " ".join(t for _, t, y in labelled(60, 3) if y)
+    tail = " ".join(t for _, t, y in labelled(20, 4) if not y)
+    texts = [x.encode() for x in ("", "x", "short text", clean, tail, clean + " " + tail, tail + " " + clean)]
+    assert np.allclose(network.scores(texts), [by_hand(t) for t in texts], atol=2e-3)
+    assert network.scores(texts[5:6])[0] < network.scores(texts[3:4])[0]  # for the end alone
 
 
 def test_scores_do_not_depend_on_company(learned):
