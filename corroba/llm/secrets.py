@@ -51,6 +51,8 @@ BASE = ("assign", "access", "hex")
 
 #: Strings that a part of an expression is spelled out into, and their characters, at most; beyond it nothing is asked across its end.
 SPELLED, SPELLED_CHARS = 128, 64
+#: Places of a segment whose trigrams are looked up at a time: a worker holds about 24 bytes for each.
+STEP = 1 << 19
 _LOWER = bytes(c | 0x20 if 0x41 <= c <= 0x5A else c for c in range(256))
 #: Letters that other than A-Z and a-z match if Unicode's case is ignored.
 _FOLDED = frozenset("iksIKS")
@@ -156,8 +158,8 @@ class Segment:
         self.asked, self.rows = asked, len(texts)
         self.postings = np.zeros((len(asked), len(texts)), bool)
         ends = np.cumsum([len(t) + 2 for t in texts])
-        for at in range(0, max(0, len(raw) - 2), 1 << 22):
-            part = raw[at : at + (1 << 22) + 2].astype(np.int32)
+        for at in range(0, max(0, len(raw) - 2), STEP):
+            part = raw[at : at + STEP + 2].astype(np.int32)
             which = wanted[part[:-2] << 16 | part[1:-1] << 8 | part[2:]]
             found = np.flatnonzero(which >= 0)
             self.postings[which[found], np.searchsorted(ends, found + at, "right")] = True
@@ -188,6 +190,24 @@ def matches(rule: Rule, compiled: re.Pattern, text: str) -> list[tuple[int, int]
 SPANS = "array<struct<kind:string,start:int,stop:int>>"
 
 
+def _scanned(batches: Iterable[pa.RecordBatch], place: int, rules: tuple[Rule, ...], queries: list[Query]) -> Iterator[tuple[pa.RecordBatch, dict[int, str], list[list[tuple]]]]:
+    """Small batches of rows (in their first column, the text in the field at `place`) with the texts
+    that were searched, by row, and each row's spans: start, number of the rule, stop, sorted."""
+    compiled = [re.compile(r.pattern) for r in rules]
+    asked, wanted = index_of(queries)
+    for batch in slices(batches, 256):
+        raw = as_bytes(field_or_empty(batch.column(0), place))
+        segment = Segment(raw, asked, wanted)
+        texts: dict[int, str] = {}
+        found: list[list[tuple]] = [[] for _ in raw]
+        for k, (rule, query) in enumerate(zip(rules, queries)):
+            for i in segment.candidates(query):
+                if i not in texts:
+                    texts[i] = raw[i].decode()
+                found[i] += [(a, k, b) for a, b in matches(rule, compiled[k], texts[i])]
+        yield batch, texts, [sorted(x) for x in found]
+
+
 def find_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """All columns of docs (in `doc`) and `secrets`: kind, start and stop (code points, stop
     exclusive) by start, then in the order of the rules.
@@ -200,50 +220,43 @@ def find_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
     place = docs.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = [re.compile(r.pattern) for r in rules]
-        asked, wanted = index_of(queries)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
-        for batch in slices(batches, 256):
-            raw = as_bytes(field_or_empty(batch.column(0), place))
-            segment = Segment(raw, asked, wanted)
-            texts: dict[int, str] = {}
-            found: list[list[tuple]] = [[] for _ in raw]
-            for k, (rule, query) in enumerate(zip(rules, queries)):
-                for i in segment.candidates(query):
-                    if i not in texts:
-                        texts[i] = raw[i].decode()
-                    found[i] += [(a, k, b) for a, b in matches(rule, compiled[k], texts[i])]
-            rows = [[{"kind": rules[k].kind, "start": a, "stop": b} for a, k, b in sorted(x)] for x in found]
+        for batch, _, found in _scanned(batches, place, rules, queries):
+            rows = [[{"kind": rules[k].kind, "start": a, "stop": b} for a, k, b in x] for x in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=["doc", "secrets"])
 
     given = docs.select(F.struct("*").alias("doc"))
     return given.mapInArrow(lambda b: tidy(run(b)), given.withColumn("secrets", F.lit(None).cast(SPANS)).schema)
 
 
+def _without(text: str, spans: list[tuple], rules: tuple[Rule, ...], mark: str) -> str:
+    out, at = [], 0
+    for start, k, stop in spans:
+        if start >= at:
+            out += [text[at:start], mark.format(kind=rules[k].kind)]
+        at = max(at, stop)
+    return "".join([*out, text[at:]])
+
+
 def redact(docs: DataFrame, mark: str = "[{kind}]") -> DataFrame:
     """docs with each span of a secret replaced by its mark; overlapping spans are replaced as
-    one, under the first's kind. n_chars, where there is one, is the new text's."""
-
-    @F.pandas_udf("string")
-    def without(texts, secrets):
-        def one(text, spans):
-            if text is None:
-                return None
-            out, at = [], 0
-            for s in spans:
-                if s["start"] >= at:
-                    out += [text[at : s["start"]], mark.format(kind=s["kind"])]
-                at = max(at, s["stop"])
-            return "".join([*out, text[at:]])
-
-        return texts.combine(secrets, one)
-
-    found = find_secrets(docs)
-    text = F.when(F.size("secrets") > 0, without("doc.text", "secrets")).otherwise(F.col("doc.text"))
-    out = found.select("doc", text.alias("new_text"))
-    columns = {"text": F.col("new_text")}
+    one, under the first's kind. n_chars, where there is one, is the new text's.
+
+    Texts are searched and replaced in the same worker; only those that change come back beside
+    their rows."""
+    small_batches(docs.sparkSession)
+    rules, queries, place = RULES, [trigram_query(r.pattern) for r in RULES], docs.columns.index("text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts, found in _scanned(batches, place, rules, queries):
+            new = [_without(texts[i], spans, rules, mark) if spans else None for i, spans in enumerate(found)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string())], names=["doc", "new_text"])
+
+    given = docs.select(F.struct("*").alias("doc"))
+    out = given.mapInArrow(lambda b: tidy(run(b)), given.withColumn("new_text", F.lit(None).cast("string")).schema)
+    columns = {"text": F.coalesce("new_text", "doc.text")}
     if "n_chars" in docs.columns:
-        changed = ~F.col("new_text").eqNullSafe(F.col("doc.text"))
+        changed = F.col("new_text") != F.col("doc.text")
         columns["n_chars"] = F.when(changed, F.length("new_text")).otherwise(F.col("doc.n_chars")).cast(docs.schema["n_chars"].dataType)
     return out.select(*(columns.get(c, F.col(f"doc.{c}")).alias(c) for c in docs.columns))
 
