@@ -1,14 +1,22 @@
-"""Tables of few partitions for work that is dear row by row."""
+"""Tables of few or uneven partitions for work that is dear row by row."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows that a task gets, about; where rows are dear, some ten seconds of work.
+ROWS = 100_000
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """rows, a scan with narrow steps only, over all cores if it has fewer partitions: a small file is one
-    partition, however many cores wait. Tables of more partitions stay as they are. Select the
-    columns that are wanted before."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    partitions = rows._jdf.queryExecution().toRdd().getNumPartitions()  # of a scan: nothing is run
-    return rows.repartition(cores) if 0 < partitions < cores else rows
+    """rows, a scan with narrow steps only, in tasks of about ROWS rows and over all cores at least. The
+    number of a file's partitions tells nothing: its rows lie in a few groups that can't be cut, all in
+    one of the partitions maybe. So rows are counted by partition (of a scan: from the footers, no
+    column is read), and stay where they are if no partition has more than twice its share. Select
+    the columns that are wanted before."""
+    counted = rows.groupBy(F.spark_partition_id()).count().agg(F.max("count").alias("largest"), F.sum("count").alias("all")).first()
+    if not counted["all"]:
+        return rows
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-counted["all"] // ROWS))
+    return rows.repartition(tasks) if counted["largest"] > 2 * -(-counted["all"] // tasks) else rows

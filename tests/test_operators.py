@@ -244,3 +244,23 @@ def test_sections_go_in_the_order_of_the_answer(spark):
     assert told('{"section_blocks": {}, "section_bodies": [], "sections": {"risks": "r"}}') == [("Risks", "r")]
     assert told('{"section_blocks": "text", "sections": {"risks": "r"}}') == [("Overview", "No valid structured section bodies were returned.")]
     assert spark.conf.get("spark.sql.variant.allowDuplicateKeys") == "false"
+
+
+def test_spread_tasks_do_not_grow_with_the_table(spark, tmp_path, monkeypatch):
+    """A file of one row group has all its rows in one partition, however many its bytes come to."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from corroba.operators import spread
+
+    monkeypatch.setattr(spread, "ROWS", 500)
+    sizes = {}
+    for n in (4_000, 24_000):
+        pq.write_table(pa.table({"id": list(range(n)), "text": [f"{i * 7919 % n} of {n}" for i in range(n)]}), tmp_path / f"{n}.parquet")
+        rows = spread.spread(spark.read.parquet(str(tmp_path / f"{n}.parquet")).select("id"))
+        each = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+        assert sorted(r.id for r in rows.collect()) == list(range(n))
+        sizes[n] = max(each)
+    assert max(sizes.values()) <= 2 * 500
+    even = spark.range(0, 4_000, 1, 8)
+    assert spread.spread(even) is even and spread.spread(spark.range(0)).count() == 0
