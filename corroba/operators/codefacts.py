@@ -212,7 +212,11 @@ def select_facts(modules: DataFrame, symbols: DataFrame, imports: DataFrame, ent
         return ranked.filter(F.col("place") <= F.col(f"n_{name}"))
 
     starting = entrypoints.select("module_name").distinct().withColumn("starts", F.lit(True))
-    offered = modules.join(starting, "module_name", "left").join(of, (section != "overview") | ~F.col("is_test"))
+    known = modules.join(starting, "module_name", "left")
+    # modules alike in what sections tell apart stand in one order in all of them: their first ones are enough, and what is sorted is not yet repeated for each section
+    alike = Window.partitionBy("starts", "is_test").orderBy(F.desc("score"), "module_name")
+    known = known.withColumn("r", F.row_number().over(alike)).filter(F.col("r") <= max(b[1] for b in budgets)).drop("r")
+    offered = known.join(of, (section != "overview") | ~F.col("is_test"))
     unstarted = runtime & F.col("starts").isNull()
     chosen = first(offered, "modules", unstarted, F.col("is_test") & (runtime | (section == "code_structure")), F.desc("score"), "is_test", "module_name")
     own = F.broadcast(chosen.select("section", *(f"n_{n}" for n in names[1:]), "module_name", F.coalesce("starts", F.lit(False)).alias("starts")))  # as many rows as the budgets allow
@@ -220,7 +224,8 @@ def select_facts(modules: DataFrame, symbols: DataFrame, imports: DataFrame, ent
     found = {"modules": chosen.select("section", "place", "module_name")}
     shown = first(symbols.join(own, "module_name"), "symbols", ~F.col("is_public"), "module_name", "lineno", "symbol_name")
     found["symbols"] = shown.select("section", "place", "module_name", "symbol_name", "lineno")
-    edges = imports.withColumnRenamed("source_module", "module_name").join(own, "module_name")
+    # Spark takes a semi join, but no inner one, below a distinct of the imports: few are left to be compared
+    edges = imports.withColumnRenamed("source_module", "module_name").join(own.select("module_name"), "module_name", "left_semi").join(own, "module_name")
     found["imports"] = first(edges, "imports", "module_name", "imported_module", "relative").select("section", "place", F.col("module_name").alias("source_module"), "imported_module", "relative")
     # the budget counts labels in order; only then the runtime section puts apps and guards first
     kept = first(entrypoints.join(own, "module_name"), "entrypoints", "label")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from corroba.operators.patterns import with_hits
 from corroba.operators.ranking import greedy_budget
+from corroba.operators.spread import spread
 
 
 @dataclass(frozen=True)
@@ -62,14 +63,18 @@ MATERIALS, LISTED = 10, 200
 CHUNK = ["path", "chunk_index", "chunk_id"]
 
 
-def relevance(chunks: DataFrame, sections: tuple[Section, ...] = SECTIONS) -> DataFrame:
+def relevance(chunks: DataFrame, sections: tuple[Section, ...] = SECTIONS, scanned: bool = False) -> DataFrame:
     """path, chunk_index, chunk_id, n (characters), section, score: every chunk (with text and
     section_hint) for every section. Keywords are looked for in path, hint and the text's first
-    LOOKED_AT characters, in lower case, as parts of words, too; each counts once."""
+    LOOKED_AT characters, in lower case, as parts of words, too; each counts once.
+
+    scanned: whether chunks are a scan with narrow steps only; they are then dealt to tasks of a bounded
+    number of rows, as each comes to a row a section, which rankings sort in their tasks."""
     words = sorted({k for s in sections for k in s.keywords})
     hint = F.lower(F.coalesce("section_hint", F.lit("")))
     looked_at = F.concat_ws(" ", F.lower("path"), hint, F.lower(F.left("text", F.lit(LOOKED_AT))))
     given = chunks.select(*CHUNK, F.length("text").cast("long").alias("n"), F.replace(hint, F.lit("-"), F.lit("_")).alias("hint"), looked_at.alias("looked_at"))
+    given = spread(given) if scanned else given
     found = with_hits(given.select(*CHUNK, "n", "hint", "looked_at"), F.col("looked_at"), words).drop("looked_at")
 
     def score(s: Section) -> Column:
@@ -80,11 +85,11 @@ def relevance(chunks: DataFrame, sections: tuple[Section, ...] = SECTIONS) -> Da
     return found.select(*CHUNK, "n", F.explode(F.array(*map(score, sections))).alias("s")).select(*CHUNK, "n", "s.section", "s.score")
 
 
-def selected(chunks: DataFrame, sections: tuple[Section, ...] = SECTIONS) -> DataFrame:
+def selected(chunks: DataFrame, sections: tuple[Section, ...] = SECTIONS, scanned: bool = False) -> DataFrame:
     """section, place, total, path, chunk_index, chunk_id: what each section's budget takes of its ranking:
-    relevance, then path, index and id."""
+    relevance, then path, index and id. scanned: as relevance() has it."""
     of = lambda value: F.create_map(*(F.lit(x) for s in sections for x in (s.name, value(s))))[F.col("section")]
-    ranked = relevance(chunks, sections).select("section", (-F.col("score")).alias("low"), *CHUNK, F.struct(*CHUNK).alias("chunk"), "n")
+    ranked = relevance(chunks, sections, scanned).select("section", (-F.col("score")).alias("low"), *CHUNK, F.struct(*CHUNK).alias("chunk"), "n")
     picked = greedy_budget(ranked, "section", ["low", *CHUNK], "chunk", "n", of(lambda s: s.most), of(lambda s: s.each), of(lambda s: s.total), largest=max(s.most for s in sections))
     return picked.select("section", "place", "total", "chunk.*")
 
@@ -144,10 +149,13 @@ def chunk_lines(chunks: DataFrame, taken: DataFrame, sections: tuple[Section, ..
 
 
 def material_lines(materials: DataFrame, sections: tuple[Section, ...], most: int = MATERIALS) -> DataFrame:
-    """The first materials (route, ordinal, source_path, section_hint, excerpt) of each section's route."""
-    names = F.create_map(*(F.lit(x) for s in sections if s.route for x in (s.route, s.name)))
-    place = F.row_number().over(Window.partitionBy("section").orderBy("ordinal"))
-    first = materials.withColumn("section", names[F.col("route")]).filter("section IS NOT NULL").withColumn("place", place).filter(F.col("place") <= most)
+    """The first materials (route, ordinal, source_path, section_hint, excerpt) of each section's route. Each
+    route's are chosen by a limit, which keeps `most` rows a task; a window would sort all with their texts."""
+    routed = [s for s in sections if s.route]
+    if not routed:
+        return materials.select(F.lit("").alias("section"), F.lit(0).alias("a"), F.lit("").alias("b"), F.lit("").alias("line")).filter(F.lit(False))
+    each = [materials.filter(F.col("route") == s.route).orderBy("ordinal").limit(most).withColumn("section", F.lit(s.name)) for s in routed]
+    first = reduce(DataFrame.unionByName, each).withColumn("place", F.row_number().over(Window.partitionBy("section").orderBy("ordinal")))
     line = F.concat(F.lit("## item "), F.col("place").cast("string"), F.lit("\nsource: "), "source_path", F.lit("\nhint: "), F.coalesce("section_hint", F.lit("(none)")), F.lit("\n"), "excerpt")
     return first.select("section", F.col("place").alias("a"), F.lit("").alias("b"), line.alias("line"))
 
@@ -159,14 +167,15 @@ def source_lines(sources: DataFrame, sections: tuple[Section, ...], most: int =
     return for_all(first.union(rest), sections)
 
 
-def prompts(chunks: DataFrame, facts: DataFrame, evidence: DataFrame, sources: DataFrame, code: dict[str, DataFrame], materials: DataFrame, sections: tuple[Section, ...] = SECTIONS) -> DataFrame:
+def prompts(chunks: DataFrame, facts: DataFrame, evidence: DataFrame, sources: DataFrame, code: dict[str, DataFrame], materials: DataFrame, sections: tuple[Section, ...] = SECTIONS, scanned: bool = False) -> DataFrame:
     """section, prompt. chunks: path, chunk_index, chunk_id, text, section_hint; facts: place, line; evidence:
     section, place, category, path, line_count, excerpt (as authoritative() chooses); sources: path,
     extension, size_bytes; code: tables of section, place and line, by name, in the order in which
-    they are shown; materials: route, ordinal, source_path, section_hint, excerpt. Any may be empty."""
+    they are shown; materials: route, ordinal, source_path, section_hint, excerpt. Any may be empty.
+    scanned: as relevance() has it."""
     head = lambda text: {s.name: text for s in sections}
     shown = F.concat(F.lit("## "), "category", F.lit(": "), "path", F.lit("\nlines: "), F.col("line_count").cast("string"), F.lit("\n"), "excerpt")
-    taken = selected(chunks, sections)
+    taken = selected(chunks, sections, scanned)
     blocks = [
         Block({s.name: task(s) for s in sections}, none=""),
         Block(head("[FACTS OF THE SCAN]"), for_all(facts.select(F.col("place").alias("a"), F.lit("").alias("b"), "line"), sections), "(none)"),

@@ -80,6 +80,9 @@ def authoritative(evidence: DataFrame, sections: tuple[str, ...]) -> DataFrame:
     config_first = section.isin("overview", "code_structure") & (category != "package_config")
     tests_last = section.isin("architecture", "code_structure", "runtime_entrypoints") & (category == "test_file")
     by_category = F.when(~section.isin("overview", "code_structure"), category)
+    # within a category all sections go by path: its first ones are enough, and what is sorted is not yet repeated for each section
+    in_category = F.row_number().over(Window.partitionBy("category").orderBy("path"))
+    usable = usable.withColumn("r", in_category).filter(F.col("r") <= max(EVIDENCE.values())).drop("r")
     offered = usable.join(most, F.lit(True))
     place = F.row_number().over(Window.partitionBy("section").orderBy(config_first, tests_last, by_category, "path"))
     found = offered.withColumn("place", place).filter(F.col("place") <= max(EVIDENCE.values()))

@@ -53,12 +53,12 @@ def _sql_of(sections: tuple[P.Section, ...]) -> str:
 @query(f"WITH RECURSIVE {_sql_of(SECTIONS)} SELECT section, doc_id, CAST(score AS BIGINT) AS score FROM scored")
 def chunk_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document for every section: keywords in path, hint and opening, one pass for all of them."""
-    return P.relevance(_chunks(spark, sf_dir), SECTIONS).select("section", F.col("chunk_index").alias("doc_id"), "score")
+    return P.relevance(_chunks(spark, sf_dir), SECTIONS, scanned=True).select("section", F.col("chunk_index").alias("doc_id"), "score")
 
 
 @query(f"WITH RECURSIVE {_sql_of(SECTIONS)} SELECT section, place, total, doc_id FROM taken")
 def section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.selected(_chunks(spark, sf_dir), SECTIONS).select("section", "place", "total", F.col("chunk_index").alias("doc_id"))
+    return P.selected(_chunks(spark, sf_dir), SECTIONS, scanned=True).select("section", "place", "total", F.col("chunk_index").alias("doc_id"))
 
 
 def _text(value: str) -> str:
@@ -122,4 +122,4 @@ def section_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(role == "user", "general_reference_alignment").when(role == "assistant", "agent_instruction_alignment").otherwise("nothing").alias("route"), F.struct("conv_id", "turn").alias("ordinal"),
         F.concat(F.lit("conversation "), F.col("conv_id").cast("string")).alias("source_path"), F.col("turn").cast("string").alias("section_hint"), F.col("text").alias("excerpt"),
     )
-    return P.prompts(_chunks(spark, sf_dir), facts, evidence, sources, code, materials, SECTIONS)
+    return P.prompts(_chunks(spark, sf_dir), facts, evidence, sources, code, materials, SECTIONS, scanned=True)

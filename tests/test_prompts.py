@@ -121,3 +121,43 @@ def test_prompts_show_what_budgets_allow(spark):
     order = ["[TASK", "[FACTS", "[EVIDENCE", "[REFERENCES]", "[MODULES", "[SYMBOLS", "[ANSWER]", "[REFERENCE CHUNKS", "[MATERIAL"]
     at = [readme.index(x) for x in order]
     assert at == sorted(at)
+
+
+def test_tasks_rank_few_rows_whatever_the_tables_size(spark, tmp_path, monkeypatch):
+    """What a task sorts: a bounded number of chunks, modules and evidence before they are repeated for
+    sections, imports of shown modules only, and no materials."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from corroba.operators import spread
+    from corroba.operators.codefacts import select_facts
+    from corroba.operators.rendering import authoritative
+
+    monkeypatch.setattr(spread, "ROWS", 100)
+    n = 4_000
+    pq.write_table(pa.table({"path": ["a.md"] * n, "chunk_index": list(range(n)), "chunk_id": [str(i) for i in range(n)], "text": [f"overview {i}" for i in range(n)], "section_hint": [None] * n}, pa.schema([("path", "string"), ("chunk_index", "int64"), ("chunk_id", "string"), ("text", "string"), ("section_hint", "string")])), tmp_path / "c.parquet")
+    chunks = spark.read.parquet(str(tmp_path / "c.parquet"))
+    ranked = P.relevance(chunks, scanned=True)
+    assert max(r["count"] for r in ranked.groupBy(F.spark_partition_id()).count().collect()) <= 2 * 100 * len(P.SECTIONS)
+    assert ranked.exceptAll(P.relevance(chunks)).count() == 0 and ranked.count() == n * len(P.SECTIONS)
+
+    def plan(rows):
+        return rows._jdf.queryExecution().optimizedPlan().toString()
+
+    def depth(text, mark):
+        return min(len(line) - len(line.lstrip(" :+-")) for line in text.splitlines() if mark in line)
+
+    materials = spark.createDataFrame([("general_reference_alignment", i, "p", None, f"t{i}") for i in range(30)], "route string, ordinal int, source_path string, section_hint string, excerpt string")
+    first = P.material_lines(materials, P.SECTIONS)
+    assert [(r.section, r.a, r.line[-2:]) for r in first.orderBy("a").limit(2).collect()] == [("reference_alignment", 1, "t0"), ("reference_alignment", 2, "t1")] and first.count() == P.MATERIALS
+    assert "GlobalLimit" in plan(first)
+    assert P.material_lines(materials, tuple(s for s in P.SECTIONS if not s.route)).count() == 0
+    evidence = spark.range(100).selectExpr("CAST(id AS STRING) AS path", "CASE id % 3 WHEN 0 THEN 'docs' WHEN 1 THEN 'test_file' ELSE 'package_config' END AS category")
+    text = plan(authoritative(evidence, ("overview", "architecture")))
+    assert depth(text, "WindowGroupLimit [category") > depth(text, "Join Inner") > depth(text, "WindowGroupLimit [section")
+    empty = {"symbols": "module_name string, is_public boolean, lineno long, symbol_name string", "entrypoints": "module_name string, label string, relative_path string", "excerpts": "module_name string, kind string, relative_path string, start_line int, ordinal int"}
+    empty = {k: spark.createDataFrame([], v) for k, v in empty.items()}
+    modules = spark.range(50).selectExpr("CAST(id AS STRING) AS module_name", "id AS score", "id % 2 = 0 AS is_test")
+    imports = spark.range(200).selectExpr("CAST(id % 50 AS STRING) AS source_module", "CAST(id % 7 AS STRING) AS imported_module", "false AS relative").distinct()
+    text = plan(select_facts(modules, empty["symbols"], imports, empty["entrypoints"], empty["excerpts"])["imports"])
+    assert depth(text, "Join LeftSemi") > depth(text, "Aggregate [source_module")
