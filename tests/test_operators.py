@@ -264,3 +264,18 @@ def test_spread_tasks_do_not_grow_with_the_table(spark, tmp_path, monkeypatch):
     assert max(sizes.values()) <= 2 * 500
     even = spark.range(0, 4_000, 1, 8)
     assert spread.spread(even) is even and spread.spread(spark.range(0)).count() == 0
+
+
+def test_answers_of_a_large_file_are_dealt_to_small_tasks(spark, sf_dir, tmp_path, monkeypatch):
+    """answer_sections over a file of one row group: no task has more than about ROWS answers."""
+    import pyarrow.parquet as pq
+
+    from corroba.operators import spread
+    from corroba.plans import answers
+
+    monkeypatch.setattr(spread, "ROWS", 100)
+    events = pq.read_table(f"{sf_dir}/events.parquet").slice(0, 1_000)
+    pq.write_table(events, tmp_path / "events.parquet")
+    found = answers.answer_sections(spark, str(tmp_path)).select("event_id", F.spark_partition_id().alias("task")).distinct()
+    each = [r["count"] for r in found.groupBy("task").count().collect()]
+    assert sum(each) == events.num_rows and max(each) <= 2 * 100
