@@ -58,6 +58,22 @@ def text_at(v: Column, *paths: str) -> Column:
     return F.coalesce(*(F.nullif(strip(F.try_variant_get(v, p, "string")), F.lit("")) for p in paths), F.lit(""))
 
 
+def _object(v: Column) -> Column:
+    """The values of a VARIANT object by name; null if it is none. What it has not is then told by a look,
+    whereas a path that leads nowhere is dear: Spark leaves the search by an exception."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def _list(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
+def _text_in(m: Column, *names: str) -> Column:
+    """text_at() of an _object()."""
+    texts = (bound(strip(F.try_variant_get(m[n], "$", "string")), lambda t: F.nullif(t, F.lit(""))) for n in names)
+    return F.coalesce(*texts, F.lit(""))
+
+
 def list_at(v: Column, *paths: str) -> Column:
     """The first value that is there, as a list of non-empty texts; a text is a list of one."""
     out = F.array().cast("array<string>")
@@ -185,20 +201,24 @@ def blocks_of(value: Column) -> Column:
     def block(kind: Column, text: Column, label: Column, codes: Column) -> Column:
         return F.struct(kind.alias("kind"), text.alias("text"), label.alias("label"), codes.alias("codes"))
 
-    def plain(text: Column) -> Column:
-        return F.when(text != "", block(F.lit("paragraph"), text, F.lit(""), F.array().cast("array<string>")))
+    def plain(x: Column) -> Column:
+        text = strip(F.try_variant_get(x, "$", "string"))
+        return F.when(_kind(x) == "STRING", bound(text, lambda t: F.when(t != "", block(F.lit("paragraph"), t, F.lit(""), F.array().cast("array<string>")))))
 
-    def read(x: Column) -> Column:
-        kind, text, label = F.lower(text_at(x, "$.kind")), text_at(x, "$.text", "$.body", "$.content"), text_at(x, "$.label")
-        known = kind.isin(*BLOCKS)
-        unnamed = (kind == "labeled_bullet") & (label == "")
+    def mended(p: Column) -> Column:
+        known = p["kind"].isin(*BLOCKS)
+        unnamed = (p["kind"] == "labeled_bullet") & (p["label"] == "")
         codes = F.array_compact(F.array(F.when(~known, "final_output.unsupported_block_kind_normalized"), F.when(unnamed, "final_output.labeled_bullet_missing_label_normalized")))
-        made = block(F.when(known, kind).otherwise("paragraph"), text, F.when(unnamed, "Note").otherwise(label), codes)
-        return F.when(_kind(x) == "STRING", plain(strip(F.try_variant_get(x, "$", "string")))).when(F.startswith(_kind(x), F.lit("OBJECT<")) & (text != ""), made)
+        return F.when(p["text"] != "", block(F.when(known, p["kind"]).otherwise("paragraph"), p["text"], F.when(unnamed, "Note").otherwise(p["label"]), codes))
+
+    def said(m: Column) -> Column:
+        return F.struct(F.lower(_text_in(m, "kind")).alias("kind"), _text_in(m, "text", "body", "content").alias("text"), _text_in(m, "label").alias("label"))
+
+    def read(x: Column) -> Column:
+        return bound(_object(x), lambda m: F.when(m.isNotNull(), bound(said(m), mended)).otherwise(plain(x)))
 
-    one = plain(strip(F.try_variant_get(value, "$", "string")))
-    many = F.array_compact(F.transform(F.try_variant_get(value, "$", "array<variant>"), read))
-    return F.when(_kind(value) == "STRING", F.array_compact(F.array(one))).when(F.startswith(_kind(value), F.lit("ARRAY<")), many).otherwise(none)
+    # in a lambda nothing is computed once by itself: what is used twice is bound
+    return bound(value, lambda v: F.coalesce(F.array_compact(F.transform(_list(v), read)), F.array_compact(F.array(plain(v))), none))
 
 
 def _is(field: str, value: str):
@@ -228,19 +248,20 @@ def sections(answers: DataFrame, headings: tuple[str, ...], raw: str = "raw") ->
         rows = answers.withColumn("json", json_text(F.col(raw))).withColumn("v", F.try_parse_json("json"))
     canonical = F.create_map(*(F.lit(x) for h in headings for x in (h.lower(), h)))
     held_in = ("section_blocks", "section_bodies", "sections")
-    says = lambda n: ~F.coalesce(F.to_json(F.try_variant_get("v", f"$.{n}", "variant")), F.lit("null")).isin("{}", "[]", '""', "null", "false", "0")
+    rows = rows.withColumn("top", _object(F.col("v")))
+    says = lambda n: ~F.coalesce(F.to_json(F.col("top")[n]), F.lit("null")).isin("{}", "[]", '""', "null", "false", "0")
     rows = rows.withColumn("held_in", F.coalesce(*(F.when(says(n), F.lit(n)) for n in held_in)))
-    pick = lambda f: F.coalesce(*(F.when(F.col("held_in") == n, f(n)) for n in held_in))
-    rows = rows.withColumn("body", pick(lambda n: F.try_variant_get("v", f"$.{n}", "variant"))).withColumn("names", F.array_distinct(F.json_object_keys(pick(lambda n: F.get_json_object("json", f"$.{n}")))))
-    of_name = F.try_variant_get("body", "$", "map<string,variant>")
-    by_name = bound(of_name, lambda m: F.transform("names", lambda k: F.struct(strip(k).alias("name"), blocks_of(m[k]).alias("blocks"))))
+    rows = rows.withColumn("body", F.col("top")[F.col("held_in")]).withColumn("of_name", _object(F.col("body")))
+    body_text = F.coalesce(*(F.when(F.col("held_in") == n, F.get_json_object("json", f"$.{n}")) for n in held_in))
+    names = F.array_distinct(F.json_object_keys(body_text))
+    by_name = F.transform(names, lambda k: F.struct(strip(k).alias("name"), blocks_of(F.col("of_name")[k]).alias("blocks")))
 
-    def row(x: Column) -> Column:
-        held = F.coalesce(*(F.try_variant_get(x, f"$.{n}", "variant") for n in ("blocks", "section_blocks", "body", "content")))
-        return F.struct(text_at(x, "$.heading", "$.name").alias("name"), blocks_of(held).alias("blocks"))
+    def row(m: Column) -> Column:
+        held = F.coalesce(*(m[n] for n in ("blocks", "section_blocks", "body", "content")))
+        return F.when(m.isNotNull(), F.struct(_text_in(m, "heading", "name").alias("name"), blocks_of(held).alias("blocks")))
 
-    in_rows = F.transform(F.filter(F.try_variant_get("body", "$", "array<variant>"), lambda x: F.startswith(_kind(x), F.lit("OBJECT<"))), row)
-    items = F.when(F.startswith(_kind(F.col("body")), F.lit("OBJECT<")), by_name).otherwise(F.coalesce(in_rows, F.array().cast("array<struct<name:string,blocks:array<struct<kind:string,text:string,label:string,codes:array<string>>>>>")))
+    in_rows = F.array_compact(F.transform(_list(F.col("body")), lambda x: bound(_object(x), row)))
+    items = F.when(F.col("of_name").isNotNull(), by_name).otherwise(F.coalesce(in_rows, F.array().cast("array<struct<name:string,blocks:array<struct<kind:string,text:string,label:string,codes:array<string>>>>>")))
     rows = rows.withColumn("items", F.filter(items, lambda x: F.size(x["blocks"]) > 0))
     rows = rows.withColumn("items", F.transform("items", lambda x: F.struct(canonical[F.lower(x["name"])].alias("heading"), x["blocks"].alias("blocks"))))
     known = [F.try_element_at(F.filter("items", _is("heading", h)), F.lit(-1))["blocks"] for h in headings]

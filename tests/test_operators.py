@@ -279,3 +279,21 @@ def test_answers_of_a_large_file_are_dealt_to_small_tasks(spark, sf_dir, tmp_pat
     found = answers.answer_sections(spark, str(tmp_path)).select("event_id", F.spark_partition_id().alias("task")).distinct()
     each = [r["count"] for r in found.groupBy("task").count().collect()]
     assert sum(each) == events.num_rows and max(each) <= 2 * 100
+
+
+def test_sections_look_each_value_up_once(spark):
+    """Inside a lambda Spark computes an expression as often as it stands there; blocks had it a hundred times."""
+    from corroba.operators.answers import sections
+
+    odd = (
+        '{"sections": [{"heading": "Risks", "blocks": null, "body": "lost"}, {"name": "overview", "content": [{"kind": "BULLET", "text": " ", "body": 4}, {"Text": "no", "kind": 3, "content": "c"}, null, [], "s"]}]}',
+        '{"section_blocks": null, "section_bodies": 0, "sections": {"a.b": {"text": "t"}, "$x": [{"kind": "labeled_bullet", "text": "z", "label": null}], "q": 5}}',
+    )
+    found = sections(spark.createDataFrame(list(enumerate(odd)), "id int, raw string"), ("Overview", "Risks"))
+    told = [(r.id, r.heading, [(b["kind"], b["text"], b["label"]) for b in r.blocks], r.codes) for r in found.orderBy("id", "place").collect()]
+    kind, slot, label = "final_output.unsupported_block_kind_normalized", "final_output.unknown_section_recovered_into_missing_slot", "final_output.labeled_bullet_missing_label_normalized"
+    assert told == [
+        (0, "Overview", [("bullet", "4", ""), ("paragraph", "c", ""), ("paragraph", "s", "")], [kind]),
+        (1, "Overview", [("labeled_bullet", "z", "Note")], [slot, label]),
+    ]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("try_variant_get") <= 40
